@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.llm import quality, sharding, url_filters
+from quillstone.llm import bpe, quality, sharding, token_counts, token_store, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_sharding": sharding.op2_sharding,
+    "op3_token_store": token_store.op3_token_store,
+    "op5_bpe": bpe.op5_bpe,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL = {"op1_url_filters": url_filters.SQL}
