@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quillstone.llm import bpe, quality, sharding, token_counts, token_store, url_filters
+from quillstone.llm import bpe, decontamination, html_text, quality, sharding, simhash, token_counts, token_store, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_sharding": sharding.op2_sharding,
     "op3_token_store": token_store.op3_token_store,
+    "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_decontamination": decontamination.op8_decontamination,
+    "op9_html_text": html_text.op9_html_text,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL = {"op1_url_filters": url_filters.SQL}
+ORACLE_SQL = {"op1_url_filters": url_filters.SQL, "op8_decontamination": decontamination.SQL}
