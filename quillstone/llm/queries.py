@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import bpe, decontamination, html_text, quality, sharding, simhash, token_counts, token_store, url_filters
+from quillstone.llm import bpe, decontamination, html_text, quality, sharding, simhash, suffix_dedup, token_counts, token_store, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_store": token_store.op3_token_store,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_html_text": html_text.op9_html_text,
