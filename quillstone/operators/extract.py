@@ -65,6 +65,6 @@ def scraped_posts(pages: DataFrame, page: str = "html", url: str = "url", entiti
         "body": decode(F.coalesce(meta_tag(html, "og:description"), meta_tag(html, "description"), tag_text(html, "article"))),
         "upvotes": F.coalesce(_number(html, REACTIONS), _number(html, FORUM_SCORE)),
         "num_comments": F.coalesce(_number(html, COMMENTS), _number(html, FORUM_COMMENTS)),
-        "created_utc": F.coalesce(_number(html, CREATED), F.when(ms > 10**12, F.expr(f"try_cast(regexp_extract({page}, '{FORUM_TIME}', 1) as bigint) div 1000")).otherwise(ms)),
+        "created_utc": F.coalesce(_number(html, CREATED), F.when(ms > 10**12, ((ms - ms % 1000) / 1000).cast("bigint")).otherwise(ms)),
         "has_content": html.rlike(r"""(?i)property=["']og:description["'][^>]+content=["'][^"']+"""),
     })

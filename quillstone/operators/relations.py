@@ -42,8 +42,8 @@ def _long(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation with the label over rows where both are known; null without variance."""
-    flat = (F.stddev_pop("x") == 0) | (F.stddev_pop("y") == 0)
-    return _long(df, columns).groupBy("feature").agg(F.count("*").alias("n"), F.when(~flat, F.corr("x", "y")).alias("pearson"))
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return _long(df, columns).groupBy("feature").agg(F.count("*").alias("n"), r.alias("pearson"))
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
