@@ -95,38 +95,43 @@ class Bpe:
             self.follows[left, right] = known
         return known
 
-    def last_token(self, path: str, at: int, states: list[tuple[str, int]], end: str) -> tuple[str, int]:
-        """State of the prefix path[:at]: its last token, and the length of the prefix before that token."""
-        vocab, follows, may_follow = self.vocab, self.follows, self.may_follow
-        for start in range(max(0, at - self.longest), at):
-            token = path[start:at] + end
-            if token in vocab:
-                # A token at the start of a word stands if BPE of its own text gives it.
-                before = states[start][0]
-                known = follows.get((before, token))
-                if known is None:
-                    known = may_follow(before, token) if start else self.is_reached(token)
-                if known:
-                    return token, start
-        raise ValueError(f"no token for {path[:at]!r}")
-
     def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        """Ids of each piece (byte-level characters, no white space): the trie's walk."""
+        """Ids of each piece (byte-level characters, no white space): the trie's walk.
+
+        The state of a prefix is its last token, the one that ends there and may follow the last token of
+        the prefix before it, and where that token starts. Longer tokens are tried first.
+        """
+        vocab, follows, longest, end = self.vocab, self.follows, self.longest, self.end
         found: dict[str, list[int]] = {}
-        states: list[tuple[str, int]] = [("", 0)]  # of the prefixes of the last piece, without an end mark
+        tokens_at, starts = [""], [0]  # of the prefixes of the last piece, without an end mark
         last = ""
         for piece in sorted(set(pieces)):
-            shared, most = 0, min(len(last), len(piece), len(states) - 1)
+            n = len(piece)
+            shared, most = 0, min(len(last), n, len(starts) - 1)
             while shared < most and last[shared] == piece[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for at in range(shared + 1, len(piece)):
-                states.append(self.last_token(piece, at, states, ""))
-            token, start = self.last_token(piece, len(piece), states, self.end)
-            ids = [self.vocab[token]]
+            del tokens_at[shared + 1 :], starts[shared + 1 :]
+            marked = piece + end
+            for at in [*range(shared + 1, n), n]:
+                stop = at if at < n else len(marked)  # the whole piece ends with the mark
+                for start in range(at - longest if at > longest else 0, at):
+                    token = marked[start:stop]
+                    if token in vocab:
+                        before = tokens_at[start]
+                        known = follows.get((before, token))
+                        if known is None:
+                            known = self.may_follow(before, token) if start else self.is_reached(token)
+                        if known:
+                            break
+                else:
+                    raise ValueError(f"no token for the end of {marked[:stop]!r}")
+                if at < n:
+                    tokens_at.append(token)
+                    starts.append(start)
+            ids = [vocab[token]]
             while start:
-                token, start = states[start]
-                ids.append(self.vocab[token])
+                ids.append(vocab[tokens_at[start]])
+                start = starts[start]
             ids.reverse()
             found[piece] = ids
             last = piece
@@ -134,24 +139,26 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=2)
-def trie_ids(path: str) -> tokens.WordIds:
+def trie_ids(path: str) -> tokens.BatchWordIds:
     """Word encoder of this worker: the library's normalizer and word pattern, our BPE."""
     library, bpe = tokens.library_tokenizer(path), Bpe(path)
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
     normalize, cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
 
     def pieces_of(word: str) -> list[str]:
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
         return [p for p, _ in cut(normalize(word))] if word else []
 
     def encode(words: list[str]) -> Iterator[list[int]]:
-        split = [[s if s in special else pieces_of(s) for s in _around_specials(w)] for w in words]
-        known = bpe.encode_pieces([p for own in split for s in own if isinstance(s, list) for p in s])
-        for own in split:
-            yield [i for s in own for i in ([special[s]] if isinstance(s, str) else [x for p in s for x in known[p]])]
-
-    return tokens.WordIds(encode)
+        plain = {w: p for w in words if (p := tokens.plain_piece(w))}
+        split = {w: [s if s in special else pieces_of(s) for s in _around_specials(w)] for w in words if w not in plain}
+        known = bpe.encode_pieces([*plain.values(), *(p for own in split.values() for s in own if isinstance(s, list) for p in s)])
+        for w in words:
+            if p := plain.get(w):
+                yield known[p]
+            else:
+                yield [i for s in split[w] for i in ([special[s]] if isinstance(s, str) else [x for p in s for x in known[p]])]
+
+    return tokens.BatchWordIds(encode)
 
 
 def _around_specials(word: str) -> list[str]:

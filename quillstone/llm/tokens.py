@@ -10,14 +10,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
-
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 #: Trailing characters that the word pattern always cuts off from letters before them, as one piece.
 TAIL = ".,;:!?*$%#&|-"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
+PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?*$%#&|-]*)")
 SLICE = 1 << 20
 
 
@@ -33,46 +33,58 @@ def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
     yield text[start:] if start else text
 
 
+class Kept(dict):
+    """A dict that makes what it misses. When it is full, entries not met since the last time go."""
+
+    def __init__(self, make: Callable, kept: int):
+        super().__init__()
+        self.make, self.kept, self.old = make, kept, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def core_and_tail(word: bytes) -> tuple[str, str]:
+    """A word as letters and their tail, which are pieces of their own; the letters in lower case where they are Latin-1."""
+    if m := PLAIN.fullmatch(word):
+        return m[1].lower().decode(), m[2].decode()
+    w = word.decode("utf-8")
+    core = w.rstrip(TAIL)
+    if core.isalpha() and max(core) < "Ā":
+        return core.lower(), w[len(core) :]
+    return w, ""
+
+
 class WordIds:
-    """Texts to ids as bytes of little-endian unsigned 32-bit integers.
-
-    ``encode`` gets distinct words or pieces of words that are new and returns the ids of each.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], kept: int = KEPT_WORDS):
-        self.encode, self.kept = encode, kept
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.kept:
-            self.words = {}
-        if len(self.pieces) > self.kept:
-            self.pieces = {}
-        parts: dict[bytes, tuple[str, ...]] = {}
-        for word in new:
-            w = word.decode("utf-8")
-            core = w.rstrip(TAIL)
-            # Letters of Latin-1 with a tail: two pieces, and one entry for all cases of the letters.
-            if core.isalpha() and max(core) < "Ā":
-                parts[word] = (core.lower(), w[len(core) :]) if len(core) < len(w) else (core.lower(),)
-            else:
-                parts[word] = (w,)
-        unknown = sorted({p for own in parts.values() for p in own} - self.pieces.keys())
-        for piece, ids in zip(unknown, self.encode(unknown), strict=True):
-            self.pieces[piece] = np.array(ids, dtype="<u4").tobytes()
-        for word, own in parts.items():
-            self.words[word] = self.pieces[own[0]] if len(own) == 1 else self.pieces[own[0]] + self.pieces[own[1]]
+    """Texts to ids as bytes of little-endian unsigned 32-bit integers; ``encode`` gives the ids of a piece of a word."""
+
+    def __init__(self, encode: Callable[[str], list[int]], kept: int = KEPT_WORDS):
+        self.pieces = Kept(lambda piece: array("I", encode(piece)).tobytes(), kept)
+        self.words = Kept(self._word, kept)
+
+    def _word(self, word: bytes) -> bytes:
+        core, tail = core_and_tail(word)
+        return self.pieces[core] + self.pieces[tail] if tail else self.pieces[core]
+
+    def prepare(self, words: Iterable[list[bytes]]) -> None:
+        """Called with a batch's words before they are looked up."""
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; None has none."""
         raw = [(t or "").encode("utf-8") for t in texts]
         if sum(map(len, raw)) <= 4 * SLICE:
             split = [t.split() for t in raw]
-            if new := set().union(*split) - self.words.keys():
-                self._learn(new)
-                if lost := set().union(*split) - self.words.keys():  # the kept words were let go
-                    self._learn(lost)
+            self.prepare(split)
             return [b"".join(map(self.words.__getitem__, own)) for own in split]
         if len(raw) > 1:
             half = len(raw) // 2
@@ -80,13 +92,26 @@ class WordIds:
         out = []
         for piece in slices(raw[0]):
             own = piece.split()
-            for _ in range(2):
-                if new := set(own) - self.words.keys():
-                    self._learn(new)
+            self.prepare([own])
             out.append(b"".join(map(self.words.__getitem__, own)))
         return [b"".join(out)]
 
 
+class BatchWordIds(WordIds):
+    """``encode_all`` gets a batch's new pieces together, for encoders that share work between them."""
+
+    def __init__(self, encode_all: Callable[[list[str]], Iterable[list[int]]], kept: int = KEPT_WORDS):
+        super().__init__(lambda piece: next(iter(encode_all([piece]))), kept)
+        self.encode_all = encode_all
+
+    def prepare(self, words: Iterable[list[bytes]]) -> None:
+        new = set().union(*words) - self.words.keys() - self.words.old.keys()
+        wanted = {p for w in new for p in core_and_tail(w) if p}
+        unknown = sorted(wanted - self.pieces.keys() - self.pieces.old.keys())
+        for piece, ids in zip(unknown, self.encode_all(unknown), strict=True):
+            self.pieces.put(piece, array("I", ids).tobytes())
+
+
 def library_tokenizer(path: str, plain_specials: bool = False):
     """The tokenizers library's encoder, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -104,13 +129,32 @@ def library_ids(path: str, plain_specials: bool = False) -> WordIds:
     """One per Python worker, so that later tasks find the words of earlier ones."""
     tokenizer = library_tokenizer(path, plain_specials)
 
-    def encode(words: list[str]) -> Iterator[list[int]]:
-        for i in range(0, len(words), 2000):
-            yield from (e.ids for e in tokenizer.encode_batch_fast(words[i : i + 2000], add_special_tokens=False))
+    tokenize = tokenizer.model.tokenize
+
+    def encode(piece: str) -> list[int]:
+        if plain := plain_piece(piece):
+            return [t.id for t in tokenize(plain)]
+        return tokenizer.encode(piece, add_special_tokens=False).ids
 
     return WordIds(encode)
 
 
+def byte_character(byte: int) -> str:
+    """The printable character that stands for a byte in byte-level vocabularies: itself, or the next from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(byte) if byte in own else chr(256 + sum(b not in own for b in range(byte)))
+
+
+CHARACTERS = {b: byte_character(b) for b in range(256)}
+
+
+def plain_piece(word: str) -> str | None:
+    """Lower-case letters of Latin-1 are one piece as they stand: a character for each byte; None for other words."""
+    if word.isalpha() and word.islower() and max(word) < "Ā":
+        return word if word.isascii() else word.encode().decode("latin-1").translate(CHARACTERS)
+    return None
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     """The place of a public vocabulary file on this machine; every machine of a cluster has its own."""
     import public_tokenizers
