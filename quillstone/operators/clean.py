@@ -35,7 +35,9 @@ def keep_first_id(df: DataFrame) -> DataFrame:
 
 def clean_texts(df: DataFrame, entities: bool = True) -> DataFrame:
     """Removed bodies blanked, title and body cleaned, has_* set afterwards, rows with neither dropped."""
-    df = df.withColumns({"title": clean_text(F.col("title"), entities), "body": F.when(is_removed(F.col("body")), "").otherwise(clean_text(F.col("body"), entities))})
+    title, body = clean_text(F.col("title"), entities), F.when(is_removed(F.col("body")), "").otherwise(clean_text(F.col("body"), entities))
+    # Made by a generator of one row, through which no filter is pushed: each text is cleaned once.
+    df = df.select(*(c for c in df.columns if c not in ("title", "body")), F.inline(F.array(F.struct(title.alias("title"), body.alias("body")))))
     return df.withColumns({"has_title": F.length("title") > 0, "has_body": F.length("body") > 0}).where("has_title or has_body")
 
 
@@ -50,8 +52,8 @@ def _repaired(c: str) -> Column:
 
 def repair_numbers(df: DataFrame, quantile: float = 0.995) -> DataFrame:
     """Null and negative to 0, capped at the quantile, truncated to bigint. The caps are scalar subqueries."""
-    caps = numeric_caps(df, quantile)
-    return df.withColumns({c: F.least(_repaired(c), caps.select(f"{c}_cap").scalar()).cast("bigint") for c in NUMERIC})
+    caps = numeric_caps(df, quantile).select(F.struct(*(f"{c}_cap" for c in NUMERIC))).scalar()  # planned once for all columns
+    return df.withColumns({c: F.least(_repaired(c), caps[f"{c}_cap"]).cast("bigint") for c in NUMERIC})
 
 
 def normal_category(c: Column) -> Column:
