@@ -181,4 +181,6 @@ def test_models(spark):
     model = models.fit_meta(data, ["a", "b"], trees=3, depth=2)
     out = models.meta_scores(model, data, ["a", "b"])
     assert abs(sum(x for _, x in models.importance(model, ["a", "b"])) - 1) < 1e-6
+    tuned = models.tune_meta(data, ["a", "b"], {"maxDepth": [1, 2], "maxIter": [2]})
+    assert len(tuned.avgMetrics) == 2 and all(0 <= m <= 1 for m in tuned.avgMetrics)
     assert models.isotonic(out, out).where("calibrated between 0 and 1").count() == p.count()
