@@ -4,7 +4,7 @@ A rolling hash over the ids cuts each document's stream into chunks at places th
 alone, so that equal passages give equal chunks. A store is a folder with three Parquet tables:
 
 * ``chunks``: one row per distinct chunk, named by the SHA-256 of its bytes (ids as little-endian
-  unsigned 32-bit integers);
+  unsigned integers of two bytes while the vocabulary allows, else four);
 * ``recipes``: one row per document in ascending doc_id order, with the names of its chunks, where
   each ends, and the root of their Merkle tree;
 * ``manifest``: per part of the recipes, its number of ids and documents and the root over their roots.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,14 @@ from quillstone.llm import tokens
 from quillstone.llm.storage import read, shared_dir, small_batches
 
 END_ID = 1
-WINDOW, MASK, MOST = 8, 0xFF, 4096
+WINDOW, MASK, MOST = 8, 0x1FF, 4096
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 CUT_SCHEMA = "doc_id bigint, seq int, n_ids int, stop int, doc_ids int, chunk_id binary, payload binary"
 
 
 def chunk_ends(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where chunks end in the joined ids of documents that begin at ``starts``: after an id whose window's hash
-    has eight zero bits, at each document's end, and after MOST ids at the latest."""
+    has nine zero bits, at each document's end, and after MOST ids at the latest."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * FACTOR
     rolled = mixed.copy()
     for back in range(1, min(WINDOW, len(ids))):
@@ -55,6 +56,7 @@ def chunk_ends(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def cut_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """One row per chunk, in the documents' order. A chunk's bytes are given where its task first meets it."""
     small_batches(docs.sparkSession)
+    width = 2 if max(end_id + 1, tokens.library_tokenizer(path).get_vocab_size()) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = tokens.library_ids(path), set()
@@ -63,13 +65,14 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
             raw = [t + end for t in encoder.texts(batch.column("text").to_pylist())]
             lengths = np.array([len(r) // 4 for r in raw])
             starts = np.cumsum(lengths) - lengths
-            data = b"".join(raw)
-            ends = chunk_ends(np.frombuffer(data, dtype="<u4"), starts)
+            ids = np.frombuffer(b"".join(raw), dtype="<u4")
+            ends = chunk_ends(ids, starts)
+            data = ids.astype(f"<u{width}").tobytes()
             begins = np.concatenate(([0], ends[:-1]))
             doc = np.searchsorted(starts, begins, side="right") - 1
             names, payloads = [], []
             for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-                piece = data[4 * a : 4 * b]
+                piece = data[width * a : width * b]
                 name = hashlib.sha256(piece).digest()
                 names.append(name)
                 payloads.append(None if name in seen else piece)
@@ -93,6 +96,23 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, CUT_SCHEMA)
 
 
+def distinct_chunks(chunks: DataFrame, parts: int) -> DataFrame:
+    """Each chunk once. Tasks have left out their own repeats, so that a chunk comes at most once from each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            take = []
+            for i, name in enumerate(names):
+                if name not in seen:
+                    seen.add(name)
+                    take.append(i)
+            yield batch.take(pa.array(take, pa.int64()))
+
+    return chunks.repartition(parts, "chunk_id").mapInArrow(run, chunks.schema)
+
+
 def merkle_root(names: Column) -> Column:
     """SHA-256 over the children's names in order: one level of a tree of any width."""
     return F.sha2(F.array_join(F.transform(names, lambda x: F.lower(F.hex(x))), "").cast("binary"), 256)
@@ -106,14 +126,9 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     cut = cut.withColumn("_at", F.monotonically_increasing_id())
     cut.write.option("compression", "zstd").parquet(f"{folder}/cut")
     cut = spark.read.parquet(f"{folder}/cut")
-    (
-        cut.where("payload is not null")
-        .select("chunk_id", "n_ids", "payload")
-        .dropDuplicates(["chunk_id"])
-        .write.option("compression", "zstd")
-        .parquet(f"{folder}/chunks")
-    )
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = distinct_chunks(cut.where("payload is not null").select("chunk_id", "n_ids", "payload"), parts)
+    stored.write.option("compression", "zstd").parquet(f"{folder}/chunks")
     recipes = (
         cut.select("doc_id", (F.col("_at") - F.col("seq")).alias("_doc"), "doc_ids", F.struct("seq", "stop", "chunk_id").alias("c"))
         .groupBy("doc_id", "_doc")
@@ -171,14 +186,15 @@ def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Reconstruction: doc_id, start, n_tokens and ``ids`` (bytes of all the document's ids)."""
+    """Reconstruction: doc_id, start, n_tokens and ``ids`` (all the document's ids, as stored)."""
     recipes = read_recipes(spark, folder)
     wanted = recipes.select("doc_id", "start", "n_tokens", F.posexplode("chunk_ids").alias("seq", "chunk_id"))
     return (
         wanted.join(read_chunks(spark, folder).select("chunk_id", "payload"), "chunk_id")
         .groupBy("doc_id", "start", "n_tokens")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("c"))
-        .select("doc_id", "start", "n_tokens", F.aggregate("c.payload", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
+        .select("doc_id", "start", "n_tokens", F.array_join(F.transform("c.payload", lambda x: F.hex(x)), "").alias("ids"))
+        .withColumn("ids", F.unhex("ids"))
     )
 
 
@@ -201,12 +217,17 @@ def _times_x(crc: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def document_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the document's ids, from the store's files.
+    """doc_id, start, n_tokens and the CRC-32 of the document's ids as unsigned 32-bit integers, from the store's files.
 
     Each distinct chunk's bytes are read and summed once; CRC-32 is linear, so that a document's checksum
     is the XOR of its chunks' checksums, each moved ahead of the bytes that follow it. No bytes are shuffled.
     """
-    facts = read_chunks(spark, folder).select("chunk_id", F.crc32("payload").alias("crc"))
+
+    @F.pandas_udf("long")
+    def crc(payload: pd.Series, n_ids: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes()) for x, n in zip(payload, n_ids, strict=True)], dtype="int64")
+
+    facts = read_chunks(spark, folder).select("chunk_id", crc("payload", "n_ids").alias("crc"))
 
     @F.pandas_udf("long")
     def moved(crc: pd.Series, following: pd.Series) -> pd.Series:
