@@ -152,19 +152,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     place = F.explode(F.arrays_zip("hashes", "snippets", "starts", "sizes")).alias("a")
     rows = anchors.select("k1", "k2", place).select("k1", "k2", F.col("a.hashes").alias("hash"), F.col("a.snippets").alias("snippet"), F.col("a.starts").cast("long").alias("start"), F.col("a.sizes").alias("size"))
+    # Most anchor hashes stand once: only rows of the others go on.
+    again = rows.select("hash").groupBy("hash").count().where("count > 1").select("hash")
+    met = stage(rows.join(again, "hash"), "met")
     # Per snippet of an anchor hash its number and one place; per anchor hash the number of its snippets.
-    each = rows.groupBy("hash", "snippet").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("one"))
-    kinds = each.groupBy("hash").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
-    met = stage(each.join(kinds.select("hash", "kinds"), "hash"), "met")
+    each = met.groupBy("hash", "snippet").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("one"))
+    kinds = met.groupBy("hash").agg((F.min("snippet") < F.max("snippet")).alias("mixed")).where("mixed").select("hash")
 
-    often = met.where("n > 1").select("hash", "snippet")
-    covered = rows.join(often, ["hash", "snippet"], "left_semi").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop"))
+    often = each.where("n > 1").select("hash", "snippet")
+    covered = met.join(often, ["hash", "snippet"], "left_semi").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop"))
 
-    mixed = met.where("kinds > 1").select("hash", "snippet", "one.*")
+    mixed = stage(each.join(kinds, "hash").select("hash", "snippet", "one.*"), "mixed")
     total = mixed.agg(F.sum("size")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    keyed = docs.select(*text_keys(F.col(text)), F.col(text).cast("binary").alias("_b"))
-    taken = mixed.join(keyed, ["k1", "k2"]).withColumn("bytes", F.substring(F.col("_b"), F.col("start").cast("int") + 1, F.col("size"))).drop("_b")
+    keyed = docs.select(*text_keys(F.col(text)), F.col(text).cast("binary").alias("b"))
+    taken = mixed.join(keyed, ["k1", "k2"]).withColumn("bytes", F.substring(F.col("b"), F.col("start").cast("int") + 1, F.col("size"))).drop("b")
     found = sort_shards(taken, shards, length)
 
     spans = whole.unionByName(covered).unionByName(found)
@@ -176,9 +178,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wh
 
     With ``whole_characters``, a stretch is narrowed to the characters that lie in it entirely.
     """
-    fields = docs.schema.names
-    keyed = docs.select("*", *text_keys(F.col(text)))
-    found = keyed.join(repeated_spans(docs, text, length), ["k1", "k2"], "left").select(*fields, F.col("spans").alias("_spans"))
+    fields = docs.drop("spans", "kept").columns
+    keyed = docs.select(F.struct(*fields).alias("doc"), *text_keys(F.col(text)))
+    found = keyed.join(repeated_spans(docs, text, length), ["k1", "k2"], "left").select("doc", "spans")
     at = fields.index(text)
     small_batches(docs.sparkSession)
 
@@ -200,16 +202,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_spans, kept = [], []
-            for t, s in zip(batch.column(at), batch.column(len(fields)), strict=True):
+            doc = batch.column(0)
+            for t, s in zip(doc.field(at), batch.column(1), strict=True):
                 data = (t.as_py() or "").encode("utf-8")
                 own = merged(s.as_py(), data) if s.is_valid else []
                 all_spans.append([{"start": a, "stop": b} for a, b in own])
                 ends = [0, *(b for _, b in own)]
                 kept.append(b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in own), len(data)], strict=True)) if own else data)
             span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(all_spans, pa.list_(span)), pa.array(kept, pa.binary())], [*fields, "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(doc.field(i) for i in range(len(fields))), pa.array(all_spans, pa.list_(span)), pa.array(kept, pa.binary())], [*fields, "spans", "kept"])
 
-    out = docs.select("*", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
+    out = docs.select(*fields, F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
     return found.mapInArrow(run, out)
 
 
