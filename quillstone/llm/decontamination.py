@@ -118,5 +118,5 @@ FROM d JOIN b USING (s) JOIN q USING (item_id) GROUP BY 1, 2, 3 HAVING count(*)
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no benchmark item."""
     found = find_contained(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return keyed.join(found, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return keyed.join(found, ["doc_id", "text_hash"], "left_anti").select("doc.*")

@@ -77,6 +77,7 @@ def assign_shards(df: DataFrame, key: str, tree: Sequence[Leaf], buckets: int |
     rows by (shard, bucket) from a scan of the key column alone, then ranks inside a bucket.
     """
     buckets = buckets or max(1, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(tree))
+    df = df.drop("shard", "slot", "_bucket", "_rank", "_start")
     shard = shard_of(F.col(key), tree)
     bucket = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int")
     placed = df.withColumn("shard", shard).withColumn("_bucket", bucket)

@@ -132,7 +132,7 @@ def library_ids(path: str, plain_specials: bool = False) -> WordIds:
     tokenize = tokenizer.model.tokenize
 
     def encode(piece: str) -> list[int]:
-        if plain := plain_piece(piece):
+        if plain := plain_piece(piece):  # its one piece goes straight to the vocabulary's merges
             return [t.id for t in tokenize(plain)]
         return tokenizer.encode(piece, add_special_tokens=False).ids
 

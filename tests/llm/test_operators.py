@@ -66,7 +66,7 @@ def test_bpe_query(spark, docs, library):
 
 
 def test_words_kept_are_bounded(library):
-    coder = tokens.WordIds(lambda words: (library.encode(w, add_special_tokens=False).ids for w in words), kept=5)
+    coder = tokens.BatchWordIds(lambda words: (library.encode(w, add_special_tokens=False).ids for w in words), kept=5)
     texts = ["alpha beta gamma", "delta epsilon zeta eta theta iota", "alpha", None, "x." * 50]
     got = [np.frombuffer(x, "<u4").tolist() for x in coder.texts(texts) + coder.texts(texts[:2])]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts + texts[:2]]
