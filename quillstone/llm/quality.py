@@ -199,9 +199,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep; the other columns stay as they are."""
-    keep = docs.columns
-    signals = base_signals(docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("text")), [], "text")
-    model = label_model_of(signals)
-    full = base_signals(docs.select(F.struct(*keep).alias("_row"), "text"), ["_row"], "text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    model = label_model_of(base_signals(rows, []))
+    # Made by a generator of one row, through which no filter is pushed: the signals are computed once a row.
+    made = base_signals(rows, ["row"])
+    signals = made.select("row", F.inline(F.array(F.struct(*(c for c in made.columns if c != "row")))))
     good = ~base_failed() & (model.probability(rule_votes()) >= 0.5)
-    return full.where(good).select("_row.*")
+    return signals.where(good).select("row.*")
