@@ -1,0 +1,57 @@
+"""The near-dedup stage's links against brute force over five-word shingle sets."""
+
+import numpy as np
+import pytest
+
+from quillstone.llm import jaccard, simhash, tokens
+from tests.conftest import SMALL
+
+
+def brute_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(texts):
+    """The smallest key of each key's component."""
+    sets = {k: brute_set(t) for k, t in texts.items()}
+    component = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            common = len(sets[a] & sets[b])
+            if a < b and (sets[a] == sets[b] or 10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common)):
+                old, new = sorted((component[a], component[b]), reverse=True)
+                component = {k: new if c == old else c for k, c in component.items()}
+    return component
+
+
+def test_stage_keeps_the_first_of_near_copies(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = brute_components({r.doc_id: r.text for r in docs.collect()})
+    kept = [r.doc_id for r in simhash.near_dedup_stage(spark, docs, SMALL).collect()]
+    assert sorted(kept) == sorted(k for k, c in want.items() if k == c)
+
+
+@pytest.mark.parametrize("pairwise", [1, 48])
+def test_large_group_of_near_copies(spark, pairwise):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 120):  # most are not near each other, but all near the first
+        own = list(base)
+        for at in rng.choice(300, 5, replace=False):
+            own[at] = f"v{i}x{at}"
+        texts[i] = " ".join(own)
+    texts |= {200 + i: " ".join(f"u{x}" for x in rng.integers(0, 5000, 100)) for i in range(5)}
+    texts |= {300: "one two", 301: "One  two", 302: "one two three", 303: None, 304: " "}
+    df = spark.createDataFrame(list(texts.items()), "key bigint, text string")
+    prints = jaccard.with_bands(df).cache()
+    found = prints.join(simhash.component_keys(prints, "key", jaccard.similar_links(df, prints, "key", pairwise=pairwise)), "fp")
+    assert {r.key: r.component_id for r in found.collect()} == brute_components(texts)
+
+
+def test_long_text_by_slices(monkeypatch):
+    text = "a b c d e f g h i j k l m n o p " * 40 + "end"
+    want = jaccard.shingle_set(text).tolist()
+    monkeypatch.setattr(jaccard, "slices", lambda t: tokens.slices(t, 5))
+    assert jaccard.shingle_set(text).tolist() == want and len(want) == len(brute_set(text))
