@@ -11,11 +11,15 @@ All of it is DataFrame functions. Words are case-folded runs outside space and U
 fewer than five words have one shingle, all their words, held against the documents' shingles of that width.
 
 Edges: null or empty texts and items have no shingles and match nothing; repeated rows match alike; rows
-of one doc_id with different texts are judged by text; an empty table on either side gives no matches.
+of one doc_id with different texts are judged by text, and so are items of one item_id, each of which has a
+row of its own in the result; a null doc_id or item_id is an id like any other; an empty table on either
+side gives no matches.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from quillstone.llm.quality import _cut, words_of
 from quillstone.llm.storage import cut, read
 
 WIDTH, THRESHOLD, MOST_BROADCAST = 5, 0.8, 500_000
+#: What tells documents and items apart.
+DOC, ITEM = ["doc_id", "text_hash"], ["item_id", "item_hash"]
 
 
 def shingles(words: Column, width: int) -> Column:
@@ -34,19 +40,25 @@ def _fields(name: str, width: int) -> list[Column]:
     return [F.col(f"{name}.w{i}") for i in range(width)]
 
 
+def _same(a: str, b: str, names: list[str]) -> Column:
+    """The rows named ``a`` and ``b`` agree in ``names``, nulls included."""
+    same = [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
+    return reduce(Column.__and__, same)
+
+
 def item_shingles(items: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct shingle of an item: width, h, its text s, the item's q and needed count, and its rank by h."""
-    words = items.where(F.col(text).isNotNull()).select(F.col(key).alias("item_id"), words_of(F.lower(text)).alias("w"))
+    words = items.where(F.col(text).isNotNull()).select(F.col(key).alias("item_id"), F.xxhash64(text).alias("item_hash"), words_of(F.lower(text)).alias("w"))
     found = None
     for width in range(1, WIDTH + 1):
         own = words.where(F.size("w") == width if width < WIDTH else F.size("w") >= width)
-        one = own.select("item_id", F.explode(shingles(F.col("w"), width)).alias("z"))
-        one = one.select("item_id", F.lit(width).alias("width"), F.xxhash64(*_fields("z", width)).alias("h"), F.concat_ws(" ", *_fields("z", width)).alias("s")).distinct()
+        one = own.select(*ITEM, F.explode(shingles(F.col("w"), width)).alias("z"))
+        one = one.select(*ITEM, F.lit(width).alias("width"), F.xxhash64(*_fields("z", width)).alias("h"), F.concat_ws(" ", *_fields("z", width)).alias("s")).distinct()
         found = one if found is None else found.unionByName(one)
-    sized = found.groupBy("item_id").agg(F.count("*").alias("q"), F.array_sort(F.collect_list(F.struct("h", "s", "width"))).alias("all"))
+    sized = found.groupBy(*ITEM).agg(F.count("*").alias("q"), F.array_sort(F.collect_list(F.struct("h", "s", "width"))).alias("all"))
     # A hair is taken off before rounding up: 0.8 * 35 is 28, whatever the doubles say.
     need = F.ceil(F.col("q") * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    return sized.select("item_id", "q", need.alias("need"), F.posexplode("all").alias("rank", "x")).select("item_id", "q", "need", "rank", "x.h", "x.s", "x.width")
+    return sized.select(*ITEM, "q", need.alias("need"), F.posexplode("all").alias("rank", "x")).select(*ITEM, "q", "need", "rank", "x.h", "x.s", "x.width")
 
 
 def _join_small(big: DataFrame, small: DataFrame, rows: int, on: Column) -> DataFrame:
@@ -75,9 +87,9 @@ def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         sized = words.select("doc_id", "text_hash", "w", size.alias("size"), top.alias("top")).where("top is not null")
         hashed = sized.select("doc_id", "text_hash", "size", "top", F.explode(shingles(F.col("w"), width)).alias("z"))
         hashed = hashed.select("doc_id", "text_hash", "size", F.xxhash64(*_fields("z", width)).alias("h"), "top").where("h <= top")
-        wanted = sketch.where(F.col("width") == width).select(F.col("h").alias("ih"), "item_id", "need")
+        wanted = sketch.where(F.col("width") == width).select(F.col("h").alias("ih"), *ITEM, "need")
         met = _join_small(hashed, wanted, n_sketch, (F.col("h") == F.col("ih")) & (F.col("size") >= F.col("need")))
-        met = met.select("doc_id", "text_hash", "item_id", F.lit(width).alias("width")).distinct()
+        met = met.select(*DOC, *ITEM, F.lit(width).alias("width")).distinct()
         candidates = met if candidates is None else candidates.unionByName(met)
     if candidates is None:
         return docs.sparkSession.createDataFrame([], f"{schema}, n_shingles bigint, n_found bigint, containment double")
@@ -86,13 +98,13 @@ def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     verified = None
     for width in sorted({c["width"] for c in classes}):
         at = candidates.where(F.col("width") == width).select("doc_id", "text_hash").distinct()
-        again = texts.join(at, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        again = texts.alias("t").join(at.alias("c"), _same("t", "c", DOC), "left_semi").dropDuplicates(DOC)
         rows = again.select("doc_id", "text_hash", F.explode(shingles(words_of(F.lower("text")), width)).alias("z"))
         rows = rows.select("doc_id", "text_hash", F.concat_ws(" ", *_fields("z", width)).alias("ds"))
-        wanted = listed.where(F.col("width") == width).select("item_id", "q", "need", "s", "rank")
+        wanted = listed.where(F.col("width") == width).select(*ITEM, "q", "need", "s", "rank")
         hits = _join_small(rows, wanted, n_all, F.col("ds") == F.col("s"))
-        counted = hits.groupBy("doc_id", "text_hash", "item_id", "q", "need").agg(F.count_distinct("rank").alias("n_found"))
-        full = counted.where("n_found >= need").join(candidates, ["doc_id", "text_hash", "item_id"], "left_semi")
+        counted = hits.groupBy(*DOC, *ITEM, "q", "need").agg(F.count_distinct("rank").alias("n_found"))
+        full = counted.where("n_found >= need").alias("f").join(candidates.alias("c"), _same("f", "c", [*DOC, *ITEM]), "left_semi")
         verified = full if verified is None else verified.unionByName(full)
     return verified.select("doc_id", "text_hash", "item_id", F.col("q").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("q")).alias("containment"))
 
@@ -119,4 +131,4 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The documents that contain no benchmark item."""
     found = find_contained(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return keyed.join(found, ["doc_id", "text_hash"], "left_anti").select("doc.*")
+    return keyed.alias("k").join(found.alias("f"), _same("k", "f", DOC), "left_anti").select("doc.*")
