@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -35,8 +36,51 @@ class Bpe:
         self.end: str = model["end_of_word_suffix"] or ""
         self.rank = {tuple(pair): i for i, pair in enumerate(model["merges"])}
         self.parts = {a + b: (a, b) for a, b in self.rank}
-        self.longest = max(len(t) for t in self.vocab)
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.strings = {i: t for t, i in self.vocab.items()}
+        self.size = max(self.strings) + 1
+        self.follows: dict[int, bool] = {}
+        self._suffixes()
+
+    def _suffixes(self) -> None:
+        """An automaton over the vocabulary: from a state and a character to the state of the longest suffix that a
+        token begins with, and for each state the tokens (with their lengths) that end there, longest first."""
+        self.edges: dict[int, int] = {}
+        parent, code, own = [0], [0], [0]
+        by_depth: list[list[int]] = []
+        for token, i in self.vocab.items():
+            node, symbols = 0, self.symbols(token)
+            for depth, symbol in enumerate(symbols):
+                key = node << 12 | self.code(symbol)
+                child = self.edges.get(key)
+                if child is None:
+                    child = self.edges[key] = len(parent)
+                    parent.append(node)
+                    code.append(key & 0xFFF)
+                    own.append(-1)
+                    if depth == len(by_depth):
+                        by_depth.append([])
+                    by_depth[depth].append(child)
+                node = child
+            own[node] = (i, len(symbols))
+        self.fail, self.ending = [0] * len(parent), [()] * len(parent)
+        for depth, nodes in enumerate(by_depth):
+            for node in nodes:
+                if depth:
+                    self.fail[node] = self.step(self.fail[parent[node]], code[node])
+                shorter = self.ending[self.fail[node]]
+                self.ending[node] = (own[node], *shorter) if own[node] != -1 else shorter
+        self.steps: dict[int, int] = {}
+
+    def code(self, symbol: str) -> int:
+        """A byte-level character is under 2048; with the end mark it is another symbol."""
+        return ord(symbol[0]) | (2048 if self.end and len(symbol) > 1 else 0)
+
+    def step(self, node: int, code: int) -> int:
+        while (found := self.edges.get(node << 12 | code)) is None:
+            if not node:
+                return 0
+            node = self.fail[node]
+        return found
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: merge the pair of the lowest rank, leftmost first, until none is left. For short strings."""
@@ -49,8 +93,7 @@ class Bpe:
         return symbols
 
     def is_reached(self, token: str) -> bool:
-        known = self.follows["", token] = self.merged(self.symbols(token)) == [token]
-        return known
+        return self.merged(self.symbols(token)) == [token]
 
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and token != self.end:
@@ -74,25 +117,27 @@ class Bpe:
         A token's parts are made by merges of lower rank, so that the two edges are built in order of rank;
         at equal rank the left side's merge comes before one across the border, and that before the right side's.
         """
-        known = self.follows.get((left, right))
-        if known is None:
-            if len(self.follows) > 500_000:
-                self.follows.clear()
-            a, b = self.spine(left, True), self.spine(right, False)
-            i = j = 0
-            known = True
-            while known:
-                (x, x_goes), (y, y_goes) = a[i], b[j]
-                across = self.rank.get((x, y))
-                if across is not None and across < x_goes and across <= y_goes:
-                    known = False
-                elif x_goes == y_goes == float("inf"):
-                    break
-                elif x_goes <= y_goes:
-                    i += 1
-                else:
-                    j += 1
-            self.follows[left, right] = known
+        a, b = self.spine(left, True), self.spine(right, False)
+        i = j = 0
+        while True:
+            (x, x_goes), (y, y_goes) = a[i], b[j]
+            across = self.rank.get((x, y))
+            if across is not None and across < x_goes and across <= y_goes:
+                return False
+            if x_goes == y_goes == float("inf"):
+                return True
+            if x_goes <= y_goes:
+                i += 1
+            else:
+                j += 1
+
+    def fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` may follow ``before``, or begin a word where that is ``size``."""
+        if len(self.follows) > 1_000_000:
+            self.follows.clear()
+        right = self.strings[token]
+        known = self.is_reached(right) if before == self.size else self.may_follow(self.strings[before], right)
+        self.follows[before * self.size + token] = known
         return known
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
@@ -101,36 +146,45 @@ class Bpe:
         The state of a prefix is its last token, the one that ends there and may follow the last token of
         the prefix before it, and where that token starts. Longer tokens are tried first.
         """
-        vocab, follows, longest, end = self.vocab, self.follows, self.longest, self.end
+        size, follows, steps, ending = self.size, self.follows, self.steps, self.ending
+        mark = 2048 if self.end else 0
         found: dict[str, list[int]] = {}
-        tokens_at, starts = [""], [0]  # of the prefixes of the last piece, without an end mark
+        # Of the prefixes of the last piece, without an end mark: automaton's state, last token and its start.
+        nodes, last_tokens, starts = [0], [size], [0]
         last = ""
         for piece in sorted(set(pieces)):
             n = len(piece)
-            shared, most = 0, min(len(last), n, len(starts) - 1)
+            shared, most = 0, min(len(last), n - 1, len(starts) - 1)
             while shared < most and last[shared] == piece[shared]:
                 shared += 1
-            del tokens_at[shared + 1 :], starts[shared + 1 :]
-            marked = piece + end
-            for at in [*range(shared + 1, n), n]:
-                stop = at if at < n else len(marked)  # the whole piece ends with the mark
-                for start in range(at - longest if at > longest else 0, at):
-                    token = marked[start:stop]
-                    if token in vocab:
-                        before = tokens_at[start]
-                        known = follows.get((before, token))
-                        if known is None:
-                            known = self.may_follow(before, token) if start else self.is_reached(token)
-                        if known:
-                            break
+            del nodes[shared + 1 :], last_tokens[shared + 1 :], starts[shared + 1 :]
+            node = nodes[shared]
+            for at in range(shared + 1, n + 1):
+                key = node << 12 | ord(piece[at - 1])
+                if at == n:
+                    key |= mark
+                node = steps.get(key)
+                if node is None:
+                    if len(steps) > 1_000_000:
+                        steps.clear()
+                    node = steps[key] = self.step(key >> 12, key & 0xFFF)
+                for token, length in ending[node]:
+                    start = at - length
+                    pair = last_tokens[start] * size + token
+                    fits = follows.get(pair)
+                    if fits is None:
+                        fits = self.fits(last_tokens[start], token)
+                    if fits:
+                        break
                 else:
-                    raise ValueError(f"no token for the end of {marked[:stop]!r}")
+                    raise ValueError(f"no token for the end of {piece[:at]!r}")
                 if at < n:
-                    tokens_at.append(token)
+                    nodes.append(node)
+                    last_tokens.append(token)
                     starts.append(start)
-            ids = [vocab[token]]
+            ids = [token]
             while start:
-                ids.append(vocab[tokens_at[start]])
+                ids.append(last_tokens[start])
                 start = starts[start]
             ids.reverse()
             found[piece] = ids
@@ -139,7 +193,7 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=2)
-def trie_ids(path: str) -> tokens.BatchWordIds:
+def trie_ids(path: str) -> tokens.WordIds:
     """Word encoder of this worker: the library's normalizer and word pattern, our BPE."""
     library, bpe = tokens.library_tokenizer(path), Bpe(path)
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
@@ -158,7 +212,7 @@ def trie_ids(path: str) -> tokens.BatchWordIds:
             else:
                 yield [i for s in split[w] for i in ([special[s]] if isinstance(s, str) else [x for p in s for x in known[p]])]
 
-    return tokens.BatchWordIds(encode)
+    return tokens.WordIds(encode)
 
 
 def _around_specials(word: str) -> list[str]:
@@ -172,14 +226,15 @@ def _around_specials(word: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=2)
-def token_strings(path: str) -> list[str]:
+def token_strings(path: str) -> pa.Array:
     library = tokens.library_tokenizer(path)
-    return [library.id_to_token(i) for i in range(library.get_vocab_size())]
+    return pa.array([library.id_to_token(i) for i in range(library.get_vocab_size())], pa.string())
 
 
-def decode(ids: list[int], path: str) -> str:
+def decode_all(ids: pa.ListArray, path: str) -> pa.Array:
     """As the library's decode(ids, skip_special_tokens=False): this vocabulary has no decoder, tokens are joined by a space."""
-    return " ".join(map(token_strings(path).__getitem__, ids))
+    said = token_strings(path).take(ids.values)
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, said), " ")
 
 
 def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -187,18 +242,16 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) ->
     path = path or tokens.vocabulary_path()
     schema = df.drop("ids", "decoded").schema
     kept = schema.names
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, *tokens.BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = trie_ids(path)
         for batch in batches:
             # Few long texts at a time: their ids and decoded text are made at once.
             for part in _light_parts(batch, text):
-                raw = encoder.texts(part.column(part.schema.get_field_index(text)).to_pylist())
-                ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
-                flat = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                texts = pa.array([decode(flat[a:b].tolist(), path) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+                flat, sizes = encoder.texts(part.column(part.schema.get_field_index(text)))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.int32)))
+                texts = decode_all(ids, path)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), ids, texts], [*kept, "ids", "decoded"])
 
     out = StructType([*schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
@@ -206,8 +259,6 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) ->
 
 
 def _light_parts(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute as pc
-
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:

@@ -36,13 +36,12 @@ def flat_files(docs: DataFrame, path: str | None = None, block: int = BLOCK, end
     it holds no length and no place.
     """
     path = path or tokens.vocabulary_path()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, *tokens.BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number = TaskContext.get().partitionId(), 0
         encoder = tokens.library_ids(path, True)
         open_ids, names = np.empty(0, np.uint16), []
-        at_end = np.array([end], np.uint16)
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal open_ids, number
@@ -66,8 +65,8 @@ def flat_files(docs: DataFrame, path: str | None = None, block: int = BLOCK, end
             del names[: cuts[-1]]
 
         for batch in batches:
-            raw = encoder.texts(batch.column("text").to_pylist())
-            open_ids = np.concatenate([open_ids, *(x for r in raw for x in (np.frombuffer(r, "<u4").astype(np.uint16), at_end))])
+            plain, sizes = encoder.texts(batch.column("text"))
+            open_ids = np.concatenate([open_ids, np.insert(plain, np.cumsum(sizes), end).astype(np.uint16)])
             names += batch.column("doc_id").to_pylist()
             yield from blocks(False)
         yield from blocks(True)
