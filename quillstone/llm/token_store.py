@@ -6,10 +6,13 @@ alone, so that equal passages give equal chunks. A store is a folder with three
 * ``chunks``: one row per distinct chunk, named by the SHA-256 of its bytes (ids as little-endian
   unsigned integers of two bytes while the vocabulary allows, else four);
 * ``recipes``: one row per document in ascending doc_id order, with the names of its chunks, where
-  each ends, and the root of their Merkle tree;
-* ``manifest``: per part of the recipes, its number of ids and documents and the root over their roots.
+  each ends, and the root of the Merkle tree over them;
+* ``manifest``: the Merkle trees above: a part's leaves are its recipes in order (id, number of ids and
+  root), the store's leaves are its parts. Every node above the leaves has a row, with the numbers of
+  documents and ids below it; the last one is the store's root.
 
-Reading recomputes chunk names from the bytes and roots from the names, and fails where they differ.
+Reading recomputes chunk names from the bytes, roots from the names and the nodes from the recipes, and
+fails where they differ: a changed chunk, name, id, count or order, and a missing or added recipe or part.
 
 Edges: a null text is an empty one, whose only id is the end id; repeated rows have a recipe each and
 share chunks; an empty table gives an empty store that reads back as no rows; extra columns are not read.
@@ -17,6 +20,7 @@ share chunks; an empty table gives an empty store that reads back as no rows; ex
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 import zlib
@@ -29,12 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import tokens
-from quillstone.llm.storage import read, shared_dir, small_batches
+from quillstone.llm.storage import read, shared_dir, small_batches, stage
 
 END_ID = 1
 WINDOW, MASK, MOST = 8, 0x1FF, 4096
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-CUT_SCHEMA = "doc_id bigint, seq int, n_ids int, stop int, doc_ids int, chunk_id binary, payload binary"
+FAN, LEVELS = 256, 4  # children of a tree's node, and levels: enough for 2 ** 32 leaves
+STORE = (1 << 31) - 1  # stands for the store among the parts, after all of them
+CUT_SCHEMA = "doc_id bigint, n_tokens bigint, chunk_ids array<binary>, chunk_stops array<int>, sizes array<int>, payloads array<binary>"
 
 
 def chunk_ends(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -54,91 +60,70 @@ def chunk_ends(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def cut_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """One row per chunk, in the documents' order. A chunk's bytes are given where its task first meets it."""
-    small_batches(docs.sparkSession)
+    """One row per document: its chunks' names, ends and sizes, and their bytes where its task first meets them."""
+    small_batches(docs.sparkSession, *tokens.BATCH)
     width = 2 if max(end_id + 1, tokens.library_tokenizer(path).get_vocab_size()) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = tokens.library_ids(path), set()
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            raw = [t + end for t in encoder.texts(batch.column("text").to_pylist())]
-            lengths = np.array([len(r) // 4 for r in raw])
+            plain, sizes = encoder.texts(batch.column("text"))
+            ids = np.insert(plain, np.cumsum(sizes), end_id)  # each document ends with the end id
+            lengths = sizes + 1
             starts = np.cumsum(lengths) - lengths
-            ids = np.frombuffer(b"".join(raw), dtype="<u4")
             ends = chunk_ends(ids, starts)
             data = ids.astype(f"<u{width}").tobytes()
             begins = np.concatenate(([0], ends[:-1]))
-            doc = np.searchsorted(starts, begins, side="right") - 1
             names, payloads = [], []
-            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-                piece = data[width * a : width * b]
+            for a, b in zip((width * begins).tolist(), (width * ends).tolist(), strict=True):
+                piece = data[a:b]
                 name = hashlib.sha256(piece).digest()
                 names.append(name)
                 payloads.append(None if name in seen else piece)
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-            first = np.searchsorted(doc, np.arange(len(raw)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(doc)),
-                    pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)),
-                    pa.array((ends - begins).astype(np.int32)),
-                    pa.array((ends - starts[doc]).astype(np.int32)),
-                    pa.array(lengths[doc].astype(np.int32)),
-                    pa.array(names, pa.binary()),
-                    pa.array(payloads, pa.binary()),
-                ],
-                ["doc_id", "seq", "n_ids", "stop", "doc_ids", "chunk_id", "payload"],
-            )
+            first = np.searchsorted(begins, np.append(starts, len(ids)))  # each document's first chunk
+            columns = [pa.array(names, pa.binary()), (ends - np.repeat(starts, np.diff(first))).astype(np.int32), (ends - begins).astype(np.int32), pa.array(payloads, pa.binary())]
+            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), *lists], ["doc_id", "n_tokens", "chunk_ids", "chunk_stops", "sizes", "payloads"])
 
     return docs.select("doc_id", "text").mapInArrow(run, CUT_SCHEMA)
 
 
-def distinct_chunks(chunks: DataFrame, parts: int) -> DataFrame:
-    """Each chunk once. Tasks have left out their own repeats, so that a chunk comes at most once from each."""
+def _over(children: Column) -> Column:
+    """The hash of a node's children, an array of hex strings."""
+    return F.sha2(F.array_join(children, ",").cast("binary"), 256)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            take = []
-            for i, name in enumerate(names):
-                if name not in seen:
-                    seen.add(name)
-                    take.append(i)
-            yield batch.take(pa.array(take, pa.int64()))
 
-    return chunks.repartition(parts, "chunk_id").mapInArrow(run, chunks.schema)
+def document_root(names: Column) -> Column:
+    """The root of the Merkle tree over a document's chunk names."""
 
+    def level(nodes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / FAN).cast("int")), lambda i: _over(F.slice(nodes, i * FAN + 1, F.lit(FAN))))
 
-def merkle_root(names: Column) -> Column:
-    """SHA-256 over the children's names in order: one level of a tree of any width."""
-    return F.sha2(F.array_join(F.transform(names, lambda x: F.lower(F.hex(x))), "").cast("binary"), 256)
+    nodes = F.transform(names, lambda x: F.lower(F.hex(x)))
+    for _ in range(LEVELS):
+        nodes = F.when(F.size(nodes) > 1, level(nodes)).otherwise(nodes)
+    return nodes[0]
 
 
 def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Encode doc_id and text and write the store's tables below ``folder``, which the cluster shares."""
     spark = docs.sparkSession
-    cut = cut_documents(docs, path or tokens.vocabulary_path())
-    # Rows of a document stand together in the order of the scan: its first chunk's place numbers it.
-    cut = cut.withColumn("_at", F.monotonically_increasing_id())
-    cut.write.option("compression", "zstd").parquet(f"{folder}/cut")
-    cut = spark.read.parquet(f"{folder}/cut")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = distinct_chunks(cut.where("payload is not null").select("chunk_id", "n_ids", "payload"), parts)
-    stored.write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    # What is encoded once and read for chunks and for recipes; not a part of the store.
+    cut = stage(cut_documents(docs, path or tokens.vocabulary_path()).withColumn("_doc", F.monotonically_increasing_id()), "cut", "zstd")
+    rows = cut.select(F.explode(F.arrays_zip("chunk_ids", "sizes", "payloads")).alias("c")).where("c.payloads is not null")
+    chunks = rows.select(F.col("c.chunk_ids").alias("chunk_id"), F.col("c.sizes").alias("n_ids"), F.col("c.payloads").alias("payload"))
+    # A chunk comes at most once from each task; equal ones meet and one stays, by a sort that can spill.
+    chunks.repartition("chunk_id").dropDuplicates(["chunk_id"]).write.option("compression", "zstd").parquet(f"{folder}/chunks")
     recipes = (
-        cut.select("doc_id", (F.col("_at") - F.col("seq")).alias("_doc"), "doc_ids", F.struct("seq", "stop", "chunk_id").alias("c"))
-        .groupBy("doc_id", "_doc")
-        .agg(F.first("doc_ids").cast("long").alias("n_tokens"), F.array_sort(F.collect_list("c")).alias("c"))
-        .select("doc_id", "_doc", "n_tokens", F.col("c.chunk_id").alias("chunk_ids"), F.col("c.stop").alias("chunk_stops"))
-        .withColumn("root", merkle_root(F.col("chunk_ids")))
-        .repartitionByRange(parts, "doc_id", "_doc")
+        cut.select("doc_id", "_doc", "n_tokens", "chunk_ids", "chunk_stops")
+        .withColumn("root", document_root(F.col("chunk_ids")))
+        .repartitionByRange("doc_id", "_doc")
         .sortWithinPartitions("doc_id", "_doc")
         .withColumn("part", F.spark_partition_id())
-        .withColumn("place", F.monotonically_increasing_id())
+        .withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_doc")
     )
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
@@ -146,12 +131,19 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
 
 
 def manifest_of(recipes: DataFrame) -> DataFrame:
-    """Per part: documents, ids, and a root that any change of a recipe's root or place changes.
-
-    The part's root is the sum of its leaves' hashes: it needs no task that holds all roots of a part.
-    """
-    leaf = F.conv(F.substring(F.sha2(F.concat_ws(":", "place", "root").cast("binary"), 256), 1, 8), 16, 10).cast("long")
-    return recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum(leaf).alias("root"))
+    """The nodes above the recipes: (part, level, node), the numbers of documents and ids below, and the hash of the
+    children in order. A node gathers no more than FAN children, so that no task holds a part's leaves."""
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", "root").cast("binary"), 256)
+    nodes, out = recipes.select("part", F.col("place").alias("node"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", leaf.alias("hash")), None
+    for level in range(1, 2 * LEVELS + 1):
+        if level == LEVELS + 1:  # a part has one node left: parts are the store's leaves
+            nodes = nodes.select(F.lit(STORE).alias("part"), F.col("part").cast("long").alias("node"), "n_docs", "n_tokens", _over(F.array(F.col("part").cast("string"), "hash")).alias("hash"))
+        children = F.array_sort(F.collect_list(F.struct("node", "hash")))
+        nodes = nodes.groupBy("part", F.floor(F.col("node") / FAN).alias("above")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _over(children["hash"]).alias("hash"))
+        nodes = nodes.withColumnRenamed("above", "node")
+        own = nodes.select("part", F.lit(level).alias("level"), "node", "n_docs", "n_tokens", "hash")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _checked(found: Column, wanted: Column, what: str, value: Column) -> Column:
@@ -171,14 +163,16 @@ def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
     Starts come from the manifest's sums over parts and a running sum inside each part.
     """
     recipes = spark.read.parquet(f"{folder}/recipes")
-    root = merkle_root(F.col("chunk_ids"))
+    root = document_root(F.col("chunk_ids"))
     recipes = recipes.withColumn("root", _checked(root, F.col("root"), "a recipe does not match its root", F.col("root")))
-    said = spark.read.parquet(f"{folder}/manifest")
-    seen = manifest_of(recipes).select("part", F.struct("n_docs", "n_tokens", "root").alias("seen"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    # A part's root and the store's stand for all nodes below them.
+    tops = F.col("level") == F.when(F.col("part") == STORE, 2 * LEVELS).otherwise(LEVELS)
+    said = spark.read.parquet(f"{folder}/manifest").where(tops)
+    seen = manifest_of(recipes).where(tops).select("part", F.struct("n_docs", "n_tokens", "hash").alias("seen"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part, the store's last
     sums = (
         said.join(seen, "part", "full")
-        .withColumn("n_tokens", _checked(F.struct("n_docs", "n_tokens", "root"), F.col("seen"), "a part does not match the manifest", F.col("n_tokens")))
+        .withColumn("n_tokens", _checked(F.struct("n_docs", "n_tokens", "hash"), F.col("seen"), "a part does not match the manifest", F.col("n_tokens")))
         .select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
     )
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -198,21 +192,34 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@functools.cache
+def _ahead(power: int) -> np.ndarray:
+    """Tables that move a CRC-32 ahead of 2 ** power zero bytes: for each of its four bytes, what each value adds.
+
+    The move is linear: a value's image is the XOR of its bits' images, and those of a double step are two moves.
+    """
+    if power:
+        one = _ahead(power - 1)
+        bits = _moved(one, _moved(one, np.uint32(1) << np.arange(32, dtype=np.uint32)))
+    else:
+        bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        for _ in range(8):
+            bits = (bits >> np.uint32(1)) ^ np.where(bits & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    values = np.arange(256)
+    return np.array([np.bitwise_xor.reduce([np.where(values >> i & 1, bits[8 * k + i], np.uint32(0)) for i in range(8)]) for k in range(4)])
+
+
+def _moved(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return tables[0][crc & 255] ^ tables[1][crc >> np.uint32(8) & 255] ^ tables[2][crc >> np.uint32(16) & 255] ^ tables[3][crc >> np.uint32(24)]
+
+
 def _times_x(crc: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """CRC-32 values moved ahead of ``following`` more bytes: products in GF(2)[x] modulo the CRC polynomial."""
-    poly = np.uint32(0xEDB88320)
-
-    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(a)
-        for bit in range(31, -1, -1):
-            out ^= np.where((a >> np.uint32(bit)) & np.uint32(1), b, np.uint32(0))
-            b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), poly, np.uint32(0))
-        return out
-
-    out, power, left = crc.astype(np.uint32), np.full(1, 1 << 23, np.uint32), following.astype(np.int64)  # x ** 8
-    while left.any():
-        out = np.where(left & 1, product(np.broadcast_to(power, out.shape).copy(), out.copy()), out)
-        power, left = product(power, power.copy()), left >> 1
+    """CRC-32 values moved ahead of ``following`` more bytes each."""
+    out, power = crc.astype(np.uint32), 0
+    while (following >> power).any():
+        own = np.flatnonzero(following >> power & 1)
+        out[own] = _moved(_ahead(power), out[own])
+        power += 1
     return out
 
 
