@@ -1,16 +1,21 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by where it stands
-(menus, headers, footers, sidebars, adverts, forms and comments are boilerplate) and by link density,
-length and stop-word density. Short blocks that these rules leave open get, in the second pass, the label
-of the nearest decided blocks of the same container; inside a page's article they count as text.
+A page is cut into blocks at block-level tags, in one pass over it whose time grows with its length alone.
+The first pass decides each block by where it stands (menus, headers, footers, sidebars, adverts, forms and
+comments are boilerplate, and so is all that lies outside the article of a page that has one), then by link
+density, length and stop-word density: blocks mostly of links are boilerplate, blocks rich in stop words are
+text, short blocks and long ones of unknown vocabulary stay open. The second pass gives these the label of
+the nearest decided blocks of the same container; text wins a tie. Where nothing is text yet, long open blocks are;
+where nothing is decided, an article's blocks are text and others are not.
 
-Edges: null or empty html gives an empty text; unclosed tags end with their container; comments, scripts
-and styles never give text; repeated rows are extracted alike; long pages are read whole.
+Edges: null or empty html gives an empty text; unclosed tags end with their container, an unclosed comment
+with the page; comments, scripts and styles never give text; a ``<`` that begins no tag is text; repeated rows
+are extracted alike; long pages are read whole.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -37,9 +42,10 @@ NAMES = re.compile(
     r"popup|modal|toolbar|pagination|pager|widget)(?:$|[\s_-])",
     re.I,
 )
-TAG = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
+#: Attributes with quoted values, within bounds that keep an unclosed quote from being sought through the page; else up to the next ``>``.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,400}+)>|([^>]*)>)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.3, 0.2
+SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_INSIDE = 70, 200, 0.1, 0.3, 0.2, 0.8
 STOPS = frozenset(STOP_WORDS)
 
 
@@ -61,23 +67,89 @@ def _is_boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
+class _Frame(NamedTuple):
+    """An open block-level element, and by name the inline elements open in it (whether each is boilerplate)."""
+
+    name: str
+    boilerplate: bool
+    main: bool
+    inline: dict[str, list[bool]]
+
+
+class _Open:
+    """The open elements. Counters stand for them, so that no tag or text looks through them."""
+
+    def __init__(self):
+        self.frames = [_Frame("", False, False, {})]
+        self.named: dict[str, int] = {}
+        self.boilerplate = self.main = self.links = 0
+
+    def context(self) -> str:
+        return "boiler" if self.boilerplate else "main" if self.main else "open"
+
+    def begin(self, name: str, boilerplate: bool) -> None:
+        self.frames.append(_Frame(name, boilerplate, name in MAIN, {}))
+        self.named[name] = self.named.get(name, 0) + 1
+        self.boilerplate += boilerplate
+        self.main += name in MAIN
+
+    def end_last(self) -> None:
+        frame = self.frames.pop()
+        self.named[frame.name] -= 1
+        self.boilerplate -= frame.boilerplate + sum(map(sum, frame.inline.values()))
+        self.main -= frame.main
+        self.links -= len(frame.inline.get("a", ()))
+
+    def end(self, name: str) -> None:
+        """Ends the innermost element of this name and all that is open in it; without one, nothing."""
+        while self.named.get(name):
+            last = self.frames[-1].name
+            self.end_last()
+            if last == name:
+                break
+
+    def begin_inline(self, name: str, boilerplate: bool) -> None:
+        self.frames[-1].inline.setdefault(name, []).append(boilerplate)
+        self.boilerplate += boilerplate
+        self.links += name == "a"
+
+    def end_inline(self, name: str) -> None:
+        if own := self.frames[-1].inline.get(name):
+            self.boilerplate -= own.pop()
+            self.links -= name == "a"
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space inside each turned into single spaces."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
-    parts: list[str] = []
+    opened, parts = _Open(), []
     linked, at, end = 0, 0, len(page)
+    never: set[str] = set()  # what does not come any more
+
+    def after(what: str, start: int) -> int:
+        """The place after the next ``what``, or -1; what was once sought in vain is not sought again."""
+        if what in never:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            never.add(what)
+            return -1
+        return found + len(what)
 
-    def context() -> str:
-        if any(b for _, b, _ in stack):
-            return "boiler"
-        return "main" if any(m for *_, m in stack) else "open"
+    def after_raw(name: str, start: int) -> int:
+        if name in never:
+            return -1
+        found = _closing(name).search(page, start)
+        if not found:
+            never.add(name)
+            return -1
+        return found.end()
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append(Block(text, linked, context()))
+            blocks.append(Block(text, linked, opened.context()))
         parts, linked = [], 0
 
     def say(raw: str) -> None:
@@ -85,80 +157,90 @@ def blocks_of(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(name == "a" for name, *_ in stack):
+            if opened.links:
                 linked += len(text.strip())
 
     while at < end:
-        m = TAG.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
             break
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:-3])
+        say(page[at:start])
+        at = start
+        if page.startswith("<!--", at):
+            stop = after("-->", at + 4)
+            at = stop if stop >= 0 else end
             continue
-        closing, attributes = m[1] or m[4] or "", m[3] or m[6] or ""
-        if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else (end if name != "head" else at)
+        if page.startswith("<![CDATA[", at) and (stop := after("]]>", at)) >= 0:
+            say(page[at + 9 : stop - 3])
+            at = stop
             continue
-        if name == "br":
+        if page[at + 1 : at + 2] in ("!", "?") and (stop := after(">", at)) >= 0:
+            at = stop
+            continue
+        m = None if ">" in never else TAG.match(page, at)
+        if not m:
+            after(">", at)
+            say("<")
+            at += 1
+            continue
+        at = m.end()
+        name, attributes = m[2].lower(), m[3] or m[4] or ""
+        if name in RAW:
+            if not m[1] and not attributes.endswith("/"):
+                stop = after_raw(name, at)
+                at = stop if stop >= 0 else (end if name != "head" else at)
+        elif name == "br":
             parts.append(" ")
         elif name in INLINE:
-            if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if m[1]:
+                opened.end_inline(name)
             elif name not in VOID and not attributes.endswith("/"):
-                stack.append((name, _is_boilerplate(name, attributes), False))
+                opened.begin_inline(name, _is_boilerplate(name, attributes))
         else:
             flush()
-            if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+            if m[1]:
+                opened.end(name)
             elif name not in VOID and not attributes.endswith("/"):
-                # An open paragraph, and what is open inside it, ends where another block begins.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-                stack.append((name, _is_boilerplate(name, attributes), name in MAIN))
+                if opened.frames[-1].name == "p":  # an open paragraph ends where another block begins
+                    opened.end_last()
+                opened.begin(name, _is_boilerplate(name, attributes))
     say(page[at:])
     flush()
     return blocks
 
 
+@functools.cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOPS for w in words) / len(words)
+
+
 def first_pass(block: Block, has_main: bool) -> bool | None:
     """Text (True), boilerplate (False), or undecided (None)."""
-    if block.context == "boiler":
+    if block.context == "boiler" or (has_main and block.context == "open"):
         return False
-    if has_main:
-        # The article holds all of the text: outside it nothing is, inside it only short blocks are open.
-        return None if block.context == "main" and len(block.text) < SHORT else block.context == "main"
-    if block.link_chars > LINKS * len(block.text):
+    if block.link_chars > (LINKS if block.context == "open" else LINKS_INSIDE) * len(block.text):
         return False
     if len(block.text) < SHORT:
-        return False if block.link_chars else None
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOPS for w in words) / len(words)
-    if stops >= STOP_HIGH or (stops >= STOP_LOW and len(block.text) > LONG):
-        return True
-    return None if stops >= STOP_LOW else False
+        return False if block.link_chars and block.context == "open" else None
+    stops = stop_density(block.text)
+    return True if stops >= STOP_HIGH or (stops >= STOP_LOW and len(block.text) > LONG) else None
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided ones of their context; text wins a tie only at equal distance."""
-    n = len(blocks)
+    """Undecided blocks take the label of the nearest decided ones of their context; text wins a tie.
+
+    In a context without text, the undecided blocks of some length are taken for it: its language is not known.
+    """
+    n, labels = len(blocks), list(labels)
+    rich = {b.context for b, label in zip(blocks, labels, strict=True) if label}
+    for i, b in enumerate(blocks):
+        if labels[i] is None and b.context not in rich and len(b.text) >= SHORT:
+            labels[i] = True
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
     for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
