@@ -278,14 +278,14 @@ def test_decontamination_query(spark, docs):
 URLS = [None, "", "no scheme", "http://EXAMPLE.com/en/x", "https://www.example.com/en/y?q=/es/", "http://a.b.net/es/1#f", "http://net/fr/", "http://com", "http://com/", "ftp://notexample.com/en/", "x://y.net?z/es/", "http://spam-farm.example.org/q", "http://://x"]
 
 
-def brute_url(url, rules=url_filters.RULES, listed=url_filters.LISTED):
+def brute_url(url, rules=url_filters.RULES, sites=url_filters.SITES, keys=()):
     import re
 
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate(str.maketrans(url_filters.UPPER, url_filters.LOWER)), m[2]) if m else ("", "")
     on = lambda h: host == h or host.endswith("." + h)
     fits = [(len(h + p), h + p, v) for h, p, v in rules if on(h) and path.startswith(p)]
-    bad = any(on(h) and path.startswith(p) for h, p in listed)
+    bad = any(map(on, sites)) or bool(host) and host + path in keys
     return (host, path, max(fits)[1], max(fits)[2]) if fits else (host, path, None, "block" if bad else "allow")
 
 
@@ -296,6 +296,27 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [64, url_filters.MAX_BITS])
+def test_url_list_of_any_size(spark, max_bits):
+    """A listed table is exact as a cascade, and as a join where a level would be too large."""
+    urls = [*URLS, *(f"https://h{i % 7}.example.org/p/{i % 400}?q={i}" for i in range(900))]
+    keys = {f"h{i % 7}.example.org/p/{i}" for i in range(0, 400, 3)} | {"a.b.net/es/1"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    listed = spark.createDataFrame([(k,) for k in [*sorted(keys), "nowhere.example/x", None, min(keys)]], "key string")
+    universe = pages.select(url_filters.page_key(*url_filters.host_and_path(F.col("url"))).alias("key"))
+    assert (url_filters.build_cascade(listed, universe, max_bits) is None) == (max_bits == 64)
+    got = url_filters.filter_urls(pages, rules=url_filters.RULES[3:], sites=(), listed=listed, max_bits=max_bits) if max_bits > 64 else url_filters.filter_urls(pages, rules=(), sites=(), listed=listed, max_bits=64)
+    rules = url_filters.RULES[3:] if max_bits > 64 else ()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: brute_url(u, rules, (), keys) for i, u in enumerate(urls)}
+
+
+def test_url_query(spark):
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    keys = {h + p for r in rows if len(r.html or "") < url_filters.THIN for h, p, *_ in [brute_url(r.url)] if h}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.QUERIES["op1_url_filters"](spark, SMALL).collect()}
+    assert got == {r.page_id: brute_url(r.url, keys=keys) for r in rows}
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(20000).select(F.md5(F.col("id").cast("string")).alias("key"))
     listed = keys.where(F.conv(F.left("key", F.lit(2)), 16, 10).cast("int") < 10)
@@ -384,12 +405,43 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-def test_html_query_keeps_articles(spark):
+def article_text(page):
     import html
     import re
 
+    inside = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<(?!/?b>)[^>]*>", " ", inside))).split())
+
+
+def test_html_without_article_tags(spark):
+    """The two passes alone find the articles' text and none of what stands around it."""
+    kept = total = 0
+    for r in spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet").collect():
+        article = set(html_text.main_text(r.html).split("\n"))
+        found = [b for b in html_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")).split("\n") if b]
+        assert set(found) <= article
+        kept, total = kept + sum(map(len, found)), total + sum(map(len, article))
+    assert kept >= 0.95 * total
+
+
+def test_html_rules_decide_inside_an_article():
+    text = "the cat is on the mat and the dog is in the house with a bone"
+    links = "".join(f"<a href=x>Another page about number {i}</a> " for i in range(6))
+    page = f"<article><p>{text} {text}</p><p>Short.</p><div>{links}</div><p>{text} {text}</p></article><div>{text} {text}</div>"
+    assert html_text.main_text(page) == f"{text} {text}\nShort.\n{text} {text}"
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<b>x" * 50_000, '<a "' * 50_000, '<a "' * 50_000 + ">", "<i>" * 30_000 + "<b>" * 30_000 + "</i>" * 30_000, "<![CDATA[>" * 50_000, "<!-- " * 50_000, "< " * 50_000, "<head>" * 50_000, "</div>x" * 50_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 3
+
+
+def test_html_query_keeps_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     for r in queries.QUERIES["op9_html_text"](spark, SMALL).collect():
-        inside = re.search(r"(?s)<article>(.*?)</article>", pages[r.page_id])[1]
-        want = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<(?!/?b>)[^>]*>", " ", inside))).split())
+        want = article_text(pages[r.page_id])
         assert r.text.replace("\n", " ") == want and r.n_chars == len(r.text)
