@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.storage import cut, read
+from quillstone.llm.storage import cut, read, stage
 
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -167,12 +167,12 @@ def fit_label_model(patterns: list[tuple[dict[str, int | None], int]], rules: li
     return LabelModel(prior, good, bad)
 
 
-def label_model_of(signals: DataFrame) -> LabelModel:
+def fit_votes(voted: DataFrame) -> LabelModel:
     """Count the vote patterns of all rows, then fit; the driver sees at most 3 ** rules counts."""
-    votes = rule_votes()
-    rows = signals.select(*(v.alias(k) for k, v in votes.items())).groupBy(*votes).agg(F.count("*").alias("n")).collect()
-    ordered = sorted(rows, key=lambda r: tuple(-1 if r[k] is None else r[k] for k in votes))
-    return fit_label_model([({k: r[k] for k in votes}, r["n"]) for r in ordered], list(votes))
+    rules = voted.columns
+    rows = voted.groupBy(*rules).agg(F.count("*").alias("n")).collect()
+    ordered = sorted(rows, key=lambda r: tuple(-1 if r[k] is None else r[k] for k in rules))
+    return fit_label_model([({k: r[k] for k in rules}, r["n"]) for r in ordered], rules)
 
 
 def base_failed() -> Column:
@@ -181,7 +181,7 @@ def base_failed() -> Column:
 
 def judged(signals: DataFrame) -> DataFrame:
     """Adds base_failed, quality (the posterior) and kept to the columns of base_signals."""
-    model = label_model_of(signals)
+    model = fit_votes(signals.select(*(v.alias(k) for k, v in rule_votes().items())))
     return (
         signals.withColumn("base_failed", base_failed())
         .withColumn("quality", model.probability(rule_votes()))
@@ -198,11 +198,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep; the other columns stay as they are."""
+    """The documents that the rules keep; the other columns stay as they are.
+
+    Rows are staged beside their votes, so that the signals are computed once; fitting reads the votes alone.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    model = label_model_of(base_signals(rows, []))
-    # Made by a generator of one row, through which no filter is pushed: the signals are computed once a row.
-    made = base_signals(rows, ["row"])
-    signals = made.select("row", F.inline(F.array(F.struct(*(c for c in made.columns if c != "row")))))
-    good = ~base_failed() & (model.probability(rule_votes()) >= 0.5)
-    return signals.where(good).select("row.*")
+    votes = rule_votes()
+    made = base_signals(rows, ["row"]).select("row", base_failed().alias("base_failed"), *(v.cast("byte").alias(k) for k, v in votes.items()))
+    voted = stage(made, "votes")
+    model = fit_votes(voted.select(*votes))
+    good = ~F.col("base_failed") & (model.probability({k: F.col(k) for k in votes}) >= 0.5)
+    return voted.where(good).select("row.*")
