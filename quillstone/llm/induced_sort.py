@@ -94,23 +94,37 @@ def pair_ranks(first: np.ndarray, second: np.ndarray, second_max: int, memory_ro
     return dense_ranks(first.astype(np.uint64) * np.uint64(second_max + 1) + second.astype(np.uint64), memory_rows)
 
 
-def s_star(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def s_star(text: np.ndarray, memory_rows: int = MEMORY_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Places whose suffix is smaller than the next place's, but not the place before; ends of strings (0) count.
 
-    Also how many characters after each place must be seen to tell that it is one.
+    Also how many characters after each place must be seen to tell that it is one. Block by block from the end,
+    so that arrays over all characters are never in memory.
     """
-    n = len(text)
-    change = np.sign(text[1:].astype(np.int16) - text[:-1]).astype(np.int8)
-    change = np.append(change, np.int8(-1))
-    where = np.where(change != 0, np.arange(n), n - 1)
-    following = np.minimum.accumulate(where[::-1])[::-1]  # the next place at which the text changes
-    is_s = change[following] > 0
-    star = is_s.copy()
-    star[1:] &= ~is_s[:-1]
-    star[0] = False
-    star[text == 0] = True
-    places = np.flatnonzero(star)
-    return places, following[places] + 1 - places
+    n, found, seen = len(text), [], []
+    step = max(2, memory_rows)
+    later, rising, first_is_s = n - 1, False, False  # the next place where the text changes, how, and the type of the place after the block
+    for start in range((n - 1) // step * step, -1, -step) if n else ():
+        stop = min(n, start + step)
+        own = np.asarray(text[start : stop + 1]).astype(np.int16)
+        change = np.sign(np.diff(own)).astype(np.int8)
+        if stop == n:
+            change = np.append(change, np.int8(-1))
+        where = np.where(change != 0, np.arange(len(change)), len(change))
+        following = np.minimum.accumulate(where[::-1])[::-1]
+        inside = following < len(change)
+        is_s = np.where(inside, change[np.minimum(following, len(change) - 1)] > 0, rising)
+        far = np.where(inside, following + start, later)
+        star = own[: len(change)] == 0
+        star[1:] |= is_s[1:] & ~is_s[:-1]
+        if found and first_is_s and not is_s[-1] and not found[-1][1]:  # the first place of the block after this one
+            found.append((np.array([stop]), True))
+            seen.append(np.array([first_far + 1 - stop]))
+        places = np.flatnonzero(star)
+        found.append((places + start, bool(star[0])))
+        seen.append(far[places] + 1 - (places + start))
+        later, rising, first_is_s, first_far = int(far[0]), bool(is_s[0]), bool(is_s[0]), int(far[0])
+    join = lambda parts: np.concatenate([np.empty(0, np.int64), *parts[::-1]]).astype(np.int64)
+    return join([p for p, _ in found]), join(seen)
 
 
 def _names(text: np.ndarray, places: np.ndarray, ends: np.ndarray, memory_rows: int) -> tuple[np.ndarray, int]:
@@ -144,7 +158,7 @@ def sorted_s_star(text: np.ndarray, length: int, memory_rows: int = MEMORY_ROWS)
 
     The common prefix of an entry is that with the entry before it in the order, exact up to ``length``.
     """
-    places, _ = s_star(text)
+    places, _ = s_star(text, memory_rows)
     nxt = np.append(places[1:], len(text))
     closed = text[places] == 0
     # A string's end is a substring of its own: nothing is read across it.
@@ -209,7 +223,7 @@ def repeated_places(text: np.ndarray, length: int, memory_rows: int = MEMORY_ROW
     if not n:
         return out
     places, order, common = sorted_s_star(text, length, memory_rows)
-    _, seen_after = s_star(text)
+    _, seen_after = s_star(text, memory_rows)
     # Up to which distance before it a window of ``length`` shows the S* place to be one. Windows that show
     # none (almost all of one character) are not induced but compared as they are.
     shown = np.where(text[places] == 0, -1, length - 1 - seen_after)[order]

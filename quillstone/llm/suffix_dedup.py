@@ -7,7 +7,11 @@
    that stand in one snippet alone repeat nothing. Both are settled by counting hashes, without texts.
 3. Sorting. Only what is left, distinct snippets under one anchor hash, is dealt to shards by that hash,
    and each shard's suffixes are sorted by external induced sorting (``induced_sort``), which finds the
-   windows that stand twice.
+   windows that stand twice. An anchor hash with more snippets than a shard should hold (a frequent line of 32
+   to 199 bytes among ever different text) is not sorted in one task: hashes of its windows are counted.
+
+Keys that many rows share are dealt to several tasks: rows of a hash or text with over an eighth of a task's
+fair share get a number of salts, and what they are joined with is repeated for each.
 
 Matches never cross documents. Texts are taken whole; a null text is an empty one.
 
@@ -17,6 +21,7 @@ its own loses them; empty tables give empty results; extra columns are not read.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.induced_sort import repeated_places
-from quillstone.llm.storage import read, small_batches, stage
+from quillstone.llm.storage import cut, read, small_batches, stage
 
 LENGTH, KMER, PIECE = 200, 32, 1 << 19
-SHARD_BYTES = 32 << 20
+SHARD_BYTES, LEAST_HOT = 32 << 20, 500
 ANCHORS = "k1 bigint, k2 bigint, n_bytes bigint, hashes array<bigint>, snippets array<bigint>, starts array<int>, sizes array<int>"
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _MIX = np.array([0xD6E8FEB86659FD93], np.uint64), np.uint64(0x9E3779B97F4A7C15)
@@ -114,16 +119,17 @@ def sort_shards(snippets: DataFrame, shards: int, length: int = LENGTH) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, places, rows = bytearray(), [0], []
+        file, places, rows = tempfile.TemporaryFile(), [0], []  # of this task alone, gone with it
         for batch in batches:
             rows.append(batch.select(["k1", "k2", "start"]))
             for piece in batch.column(batch.schema.get_field_index("bytes")):
-                data += piece.as_buffer()
-                data.append(0xFF)  # in no UTF-8 text
-                places.append(len(data))
+                # No UTF-8 text holds the byte 255: all others become 1 and more, and 0 closes a string.
+                file.write((np.frombuffer(piece.as_buffer(), np.uint8) + np.uint8(1)).tobytes() + b"\0")
+                places.append(places[-1] + len(piece.as_buffer()) + 1)
         if not rows:
             return
-        text = np.frombuffer(data, np.uint8) + np.uint8(1)  # the closing byte becomes 0, all others 1 and more
+        file.flush()
+        text = np.memmap(file, np.uint8, "r", shape=(places[-1],))
         again = repeated_places(text, length)
         edge = np.diff(np.concatenate(([0], again.view(np.int8), [0])))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -137,40 +143,108 @@ def sort_shards(snippets: DataFrame, shards: int, length: int = LENGTH) -> DataF
             keys = [pa.array(table.column(c).to_numpy()[owner[own]], pa.int64()) for c in ("k1", "k2")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(start[own], pa.int64()), pa.array(stop[own], pa.int64())], ["k1", "k2", "start", "stop"])
 
-    dealt = snippets.repartition(shards, "hash")
-    # Copies of a text give a snippet once each: one is kept. Rows of a hash are in one partition already.
-    single = dealt.dropDuplicates(["hash", "snippet"])
+    # Copies of a text may each have given a place: one is kept. Rows of a hash are in one partition already.
+    single = snippets.repartition(shards, "hash").dropDuplicates(["hash", "k1", "k2", "start"])
     return single.select("k1", "k2", "start", "bytes").mapInArrow(run, "k1 bigint, k2 bigint, start bigint, stop bigint")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """k1, k2 (see text_keys) and ``spans``: overlapping stretches, unmerged, of each text that has any."""
+def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of each ``length`` bytes: of the two runs, the greatest of a power of two, that cover them."""
+    k = 1 << (length.bit_length() - 1)
+    h = _kmer_hashes(data, k)
+    both = h[: len(data) - length + 1] * _MIX + h[length - k :]
+    return (both ^ (both >> np.uint64(31))) * _A
+
+
+def counted_windows(snippets: DataFrame, length: int = LENGTH, salts: int = 16) -> DataFrame:
+    """(k1, k2, start, stop) of the windows of ``snippets`` (k1, k2, start, bytes) that stand twice, by counting."""
+    small_batches(snippets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [window_hashes(np.frombuffer(x.as_buffer(), np.uint8), length).view(np.int64) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), _lists(hashes)], ["k1", "k2", "start", "windows"])
+
+    single = snippets.select("k1", "k2", "start", "bytes").dropDuplicates(["k1", "k2", "start"])
+    made = single.mapInArrow(run, "k1 bigint, k2 bigint, start bigint, windows array<bigint>")
+    rows = made.select("k1", "k2", "start", F.posexplode("windows").alias("i", "w")).select("k1", "k2", (F.col("start") + F.col("i")).alias("start"), "w")
+    rows = stage(rows, "windows")
+    twice = rows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(salts)).cast("int"))
+    return dealt.join(twice, ["w", "salt"], "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
+
+
+def hot_bound(counts: DataFrame, parts: int) -> int:
+    """An eighth of a task's fair share of the rows that ``counts`` (column n) counts."""
+    return max(LEAST_HOT, (counts.agg(F.sum("n")).first()[0] or 0) // (8 * parts))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``keys`` and ``salts`` of the rows of ``counts`` (keys, n) with n over a hot_bound: 8 * parts of them at the most."""
+    return counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts"))
+
+
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with ``salt``, from the columns ``by`` for hot keys and else 0. The hot keys are few: see hot_keys."""
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    return marked.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*by), F.col("salts"))).otherwise(0).cast("int")).drop("salts")
+
+
+def repeated_for(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` once for each salt of their keys."""
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    return marked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """k1, k2 (see text_keys) and ``spans``: overlapping stretches, unmerged, of each text that has any; and hot texts."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = stage(anchor_table(docs, text, length), "anchors")
-    copied = anchors.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("n_bytes").alias("stop")).where((F.col("n") > 1) & (F.col("stop") >= length))
-    whole = copied.select("k1", "k2", F.lit(0).cast("long").alias("start"), "stop")
+    texts = stage(anchors.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("n_bytes").alias("stop")).where("n > 1"), "texts")
+    whole = texts.where(F.col("stop") >= length).select("k1", "k2", F.lit(0).cast("long").alias("start"), "stop")
 
     place = F.explode(F.arrays_zip("hashes", "snippets", "starts", "sizes")).alias("a")
     rows = anchors.select("k1", "k2", place).select("k1", "k2", F.col("a.hashes").alias("hash"), F.col("a.snippets").alias("snippet"), F.col("a.starts").cast("long").alias("start"), F.col("a.sizes").alias("size"))
     # Most anchor hashes stand once: only rows of the others go on.
-    again = rows.select("hash").groupBy("hash").count().where("count > 1").select("hash")
-    met = stage(rows.join(again, "hash"), "met")
+    again = stage(rows.select("hash").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    most = hot_bound(again, parts)
+    hot = hot_keys(again, ["hash"], most)
+    met = salted(rows, hot, ["hash"], ["k1", "k2", "start"]).join(repeated_for(again.select("hash"), hot, ["hash"]), ["hash", "salt"])
+    met = stage(met, "met")
     # Per snippet of an anchor hash its number and one place; per anchor hash the number of its snippets.
     each = met.groupBy("hash", "snippet").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("one"))
     kinds = met.groupBy("hash").agg((F.min("snippet") < F.max("snippet")).alias("mixed")).where("mixed").select("hash")
 
     often = each.where("n > 1").select("hash", "snippet")
-    covered = met.join(often, ["hash", "snippet"], "left_semi").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop"))
-
-    mixed = stage(each.join(kinds, "hash").select("hash", "snippet", "one.*"), "mixed")
-    total = mixed.agg(F.sum("size")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    keyed = docs.select(*text_keys(F.col(text)), F.col(text).cast("binary").alias("b"))
-    taken = mixed.join(keyed, ["k1", "k2"]).withColumn("bytes", F.substring(F.col("b"), F.col("start").cast("int") + 1, F.col("size"))).drop("b")
-    found = sort_shards(taken, shards, length)
+    covered = met.join(repeated_for(often, hot, ["hash"]), ["hash", "snippet", "salt"], "left_semi")
+    covered = covered.select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop"))
+
+    # Only hot hashes can have very many snippets.
+    crowds = met.join(F.broadcast(hot), "hash", "left_semi").select("hash", "snippet").distinct().groupBy("hash").agg(F.count("*").alias("n"))
+    crowded = cut(hot_keys(crowds, ["hash"], most))
+    mixed = salted(each.select("hash", "snippet", "one.*"), crowded, ["hash"], ["snippet"]).join(repeated_for(kinds, crowded, ["hash"]), ["hash", "salt"])
+    mixed = mixed.join(F.broadcast(crowded), "hash", "left").select("hash", "k1", "k2", "start", "size", F.col("salts").isNotNull().alias("crowded"))
+    mixed = stage(mixed, "mixed")
+    total = mixed.where("not crowded").agg(F.sum("size")).first()[0] or 0
+    shards = max(parts, -(-total // SHARD_BYTES))
+    hot_texts = hot_keys(texts, ["k1", "k2"], hot_bound(texts, parts))
+    key = ["k1", "k2", "salt"]
+    keyed = docs.select(*text_keys(F.col(text)), F.col(text).cast("binary").alias("b"), F.monotonically_increasing_id().alias("row"))
+    keyed = salted(keyed, hot_texts, ["k1", "k2"], ["row"])
+
+    def with_bytes(places: DataFrame) -> DataFrame:
+        # Of a text's copies one goes on from each task.
+        places = repeated_for(places, hot_texts, ["k1", "k2"])
+        own = keyed.join(places.select(*key).distinct(), key, "left_semi").select(*key, "b").dropDuplicates(key)
+        return places.join(own, key).withColumn("bytes", F.substring(F.col("b"), F.col("start").cast("int") + 1, F.col("size"))).drop("b")
+
+    found = sort_shards(with_bytes(mixed.where("not crowded")), shards, length)
+    if not crowded.isEmpty():
+        found = found.unionByName(counted_windows(with_bytes(mixed.where("crowded")), length))
 
     spans = whole.unionByName(covered).unionByName(found)
-    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), hot_texts
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
@@ -179,8 +253,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wh
     With ``whole_characters``, a stretch is narrowed to the characters that lie in it entirely.
     """
     fields = docs.drop("spans", "kept").columns
-    keyed = docs.select(F.struct(*fields).alias("doc"), *text_keys(F.col(text)))
-    found = keyed.join(repeated_spans(docs, text, length), ["k1", "k2"], "left").select("doc", "spans")
+    spans, hot = repeated_spans(docs, text, length)
+    keyed = docs.select(F.struct(*fields).alias("doc"), *text_keys(F.col(text)), F.monotonically_increasing_id().alias("row"))
+    found = salted(keyed, hot, ["k1", "k2"], ["row"]).join(repeated_for(spans, hot, ["k1", "k2"]), ["k1", "k2", "salt"], "left").select("doc", "spans")
     at = fields.index(text)
     small_batches(docs.sparkSession)
 
