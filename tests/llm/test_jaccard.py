@@ -55,3 +55,21 @@ def test_long_text_by_slices(monkeypatch):
     want = jaccard.shingle_set(text).tolist()
     monkeypatch.setattr(jaccard, "slices", lambda t: tokens.slices(t, 5))
     assert jaccard.shingle_set(text).tolist() == want and len(want) == len(brute_set(text))
+
+
+@pytest.mark.parametrize("pairwise", [1, 48])
+def test_chain_in_a_crowd(spark, pairwise):
+    """Texts that are near only their neighbours of a chain, others near none, all in each other's bands."""
+    rng = np.random.default_rng(8)
+    common = [f"c{x}" for x in range(240)]
+    texts, own = {}, [f"w{x}" for x in range(120)]
+    for i in range(60):  # a step changes 12 words: neighbours are near, others further down the chain are not
+        texts[i] = " ".join(common + own)
+        for at in rng.choice(120, 4, replace=False):
+            own[at] = f"s{i}x{at}"
+    for i in range(70):
+        texts[100 + i] = " ".join(common[: 200 + i // 10] + [f"u{i}x{x}" for x in range(110)])
+    df = spark.createDataFrame(list(texts.items()), "key bigint, text string")
+    prints = jaccard.with_bands(df).cache()
+    found = prints.join(simhash.component_keys(prints, "key", jaccard.similar_links(df, prints, "key", pairwise=pairwise)), "fp")
+    assert {r.key: r.component_id for r in found.collect()} == brute_components(texts)

@@ -117,6 +117,37 @@ def test_token_store_detects_damage(spark, odd, tmp_path):
         token_store.read_documents(spark, folder).collect()
 
 
+@pytest.mark.parametrize(
+    ("table", "change"),
+    [
+        ("recipes", lambda df: df.withColumn("root", F.when(F.col("doc_id") == 3, F.sha2(F.lit("x"), 256)).otherwise(F.col("root")))),
+        ("recipes", lambda df: df.withColumn("chunk_ids", F.reverse("chunk_ids"))),
+        ("recipes", lambda df: df.where("doc_id is null or doc_id <> 3")),
+        ("recipes", lambda df: df.withColumn("doc_id", F.col("doc_id") + 1)),
+        ("recipes", lambda df: df.withColumn("place", F.when(F.col("place") < 2, 1 - F.col("place")).otherwise(F.col("place")))),
+        ("manifest", lambda df: df.withColumn("n_tokens", F.when(F.col("part") == token_store.STORE, 5).otherwise(F.col("n_tokens")))),
+        ("manifest", lambda df: df.withColumn("hash", F.when(F.col("part") == token_store.STORE, "0").otherwise(F.col("hash")))),
+        ("manifest", lambda df: df.where(F.col("part") == token_store.STORE)),
+    ],
+)
+def test_token_store_detects_changes(spark, tmp_path, table, change):
+    folder = f"file://{tmp_path}/store"
+    token_store.write_store(spark.read.parquet(f"{SMALL}/documents.parquet"), folder)
+    changed = change(spark.read.parquet(f"{folder}/{table}"))
+    changed.write.parquet(f"{folder}/changed")
+    spark.read.parquet(f"{folder}/changed").write.mode("overwrite").parquet(f"{folder}/{table}")
+    with pytest.raises(Exception, match="does not match"):
+        token_store.document_checksums(spark, folder).collect()
+
+
+def test_token_store_query(spark, docs, library):
+    at = 0
+    for r in queries.QUERIES["op3_token_store"](spark, SMALL).orderBy("doc_id").collect():
+        ids = [*library.encode(docs[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("block", [1, 7, 4096])
 def test_token_counts(spark, odd, empty, block):
     plain = tokens.library_tokenizer(tokens.vocabulary_path(), True)
@@ -217,6 +248,26 @@ def test_suffix_dedup(spark, odd, empty):
     assert suffix_dedup.suffix_dedup_stage(spark, odd, SMALL).columns == odd.columns
 
 
+def test_suffix_dedup_of_hot_keys(spark, monkeypatch):
+    """A frequent line among ever different text, a frequent passage, and many copies, all of them over the bound."""
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 3)
+    rng = np.random.default_rng(4)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    line, passage = word(150), word(260)
+    texts = [word(120 + i) + line + word(130) for i in range(40)] + [word(90) + passage + word(i) for i in range(30)]
+    texts += [word(300)] * 25 + [texts[0][:290] + word(40), passage[:210], None]
+    check_removal(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+
+
+def test_suffix_dedup_query(spark, docs):
+    raw = {i: t.encode() for i, t in docs.items()}
+    cover = dict(zip(raw, brute_removal(list(raw.values())), strict=True))
+    for r in queries.QUERIES["op6_suffix_dedup"](spark, SMALL).collect():
+        own = cover[r.doc_id]
+        assert (r.n_bytes, r.n_removed) == (len(own), own.sum()) and r.n_spans == int((np.diff(np.concatenate(([0], own.astype(int)))) == 1).sum())
+        assert r.kept_sha256 == hashlib.sha256(np.frombuffer(raw[r.doc_id], np.uint8)[~own].tobytes()).hexdigest()
+
+
 def test_suffix_dedup_over_pieces(monkeypatch):
     data = bytes(np.random.default_rng(1).integers(97, 110, 3000, dtype=np.uint8))
     want = suffix_dedup.anchors_of(data)
