@@ -18,17 +18,13 @@ side gives no matches.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.quality import _cut, words_of
-from quillstone.llm.storage import cut, read
+from quillstone.llm.storage import bytes_of, cut, read, same, small
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Bytes of a table that is still broadcast.
-MOST_BROADCAST = 48 << 20
 #: What tells documents and items apart.
 DOC, ITEM = ["doc_id", "text_hash"], ["item_id", "item_hash"]
 
@@ -42,12 +38,6 @@ def _fields(name: str, width: int) -> list[Column]:
     return [F.col(f"{name}.w{i}") for i in range(width)]
 
 
-def _same(a: str, b: str, names: list[str]) -> Column:
-    """The rows named ``a`` and ``b`` agree in ``names``, nulls included."""
-    same = [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
-    return reduce(Column.__and__, same)
-
-
 def item_shingles(items: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct shingle of an item: width, h, its text s, the item's q and needed count, and its rank by h."""
     words = items.where(F.col(text).isNotNull()).select(F.col(key).alias("item_id"), F.xxhash64(text).alias("item_hash"), words_of(F.lower(text)).alias("w"))
@@ -63,24 +53,13 @@ def item_shingles(items: DataFrame, key: str, text: str, threshold: float = THRE
     return sized.select(*ITEM, "q", need.alias("need"), F.posexplode("all").alias("rank", "x")).select(*ITEM, "q", "need", "rank", "x.h", "x.s", "x.width")
 
 
-def _bytes(df: DataFrame) -> int:
-    """An upper estimate of a checkpointed table's size in memory."""
-    strings = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    return df.agg(F.sum(reduce(Column.__add__, strings, F.lit(16 + 16 * len(df.columns))))).first()[0] or 0
-
-
-def _small(df: DataFrame, size: int) -> DataFrame:
-    """Broadcast while it is under its bound; beyond, a shuffled join that AQE can split."""
-    return F.broadcast(df) if size <= MOST_BROADCAST else df
-
-
 def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, item_id, n_shingles, n_found, containment) of every item contained in a document."""
     listed = cut(item_shingles(items, item_key, item_text, threshold))
     sketch = listed.where("rank <= q - need")
     # One row per width and power of two of the size: a few dozen at the most.
     classes = sketch.groupBy("width", F.floor(F.log2("q")).alias("power")).agg(F.max("h").alias("top"), F.min("need").alias("least")).collect()
-    n_bytes = _bytes(listed)
+    n_bytes = bytes_of(listed)
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     schema = "doc_id bigint, text_hash bigint, item_id bigint"
@@ -96,25 +75,25 @@ def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         hashed = sized.select("doc_id", "text_hash", "size", "top", F.explode(shingles(F.col("w"), width)).alias("z"))
         hashed = hashed.select("doc_id", "text_hash", "size", F.xxhash64(*_fields("z", width)).alias("h"), "top").where("h <= top")
         wanted = sketch.where(F.col("width") == width).select(F.col("h").alias("ih"), *ITEM, "need")
-        met = hashed.join(_small(wanted, n_bytes), (F.col("h") == F.col("ih")) & (F.col("size") >= F.col("need")))
+        met = hashed.join(small(wanted, n_bytes), (F.col("h") == F.col("ih")) & (F.col("size") >= F.col("need")))
         met = met.select(*DOC, *ITEM, F.lit(width).alias("width")).distinct()
         candidates = met if candidates is None else candidates.unionByName(met)
     if candidates is None:
         return docs.sparkSession.createDataFrame([], f"{schema}, n_shingles bigint, n_found bigint, containment double")
     candidates = cut(candidates)
-    n_candidates = _bytes(candidates)
+    n_candidates = bytes_of(candidates)
 
     verified = None
     for width in sorted({c["width"] for c in classes}):
         at = candidates.where(F.col("width") == width).select("doc_id", "text_hash").distinct()
         # Few documents are candidates: their keys go to the texts, and only these texts move.
-        again = texts.alias("t").join(_small(at, n_candidates).alias("c"), _same("t", "c", DOC), "left_semi").dropDuplicates(DOC)
+        again = texts.alias("t").join(small(at, n_candidates).alias("c"), same("t", "c", DOC), "left_semi").dropDuplicates(DOC)
         rows = again.select("doc_id", "text_hash", F.explode(shingles(words_of(F.lower("text")), width)).alias("z"))
         rows = rows.select("doc_id", "text_hash", F.concat_ws(" ", *_fields("z", width)).alias("ds"))
         wanted = listed.where(F.col("width") == width).select(*ITEM, "q", "need", "s", "rank")
-        hits = rows.join(_small(wanted, n_bytes), F.col("ds") == F.col("s"))
+        hits = rows.join(small(wanted, n_bytes), F.col("ds") == F.col("s"))
         counted = hits.groupBy(*DOC, *ITEM, "q", "need").agg(F.count_distinct("rank").alias("n_found"))
-        full = counted.where("n_found >= need").alias("f").join(candidates.alias("c"), _same("f", "c", [*DOC, *ITEM]), "left_semi")
+        full = counted.where("n_found >= need").alias("f").join(candidates.alias("c"), same("f", "c", [*DOC, *ITEM]), "left_semi")
         verified = full if verified is None else verified.unionByName(full)
     return verified.select("doc_id", "text_hash", "item_id", F.col("q").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("q")).alias("containment"))
 
@@ -141,4 +120,4 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The documents that contain no benchmark item."""
     found = cut(find_contained(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct())
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return keyed.alias("k").join(_small(found, _bytes(found)).alias("f"), _same("k", "f", DOC), "left_anti").select("doc.*")
+    return keyed.alias("k").join(small(found, bytes_of(found)).alias("f"), same("k", "f", DOC), "left_anti").select("doc.*")

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table that is still broadcast.
+MOST_BROADCAST = 48 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -36,6 +43,22 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """An upper estimate of a checkpointed table's size in memory."""
+    strings = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    return df.agg(F.sum(reduce(Column.__add__, strings, F.lit(16 + 16 * len(df.columns))))).first()[0] or 0
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast while it is under its bound; beyond, a shuffled join that AQE can split."""
+    return F.broadcast(df) if size <= MOST_BROADCAST else df
+
+
+def same(a: str, b: str, names: list[str]) -> Column:
+    """The rows named ``a`` and ``b`` agree in ``names``, nulls included."""
+    return reduce(Column.__and__, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])
+
+
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
     """Bound the rows and the bytes of an Arrow batch, so that a batch of very long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

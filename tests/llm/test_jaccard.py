@@ -73,3 +73,10 @@ def test_chain_in_a_crowd(spark, pairwise):
     prints = jaccard.with_bands(df).cache()
     found = prints.join(simhash.component_keys(prints, "key", jaccard.similar_links(df, prints, "key", pairwise=pairwise)), "fp")
     assert {r.key: r.component_id for r in found.collect()} == brute_components(texts)
+
+
+def test_stage_with_repeated_rows(spark):
+    near = [f"w{i}" for i in range(60)]
+    texts = [(5, " ".join(near)), (5, " ".join(near)), (7, " ".join(near)), (8, " ".join([*near[:-1], "end"])), (9, "alone it stands here with nobody"), (9, "alone it stands here with nobody"), (None, "no id at all for this one here"), (None, "no id at all for this one here"), (2, None), (3, "")]
+    kept = simhash.near_dedup_stage(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), SMALL).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([texts[0], texts[4], texts[6], texts[8]], "doc_id bigint, text string").collect()))

@@ -5,14 +5,15 @@ from collections import Counter
 import corpus_pipeline
 from quillstone.llm import bpe, quality, queries, tokens
 from tests.conftest import SMALL
-from tests.llm.test_operators import brute_components, brute_contained, brute_fingerprint, brute_removal
+from tests.llm.test_jaccard import brute_components
+from tests.llm.test_operators import brute_contained, brute_removal
 
 
 def test_pipeline(spark):
     docs = [r.asDict() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     kept = {r.doc_id for r in queries.QUERIES["op10_quality_rules"](spark, SMALL).where("kept").collect()}
     docs = [d for d in docs if d["doc_id"] in kept]
-    comps = brute_components([(d["doc_id"], brute_fingerprint(d["text"])) for d in docs])
+    comps = brute_components({d["doc_id"]: d["text"] for d in docs})
     docs = [d for d in docs if comps[d["doc_id"]] == d["doc_id"]]
     raw = [d["text"].encode() for d in docs]
     for d, data, covered in zip(docs, raw, brute_removal(raw), strict=True):
