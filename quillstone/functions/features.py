@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import lexicons as L
-from quillstone.functions.text import count_in, has_stem, simple_words, strip
+from quillstone.functions.text import count_in, has_stem, simple_words, strip, word_count
 
 RATES = {
     "first_person_rate": "num_first_person", "negative_word_rate": "num_negative_words", "exclamation_rate": "num_exclamations", "question_rate": "num_questions",
@@ -81,6 +81,16 @@ def with_rates(features: DataFrame) -> DataFrame:
     return features.withColumns(rates | {"avg_sentence_len": (F.col("num_words") / F.greatest("num_sentences", F.lit(1))).cast("float")})
 
 
+def word_feature(text: Column, most: int = 1000, weight: float = 0.1) -> Column:
+    """The share of ``most`` words that a text has, 1 at the most, times ``weight``."""
+    return F.least(word_count(text) / F.lit(most), F.lit(1.0)) * weight
+
+
+def category_table(df: DataFrame, *more: str) -> DataFrame:
+    """id and category of each row, kept beside the features for evaluation by category."""
+    return df.select("id", "subreddit", *more)
+
+
 def neutralise(features: DataFrame, url: Column, hosts: tuple[str, ...] = L.AUTHOR_TITLE_HOSTS) -> DataFrame:
     """Fixed medians for features that mean something else out of the home domain, or lack a title."""
     away = F.lower(url).rlike("|".join(h.replace(".", r"\.") for h in hosts))

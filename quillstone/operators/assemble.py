@@ -12,6 +12,11 @@ def join_splits(df: DataFrame, splits: DataFrame) -> DataFrame:
     return df.join(splits, "id", "inner")
 
 
+def with_labels(scores: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+    """Rows that come without labels get theirs; rows that have none go."""
+    return scores.join(labels, key, "inner")
+
+
 def first_source(sources: list[DataFrame]) -> DataFrame:
     """One score per id: of ids in several sources, the earliest source's."""
     tagged = reduce(DataFrame.unionByName, (s.select("id", "p_text").withColumn("_source", F.lit(i)) for i, s in enumerate(sources)))

@@ -52,7 +52,7 @@ def _repaired(c: str) -> Column:
 
 def repair_numbers(df: DataFrame, quantile: float = 0.995) -> DataFrame:
     """Null and negative to 0, capped at the quantile, truncated to bigint. The caps are scalar subqueries."""
-    caps = numeric_caps(df, quantile).select(F.struct(*(f"{c}_cap" for c in NUMERIC))).scalar()  # planned once for all columns
+    caps = numeric_caps(df, quantile).select(F.struct(*(f"{c}_cap" for c in NUMERIC))).scalar()
     return df.withColumns({c: F.least(_repaired(c), caps[f"{c}_cap"]).cast("bigint") for c in NUMERIC})
 
 
@@ -60,14 +60,17 @@ def normal_category(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c.cast("string"), F.lit("nan"))))
 
 
+def content_key(least: int = 40) -> Column:
+    form = F.concat(dedup_form(F.col("title")), F.lit(" || "), dedup_form(F.col("body")))
+    return F.when(F.length("body") >= least, content_hash(form, 16)).otherwise(F.concat(F.lit("id:"), F.col("id")))
+
+
 def dedup_content(df: DataFrame, least: int = 40) -> DataFrame:
     """Of rows with equal title and body in normal form, the oldest by (created_utc, id); short bodies all stay.
 
     A short body is hashed with its id, so that one shuffle does for both kinds.
     """
-    long = F.length("body") >= least
-    form = F.concat(dedup_form(F.col("title")), F.lit(" || "), dedup_form(F.col("body")))
-    key = F.when(long, content_hash(form, 16)).otherwise(F.concat(F.lit("id:"), F.col("id")))
+    key = content_key(least)
     order = Window.partitionBy("_key").orderBy("created_utc", "id")
     return df.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_key", "_n")
 
@@ -94,6 +97,46 @@ def audit(raw: DataFrame) -> DataFrame:
     )
 
 
+def audit_steps(raw: DataFrame, quantile: float = 0.995) -> DataFrame:
+    """Rows that each step of clean_posts drops or caps, and the per cent that all drop together, in one aggregate.
+
+    Every row carries its flags; a step's windows see only the rows that the steps before it keep.
+    """
+    ok = flagged(raw).withColumn("ok", ~F.col("no_key") & ~F.col("bad_time"))
+    own = F.when(F.col("ok"), F.col("id")).otherwise(F.xxhash64("title", "body", "created_utc").cast("string"))
+    first = Window.partitionBy("ok", own).orderBy("created_utc", F.xxhash64("title", "body"))
+    unique = ok.withColumn("unique", F.col("ok") & (F.row_number().over(first) == 1))
+    body = F.when(is_removed(F.col("body")), "").otherwise(clean_text(F.col("body")))
+    texts = unique.select("id", "ok", "unique", "created_utc", *NUMERIC, F.inline(F.array(F.struct(clean_text(F.col("title")).alias("title"), body.alias("body")))))
+    full = texts.withColumn("full", F.col("unique") & ((F.length("title") > 0) | (F.length("body") > 0)))
+    key = F.when(F.col("full"), content_key()).otherwise(F.concat(F.lit("row:"), F.xxhash64("id", "title", "body").cast("string")))
+    once = F.row_number().over(Window.partitionBy("full", key).orderBy("created_utc", "id")) == 1
+    rows = full.select("ok", "unique", "full", (F.col("full") & once).alias("kept"), *(_repaired(c).alias(c) for c in NUMERIC))
+    limits = rows.where("full").agg(*(F.percentile(F.col(c), F.lit(quantile)).alias(f"{c}_cap") for c in NUMERIC)).select(F.struct(*(f"{c}_cap" for c in NUMERIC))).scalar()
+    n = F.count("*")
+    return rows.agg(
+        n.alias("n_rows"), F.count_if(~F.col("ok")).alias("no_key_or_time"), F.count_if(F.col("ok") & ~F.col("unique")).alias("repeated_ids"), F.count_if(F.col("unique") & ~F.col("full")).alias("both_empty"),
+        F.count_if(F.col("full") & ~F.col("kept")).alias("repeated_content"), F.count_if("kept").alias("kept"), F.try_divide(F.count_if(~F.col("kept")) * 100.0, n).alias("pct_dropped"),
+        *(F.count_if(F.col("full") & (F.col(c) > limits[f"{c}_cap"])).alias(f"{c}_capped") for c in NUMERIC),
+    )
+
+
+def text_and_label(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text and label alone (and ``keep``); the label may be called class."""
+    label = "label" if "label" in df.columns else "class"
+    return df.select(*keep, "text", F.col(label).alias("label"))
+
+
+def binary_labels(df: DataFrame, label: str = "label") -> DataFrame:
+    return df.where(F.col(label).isin(0, 1))
+
+
+def duplicates_by_label(df: DataFrame, order: tuple[str, ...], text: str = "text") -> DataFrame:
+    """Per label its rows, and those beyond the first of their text."""
+    rank = F.row_number().over(Window.partitionBy(F.md5(F.col(text).cast("binary"))).orderBy(*order))
+    return df.where(F.col(text).isNotNull()).withColumn("_n", rank).groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("_n") > 1).alias("duplicates"))
+
+
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
     """Rows beyond the first of their id; nulls count as equal."""
     return df.agg((F.count("*") - F.count_distinct(key) - F.max(F.col(key).isNull().cast("int"))).alias("duplicates"), F.count("*").alias("n_rows"))

@@ -83,6 +83,23 @@ def metrics_matrix(df: DataFrame, by: tuple[str, ...], score: str = "p") -> Data
     return half.unionByName(best).join(facts, list(by))
 
 
+def stacked(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """One row per model and row: model, label, p, from score columns side by side."""
+    models = F.array(*(F.struct(F.lit(c).alias("model"), F.col(c).alias("p")) for c in columns))
+    return df.select("label", F.inline(models))
+
+
+def model_comparison(df: DataFrame, by: tuple[str, ...] = ("model",), score: str = "p") -> DataFrame:
+    """metrics_matrix per model, with the metrics of its probabilities and its calibration error."""
+    return metrics_matrix(df, by, score).join(probability_metrics(df, by, score), list(by)).join(calibration_error(df, by=by, score=score), list(by))
+
+
+def ablation(df: DataFrame, columns: tuple[str, ...], whole: str, threshold: float = 0.5) -> DataFrame:
+    """f1_macro and f1_pos of each score column, and what it lacks of the column ``whole``."""
+    m = with_metrics(confusion(stacked(df, columns), threshold, ("model",))).select("model", "f1_macro", "f1_pos")
+    return m.withColumn("loss", F.col("f1_macro") - F.max(F.when(F.col("model") == whole, F.col("f1_macro"))).over(Window.partitionBy()))
+
+
 def calibration_error(df: DataFrame, bins: int = 10, by: tuple[str, ...] = (), score: str = "p") -> DataFrame:
     """Expected calibration error over equal bins [lo, hi), 1.0 in the last."""
     at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.lexicons import GROUP_SIZE_EDGES
+from quillstone.functions.text import is_removed, strip, word_count
 from quillstone.operators.clean import valid_time
+from quillstone.operators.splits import sample_n
 
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}
 
@@ -24,6 +26,32 @@ def numeric_summary(df: DataFrame, columns: list[str], by: tuple[str, ...] = ())
     return out.select("*", *(F.col("_q")[i].alias(k) for i, k in enumerate(QUANTILES))).drop("_q")
 
 
+def lengths(df: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
+    """Characters and words of title, body and both."""
+    t, b = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
+    words = {"title_words": word_count(t), "body_words": word_count(b)}
+    return df.select(F.length(t).alias("title_chars"), F.length(b).alias("body_chars"), *(c.alias(k) for k, c in words.items()), (words["title_words"] + words["body_words"]).alias("pair_words"))
+
+
+def engagement_ratio(df: DataFrame) -> DataFrame:
+    """Summary of comments / (upvotes + 1) over all rows and per label (column part)."""
+    part = F.explode(F.array_compact(F.array(F.lit("all"), F.col("label").cast("string")))).alias("part")
+    rows = df.select((F.col("num_comments") / (F.col("upvotes") + 1)).alias("ratio"), "label").select("ratio", part)
+    return numeric_summary(rows, ["ratio"], ("part",))
+
+
+def emptiness(df: DataFrame) -> DataFrame:
+    """Removed bodies and empty titles: numbers and per cents."""
+    counts = {"body_removed": F.count_if(is_removed(F.col("body"))), "title_empty": F.count_if(strip(F.coalesce("title", F.lit(""))) == "")}
+    return df.agg(F.count("*").alias("n_rows"), *(c.alias(k) for k, c in counts.items()), *(F.try_divide(c * 100.0, F.count("*")).alias(f"{k}_pct") for k, c in counts.items()))
+
+
+def scatter_sample(df: DataFrame, n: int = 50_000) -> DataFrame:
+    """A sample of n rows for a plot on logarithmic axes: upvotes and comments are 1 at least."""
+    one = {c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)) for c in ("upvotes", "num_comments")}
+    return sample_n(df, n).select("id", "label", *(c.alias(k) for k, c in one.items()))
+
+
 def missing(df: DataFrame) -> DataFrame:
     counts = df.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_missing")) for c in df.columns))).alias("m")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.features import length_bucket, meta_features, with_rates
+from quillstone.functions.features import category_table, length_bucket, meta_features, with_rates, word_feature
 from quillstone.functions.text import clean_text, simple_words, word_count
 from quillstone.operators import assemble, clean, evaluate, extract, profile, relations, signals, splits, tokens
 from quillstone.sources.posts import POSTS_SQL, SCORES_SQL, posts, scores, table
@@ -91,9 +91,9 @@ def clean_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(spark, sf_dir).withColumns({"title": F.md5("title"), "body": F.md5("body"), "label": F.col("label").cast("int")})
 
 
-@register("clean_text_all", f"WITH {POSTS_SQL} SELECT id, {sql_clean('body')} AS body FROM posts")
+@register("clean_text_all", f"WITH {POSTS_SQL} SELECT id, {sql_clean('title')} AS title, {sql_clean('body')} AS body FROM posts")
 def clean_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts(spark, sf_dir).select("id", clean_text(F.col("body")).alias("body"))
+    return posts(spark, sf_dir).select("id", clean_text(F.col("title")).alias("title"), clean_text(F.col("body")).alias("body"))
 
 
 @register("row_audit", f"""WITH {POSTS_SQL} SELECT count(*) AS n_rows, count_if(label IS NULL OR id IS NULL) AS no_key, count_if(NOT coalesce(created_utc BETWEEN 1104537600 AND 1893456000, false)) AS bad_time,
@@ -266,6 +266,58 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.numeric_summary(table(spark, sf_dir, "lineitem"), list(LINE_COLUMNS)), 5)
 
 
+def _words_sql(x: str) -> str:
+    return rf"CASE WHEN {sql_strip(x)} = '' THEN 0 ELSE len(regexp_split_to_array({sql_strip(x)}, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+')) END"
+
+
+def _described_sql(rows: str, columns: tuple[str, ...], by: str = "") -> str:
+    """numeric_summary in SQL over ``rows``, with the group columns ``by``."""
+    one = """SELECT {by}'{c}' AS "column", count(x) AS n, count_if(x < 0) AS n_negative, count_if(x = 0) AS n_zero, round(avg(x), 5) AS mean, round(stddev_samp(x), 5) AS std, round(min(x), 5) AS min, round(max(x), 5) AS max, round(skewness(x), 5) AS skewness, {q} FROM (SELECT {by}{c}::double AS x FROM {rows}) {group}"""
+    q = ", ".join(f"round(quantile_cont(x, {v}), 5) AS {k}" for k, v in profile.QUANTILES.items())
+    return " UNION ALL ".join(one.format(by=f"{by}, " if by else "", c=c, q=q, rows=rows, group=f"GROUP BY {by}" if by else "") for c in columns)
+
+
+LENGTHS = ("title_chars", "body_chars", "title_words", "body_words", "pair_words")
+
+
+@register("length_summary", f"""WITH {POSTS_SQL}, l AS (SELECT length(coalesce(title, '')) AS title_chars, length(coalesce(body, '')) AS body_chars, {_words_sql("coalesce(title, '')")} AS title_words, {_words_sql("coalesce(body, '')")} AS body_words, title_words + body_words AS pair_words FROM posts)
+{_described_sql("l", LENGTHS)}""")
+def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.numeric_summary(profile.lengths(posts(spark, sf_dir)), list(LENGTHS)), 5)
+
+
+@register("engagement_ratio", f"""WITH {POSTS_SQL}, r AS (SELECT num_comments / (upvotes + 1)::double AS ratio, 'all' AS part FROM posts UNION ALL SELECT num_comments / (upvotes + 1)::double, label::varchar FROM posts WHERE label IS NOT NULL)
+{_described_sql("r", ("ratio",), "part")}""")
+def engagement_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.engagement_ratio(posts(spark, sf_dir)), 5)
+
+
+@register("emptiness", f"""WITH {POSTS_SQL} SELECT count(*) AS n_rows, count_if({sql_removed('body')}) AS body_removed, count_if({sql_strip("coalesce(title, '')")} = '') AS title_empty,
+ round(count_if({sql_removed('body')}) * 100.0 / count(*), 9) AS body_removed_pct, round(count_if({sql_strip("coalesce(title, '')")} = '') * 100.0 / count(*), 9) AS title_empty_pct FROM posts""")
+def emptiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.emptiness(posts(spark, sf_dir)))
+
+
+@register("length_feature", f"WITH {POSTS_SQL}, w AS (SELECT id, subreddit, {_words_sql("coalesce(body, '')")} AS n FROM posts) SELECT id, subreddit, round(least(n / 1000, 1) * 0.1, 9) AS length_feat FROM w")
+def length_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(category_table(posts(spark, sf_dir).withColumn("length_feat", word_feature(F.col("body"))), "length_feat"))
+
+
+@register("duplicates_by_label", "WITH t AS (SELECT d.doc_id, d.text, l.quality AS label, row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id) AS n FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (0, 1) AND d.text IS NOT NULL) SELECT label, count(*) AS n_rows, count_if(n > 1) AS duplicates FROM t GROUP BY 1")
+def duplicates_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older table's loader: a column class for the label, binary labels alone, copies counted per label."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("class"))
+    older = clean.text_and_label(assemble.with_labels(table(spark, sf_dir, "documents"), labels, "doc_id"), ("doc_id",))
+    return clean.duplicates_by_label(clean.binary_labels(older), ("doc_id",))
+
+
+@register("audit_steps", f"""WITH {CLEAN_SQL} SELECT (SELECT count(*) FROM posts) AS n_rows, (SELECT count(*) FROM posts) - (SELECT count(*) FROM valid) AS no_key_or_time, (SELECT count(*) - count(DISTINCT id) FROM valid) AS repeated_ids,
+ (SELECT count(*) FROM valid) - (SELECT count(*) FROM nonempty) - (SELECT count(*) - count(DISTINCT id) FROM valid) AS both_empty, (SELECT count(*) FROM nonempty) - (SELECT count(*) FROM clean) AS repeated_content, (SELECT count(*) FROM clean) AS kept,
+ (SELECT count_if(up > up_cap) FROM nonempty, caps) AS upvotes_capped, (SELECT count_if(com > com_cap) FROM nonempty, caps) AS num_comments_capped, round(((SELECT count(*) FROM posts) - (SELECT count(*) FROM clean)) * 100.0 / (SELECT count(*) FROM posts), 9) AS pct_dropped""")
+def audit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clean.audit_steps(posts(spark, sf_dir)))
+
+
 @register("missing_values", f"""WITH {POSTS_SQL} SELECT "column", n_missing, round(n_missing * 100.0 / n, 9) AS pct FROM (SELECT count(*) AS n, {', '.join(f'count(*) - count({c}) AS {c}' for c in ('upvotes', 'num_comments', 'label'))} FROM posts)
 UNPIVOT (n_missing FOR "column" IN (upvotes, num_comments, label))""")
 def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,11 +496,14 @@ def extreme_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.extreme_positives(posts(spark, sf_dir))
 
 
-FOLDS_SQL = """f0 AS (SELECT doc_id AS id, (doc_id * 7919 % 1000) * 0.001 AS p FROM labels WHERE doc_id % 4 <> 0), f1 AS (SELECT doc_id AS id, (doc_id * 104729 % 1000) * 0.001 AS p FROM labels WHERE doc_id % 4 <> 1)"""
+FOLDS_SQL = """parted AS (SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY md5('2024:' || doc_id), doc_id) - 1) % 4 AS fold FROM labels),
+f0 AS (SELECT doc_id AS id, (doc_id * 7919 % 1000) * 0.001 AS p FROM parted WHERE fold <> 0), f1 AS (SELECT doc_id AS id, (doc_id * 104729 % 1000) * 0.001 AS p FROM parted WHERE fold <> 1)"""
 
 
-def _fold(spark: SparkSession, sf_dir: str, factor: int, gap: int) -> DataFrame:
-    return table(spark, sf_dir, "labels").where(F.col("doc_id") % 4 != gap).select(F.col("doc_id").alias("id"), (F.col("doc_id") * factor % 1000 * F.lit(0.001)).alias("p_text"))
+def _fold(spark: SparkSession, sf_dir: str, factor: int, own: int) -> DataFrame:
+    """What a model trained on one fold scores: all rows of the others."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return splits.stratified_folds(labels, 4).where(F.col("fold") != own).select(F.col("doc_id").alias("id"), (F.col("doc_id") * factor % 1000 * F.lit(0.001)).alias("p_text"))
 
 
 @register("mean_of_folds", f"WITH {FOLDS_SQL} SELECT id, round(avg(p), 9) AS p_text, count(p) AS n_folds FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1) GROUP BY 1")
@@ -508,12 +563,47 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.score_histogram(_p(spark, sf_dir)))
 
 
-@register("metrics_matrix")
+def _matrix_sql(by: str, rows: str) -> str:
+    """Metrics at 0.5 and at the best threshold, with areas, of ``rows`` (by, label, p)."""
+    counts = ", ".join(f"count_if({p} AND label = {y}) AS {k}" for k, p, y in (("tn", "p < threshold", 0), ("fp", "p >= threshold", 0), ("fn", "p < threshold", 1), ("tp", "p >= threshold", 1)))
+    return f"""rows AS ({rows}), grid AS (SELECT 0.05::double + i * ((0.95::double - 0.05::double) / 90) AS threshold FROM range(91) r(i)),
+c AS (SELECT {by}, threshold, 'best' AS mode, {counts} FROM grid, rows GROUP BY {by}, threshold UNION ALL SELECT {by}, 0.5::double AS threshold, 'half', {counts} FROM (SELECT *, 0.5::double AS threshold FROM rows) GROUP BY {by}, threshold),
+m AS ({METRIC_SQL} FROM c), picked AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY {by}, mode ORDER BY round(f1_macro, 12) DESC, threshold) = 1),
+g AS (SELECT {by}, p, sum(label) AS pos, sum(1 - label) AS neg FROM rows GROUP BY {by}, p), d AS (SELECT *, sum(pos) OVER w AS up, sum(neg) OVER w AS down FROM g WINDOW w AS (PARTITION BY {by} ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+areas AS (SELECT {by}, sum(neg * (up - pos + pos / 2)) / (sum(pos) * sum(neg)) AS roc_auc, sum(pos * up / (up + down)) / sum(pos) AS pr_auc FROM d GROUP BY {by}), facts AS (SELECT {by}, count(*) AS n, avg(label) AS pos_rate FROM rows GROUP BY {by})"""
+
+
+MATRIX_COLUMNS = f"mode, round(threshold, 9) AS threshold, tn, fp, fn, tp, {', '.join(f'round({m}, 9) AS {m}' for m in METRICS)}, n, round(pos_rate, 9) AS pos_rate, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc"
+
+
+@register("metrics_matrix", f"WITH {SCORES_SQL}, {_matrix_sql('split', "SELECT CASE WHEN id % 3 = 0 THEN 'test' ELSE 'val' END AS split, label, p_text AS p FROM scores")} SELECT split, {MATRIX_COLUMNS} FROM picked JOIN facts USING (split) JOIN areas USING (split)")
 def metrics_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _p(spark, sf_dir).withColumn("split", F.when(F.col("id") % 3 == 0, "test").otherwise("val"))
     return rounded(evaluate.metrics_matrix(df, ("split",)))
 
 
+MODELS_SQL = """SELECT id, label, 'text' AS model, p_text AS p FROM scores UNION ALL SELECT id, label, 'meta', cast((id * 7919) % 1000 AS double) * 0.001 FROM scores UNION ALL SELECT id, label, 'both', (p_text + cast((id * 7919) % 1000 AS double) * 0.001) / 2 FROM scores"""
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of the text, a score that knows nothing of the label, and their mean, side by side."""
+    df = scores(spark, sf_dir).withColumn("meta", F.col("id") * 7919 % 1000 * F.lit(0.001))
+    return df.withColumn("both", (F.col("p_text") + F.col("meta")) / 2).withColumnRenamed("p_text", "text")
+
+
+@register("model_comparison", f"""WITH {SCORES_SQL}, {_matrix_sql('model', MODELS_SQL)}, l AS (SELECT model, avg(CASE WHEN label = 1 THEN -ln(q) ELSE -ln(1 - q) END) AS log_loss, avg((p - label) * (p - label)) AS brier, avg(p) AS mean_p FROM (SELECT *, least(greatest(p, 1e-15), 1 - 1e-15) AS q FROM rows) GROUP BY 1),
+e AS (SELECT model, sum(n * abs(p - y)) / sum(n) AS ece FROM (SELECT model, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS p, avg(label) AS y FROM rows GROUP BY 1, 2) GROUP BY 1)
+SELECT model, {MATRIX_COLUMNS}, round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, round(mean_p, 9) AS mean_p, round(ece, 9) AS ece FROM picked JOIN facts USING (model) JOIN areas USING (model) JOIN l USING (model) JOIN e USING (model)""")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.model_comparison(evaluate.stacked(_models(spark, sf_dir), ("text", "meta", "both"))))
+
+
+@register("ablation", f"""WITH {SCORES_SQL}, rows AS ({MODELS_SQL}), c AS (SELECT model, count_if(p < .5 AND label = 0) AS tn, count_if(p >= .5 AND label = 0) AS fp, count_if(p < .5 AND label = 1) AS fn, count_if(p >= .5 AND label = 1) AS tp FROM rows GROUP BY 1),
+m AS ({METRIC_SQL} FROM c) SELECT model, round(f1_macro, 9) AS f1_macro, round(f1_pos, 9) AS f1_pos, round(f1_macro - max(f1_macro) FILTER (model = 'both') OVER (), 9) AS loss FROM m""")
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.ablation(_models(spark, sf_dir), ("text", "meta", "both"), "both"))
+
+
 @register("page_fields", r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '') AS title,
  md5(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '')) AS article, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages""")
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,14 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, subreddit, title, body, upvotes, created_utc, num_comments, label."""
+    """The whole text as title (its first line) and body (the rest): id, subreddit, title, body, upvotes, created_utc, num_comments, label."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     n = F.col("doc_id")
     return docs.join(labels, "doc_id", "left").select(
         n.cast("string").alias("id"),
         F.col("source").alias("subreddit"),
-        F.substring(first, 1, 120).alias("title"),
+        first.alias("title"),
         F.substr("text", F.length(first) + 2).alias("body"),
         F.when(n % 97 == 0, None).otherwise((n * 7919 % 2003).cast("int")).alias("upvotes"),
         (1199145600 + n * 1234577 % 473385600).alias("created_utc"),
@@ -37,7 +37,7 @@ def scores(spark: SparkSession, sf_dir: str, factor: int = 2654435761) -> DataFr
 #: The same tables in SQL, for the oracle.
 POSTS_SQL = """
 posts AS (
-  SELECT cast(d.doc_id AS varchar) AS id, d.source AS subreddit, substring(split_part(d.text, chr(10), 1), 1, 120) AS title,
+  SELECT cast(d.doc_id AS varchar) AS id, d.source AS subreddit, split_part(d.text, chr(10), 1) AS title,
     substring(d.text, length(split_part(d.text, chr(10), 1)) + 2) AS body,
     CASE WHEN d.doc_id % 97 = 0 THEN NULL ELSE cast((d.doc_id * 7919) % 2003 AS int) END AS upvotes,
     cast(1199145600 + (d.doc_id * 1234577) % 473385600 AS bigint) AS created_utc,

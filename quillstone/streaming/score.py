@@ -24,7 +24,9 @@ def prepared(requests: DataFrame, now: Column | None = None, entities: bool = Tr
         return F.coalesce(f"scraped_{c}", c) if f"scraped_{c}" in requests.columns else F.col(c)
 
     counts = {c: F.greatest(F.coalesce(pick(c), F.lit(0)), F.lit(0)).cast("bigint") for c in ("upvotes", "num_comments")}
-    out = validated(requests).withColumns({c: clean_text(pick(c), entities) for c in ("title", "body")} | counts | {"created_utc": F.coalesce(pick("created_utc"), now if now is not None else F.unix_timestamp())})
+    out = validated(requests).withColumns({f"_{c}": clean_text(pick(c), entities) for c in ("title", "body")} | counts | {"created_utc": F.coalesce(pick("created_utc"), now if now is not None else F.unix_timestamp())})
+    # Made by a generator of one row, through which no filter is pushed: each text is cleaned once.
+    out = out.select(*(c for c in out.columns if c not in ("title", "body", "_title", "_body")), F.inline(F.array(F.struct(F.col("_title").alias("title"), F.col("_body").alias("body")))))
     out = out.withColumns({"has_title": F.length("title") > 0, "has_body": F.length("body") > 0})
     return out.withColumn("reject", F.coalesce("reject", F.when(~F.col("has_title") & ~F.col("has_body"), "nothing left after cleaning")))
 

@@ -184,3 +184,24 @@ def test_models(spark):
     tuned = models.tune_meta(data, ["a", "b"], {"maxDepth": [1, 2], "maxIter": [2]})
     assert len(tuned.avgMetrics) == 2 and all(0 <= m <= 1 for m in tuned.avgMetrics)
     assert models.isotonic(out, out).where("calibrated between 0 and 1").count() == p.count()
+
+
+def test_posts_hold_the_whole_text(spark):
+    from quillstone.sources.posts import posts
+    from tests.conftest import SMALL
+
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in posts(spark, SMALL).collect():
+        assert r.title + ("\n" + r.body if "\n" in texts[r.id] else "") == texts[r.id]
+
+
+def test_older_table_and_scatter_sample(spark):
+    from quillstone.operators import clean, profile
+
+    older = spark.createDataFrame([(1, "a", 1, "x"), (2, "a", 0, "y"), (3, "b", 7, "z"), (4, None, 0, "z"), (5, "c", None, "z")], "k int, text string, class int, other string")
+    made = clean.binary_labels(clean.text_and_label(older, ("k",)))
+    assert made.columns == ["k", "text", "label"] and {r.k for r in made.collect()} == {1, 2, 4}
+    assert {tuple(r) for r in clean.duplicates_by_label(made, ("k",)).collect()} == {(1, 1, 0), (0, 1, 1)}
+    rows = spark.createDataFrame([(i, i % 2, None if i == 3 else i - 5, 0) for i in range(20)], "id int, label int, upvotes int, num_comments int")
+    got = profile.scatter_sample(rows, 10).collect()
+    assert len(got) == 10 and all(r.upvotes == max(1, (r.id - 5) if r.id != 3 else 1) and r.num_comments == 1 for r in got)
