@@ -37,6 +37,8 @@ def flat_files(docs: DataFrame, path: str | None = None, block: int = BLOCK, end
     """
     path = path or tokens.vocabulary_path()
     small_batches(docs.sparkSession, *tokens.BATCH)
+    if max(end + 1, tokens.library_tokenizer(path).get_vocab_size()) > 1 << 16:
+        raise ValueError("token files hold ids of 16 bits: the vocabulary is too large")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number = TaskContext.get().partitionId(), 0

@@ -394,6 +394,53 @@ def test_sharding(spark, odd, empty):
     assert sharding.assign_shards(empty, "doc_id", tree).count() == 0
 
 
+def brute_shard(key, tree):
+    """Region, rack and shard in turn: the least -ln(u) / weight of each child's hash of key and name."""
+
+    def mix(value, seed):
+        return xxhash.xxh64_intdigest(value, seed)
+
+    def draw(child, weight):
+        first = 42 if key is None else mix(key.to_bytes(8, "little", signed=True), 42)
+        u = ((mix(child.encode(), first) >> 12) + 0.5) / (1 << 52)
+        return -np.log(u) / weight, child
+
+    at = ""
+    for depth in range(3):
+        children = {}
+        for leaf in tree:
+            path = ["", leaf.region, f"{leaf.region}/{leaf.rack}", f"{leaf.region}/{leaf.rack}/{leaf.shard}"]
+            if path[depth] == at:
+                children[path[depth + 1]] = children.get(path[depth + 1], 0.0) + leaf.weight
+        at = min(draw(c, w) for c, w in children.items())[1]
+    return int(at.rsplit("/", 1)[1])
+
+
+def test_sharding_query(spark, tmp_path):
+    """The whole query by brute force, with null and repeated ids, null and equal texts."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rows += [(None, "no id"), (None, None), (3, "again"), (3, "again"), (-5, "é" * 9), (10**12, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tree = sharding.shard_tree(40)
+    want = Counter()
+    for i, t in rows:
+        raw = (t or "").encode()
+        want[i, len(raw) + 16, zlib.crc32(raw), "key", brute_shard(i, tree), brute_shard(i, sharding.add_shard(tree))] += 1
+    got = queries.QUERIES["op2_sharding"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in got) == want
+    assert all(r.grown_shard in (r.shard, 40) for r in got)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_token_counts_query(spark, docs):
+    plain = tokens.library_tokenizer(tokens.vocabulary_path(), True)
+    got = {r.doc_id: r.n_tokens for r in queries.QUERIES["op7_token_counts"](spark, SMALL).collect()}
+    assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in docs.items()}
+
+
 def brute_quality(text):
     text = text or ""
     w = [x for x in "".join(" " if c in " \t\n\v\f\r" else c for c in text).split(" ") if x]
