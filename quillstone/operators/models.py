@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import simple_words
 from quillstone.operators.assemble import out_of_fold
 from quillstone.operators.evaluate import confusion, with_metrics
+from quillstone.operators.splits import fold_slices
 
 
 def balanced(df: DataFrame) -> DataFrame:
@@ -41,8 +42,11 @@ def _score(model, df: DataFrame, out: str = "p_text") -> DataFrame:
 
 def fold_scores(posts: DataFrame, k: int = 3, **params) -> DataFrame:
     """Out-of-fold text scores: for each fold, fit on the others and score it. ``posts`` has fold and label."""
-    rows = with_words(posts.where("label is not null and fold >= 0")).persist()
-    scored = [_score(text_pipeline(**params).fit(balanced(rows.where(F.col("fold") != i))), rows.where(F.col("fold") == i)) for i in range(k)]
+    rows = with_words(posts.where("label is not null")).persist()
+    scored = []
+    for i in range(k):
+        train, held_out = fold_slices(rows, i)
+        scored.append(_score(text_pipeline(**params).fit(balanced(train)), held_out))
     return out_of_fold(scored)
 
 

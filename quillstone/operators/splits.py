@@ -56,6 +56,17 @@ def stratified_folds(df: DataFrame, k: int = 3, seed: int = 2024, train: Column
     return ranked.withColumn("fold", F.when(F.col("_train"), F.col("rank") % k).otherwise(-1).cast("tinyint")).drop("rank", "n", "_train")
 
 
+def split_slice(df: DataFrame, name: str, split: str = "time_split") -> DataFrame:
+    """The rows of one split; a null split belongs to none."""
+    return df.where(F.col(split) == name)
+
+
+def fold_slices(df: DataFrame, held_out: int) -> tuple[DataFrame, DataFrame]:
+    """The rows to train on (all other folds) and those of the fold held out; rows outside the folds (-1, null) are in neither."""
+    inside = df.where("fold >= 0")
+    return inside.where(F.col("fold") != held_out), inside.where(F.col("fold") == held_out)
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
     """Exactly min(n, rows) rows, the same each time."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -351,7 +351,7 @@ def calendar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.calendar_counts(posts(spark, sf_dir))
 
 
-@register("time_validity", f"""WITH {POSTS_SQL} SELECT count(*) AS n_rows, count_if(created_utc IS NULL) AS n_null, 0::bigint AS n_invalid, strftime(to_timestamp(min(created_utc)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS first, strftime(to_timestamp(max(created_utc)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS last FROM posts""")
+@register("time_validity", f"""WITH {POSTS_SQL} SELECT count(*) AS n_rows, count_if(created_utc IS NULL) AS n_null, count_if(NOT coalesce(created_utc BETWEEN 1104537600 AND 1893456000, false)) AS n_invalid, strftime(to_timestamp(min(created_utc)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS first, strftime(to_timestamp(max(created_utc)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS last FROM posts""")
 def time_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.time_validity(posts(spark, sf_dir))
 

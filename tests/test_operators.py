@@ -205,3 +205,10 @@ def test_older_table_and_scatter_sample(spark):
     rows = spark.createDataFrame([(i, i % 2, None if i == 3 else i - 5, 0) for i in range(20)], "id int, label int, upvotes int, num_comments int")
     got = profile.scatter_sample(rows, 10).collect()
     assert len(got) == 10 and all(r.upvotes == max(1, (r.id - 5) if r.id != 3 else 1) and r.num_comments == 1 for r in got)
+
+
+def test_slices(spark):
+    df = spark.createDataFrame([("a", "train", 0), ("b", "train", 1), ("c", "val", -1), ("d", None, None)], "id string, time_split string, fold int")
+    assert [r.id for r in splits.split_slice(df, "val").collect()] == ["c"]
+    train, held_out = splits.fold_slices(df, 1)
+    assert [r.id for r in train.collect()] == ["a"] and [r.id for r in held_out.collect()] == ["b"]
