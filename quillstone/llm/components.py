@@ -37,3 +37,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
         raise RuntimeError("components did not settle: raise most_rounds")
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def component_keys(prints: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """For each distinct ``fp`` of ``prints`` (``key``, ``fp``): the smallest key of its component by ``links`` between them."""
+    fps = prints.groupBy("fp").agg(F.min(key).alias("own"))
+    found = connected_components(links).select(F.col("node").alias("fp"), "component")
+    labelled = fps.join(found, "fp", "left")
+    best = labelled.where("component is not null").groupBy("component").agg(F.min("own").alias("best"))
+    return labelled.join(best, "component", "left").select("fp", F.coalesce("best", "own").alias("component_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import bpe, decontamination, html_text, quality, sharding, simhash, suffix_dedup, token_counts, token_store, url_filters, whitening
+from quillstone.llm import bpe, decontamination, html_text, ngram_join, quality, sharding, simhash, suffix_dedup, token_counts, token_store, url_filters, whitening
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_html_text": html_text.op9_html_text,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {"op1_url_filters": url_filters.SQL, "op8_decontamination": decontamination.SQL}

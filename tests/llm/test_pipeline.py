@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from quillstone.llm import bpe, quality, queries, tokens
 from tests.conftest import SMALL
-from tests.llm.test_jaccard import brute_components
+from tests.llm.test_ngram_join import brute_components
 from tests.llm.test_operators import brute_contained, brute_removal
 
 
