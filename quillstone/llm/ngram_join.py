@@ -322,3 +322,17 @@ def ngram_components(docs: DataFrame, key: str, text: str = "text", words: int =
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_components(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return found.select(F.col("key").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+each AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reached AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT doc_id, b FROM reached JOIN links ON a = other)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

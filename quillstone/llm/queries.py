@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import bpe, decontamination, html_text, ngram_join, quality, sharding, simhash, suffix_dedup, token_counts, token_store, url_filters, whitening
+from quillstone.llm import bpe, decontamination, html_text, lexical_search, ngram_join, quality, sharding, simhash, suffix_dedup, token_counts, token_store, url_filters, whitening
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_ngram_join": ngram_join.op11_ngram_join,
+    "op12_ranked_search": lexical_search.op12_ranked_search,
     "op13_whitening": whitening.op13_whitening,
 }
-ORACLE_SQL = {"op1_url_filters": url_filters.SQL, "op8_decontamination": decontamination.SQL}
+ORACLE_SQL = {"op1_url_filters": url_filters.SQL, "op8_decontamination": decontamination.SQL, "op11_ngram_join": ngram_join.SQL, "op12_ranked_search": lexical_search.SQL}

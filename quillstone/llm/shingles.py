@@ -1,6 +1,6 @@
-"""Sets of word shingles as 64-bit hashes, a batch of texts at a time in NumPy.
+"""Words and sets of word shingles as 64-bit hashes, a batch of texts at a time in NumPy.
 
-Words are maximal runs of bytes other than ASCII white space, with A-Z lower-cased. A word's hash is a polynomial
+Words are maximal runs of bytes other than separators (ASCII white space, unless told otherwise), with A-Z lower-cased. A word's hash is a polynomial
 over its bytes, a shingle's a linear form over its words' hashes; both are mixed at the end.
 """
 
@@ -16,7 +16,7 @@ _RANDOM = np.random.default_rng(11)
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _LENGTH = (_RANDOM.integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 _PLACES = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _LOWER = np.arange(256, dtype=np.uint8) + np.uint8(32) * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 20
@@ -37,10 +37,10 @@ def _powers(n: int, known: list = [np.ones(1, np.uint64)]) -> np.ndarray:  # noq
     return known[0]
 
 
-def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _words(text: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``text`` and where they start."""
     raw = np.frombuffer(text, np.uint8)
-    space = _SPACE[raw]
+    space = separators[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, sizes = edge[::2], edge[1::2] - edge[::2]
     if not len(starts):
@@ -66,16 +66,24 @@ def _pieces(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield owners, held
 
 
-def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles; with fewer words than a shingle, of all the words as one; of a null or blank text none."""
+def hashed_words(texts: list[str | None], separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, one after another, and where each text's begin (and the last one's end).
+
+    ``separators`` says of each byte whether it is one; white space must be among them.
+    """
     hashes, owners = [], []
     for who, pieces in _pieces((t or "").encode("utf-8") for t in texts):
-        h, starts = _words(b"\n".join(pieces))
+        h, starts = _words(b"\n".join(pieces), separators)
         ends = np.cumsum([len(p) + 1 for p in pieces])
         hashes.append(h)
         owners.append(np.array(who)[np.searchsorted(ends, starts, "right")] if len(h) else np.zeros(0, np.int64))
     h, owner = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (owners, np.int64)))
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return h, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; with fewer words than a shingle, of all the words as one; of a null or blank text none."""
+    h, bounds = hashed_words(texts)
     run = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for j in range(words):
         run += h[j : j + len(run)] * _PLACES[j]
