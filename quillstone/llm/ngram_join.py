@@ -42,7 +42,7 @@ from quillstone.llm.storage import read, small_batches, stage
 
 WORDS, THRESHOLD, PAIRWISE, ROUNDS = 5, (8, 10), 32, 20
 #: Text bytes whose shingles one range of the hash gets, on average; ranges of the suffix filter; rows and bytes of a chunk.
-RANGE_BYTES, SUFFIX, CHUNK = 16 << 20, 32, (2000, 8 << 20)
+RANGE_BYTES, SUFFIX, CHUNK = 4 << 20, 32, (2000, 8 << 20)
 #: Copies of a pivot, so that one with very many members is not joined in one task.
 SALTS = 16
 
@@ -78,7 +78,8 @@ def _chunks(key: StructField, words: int, bits: int):
                 places.append(own.get(name))
                 sizes.append(len(s))
             n = batch.num_rows
-            made = [pa.array(np.full(n, chunk % (1 << bits)), pa.int32()), pa.array(np.full(n, chunk), pa.int64()), pa.nulls(n, pa.binary()), batch.column(0), pa.array(names, pa.binary()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())]
+            spread = (np.arange(n) + xxhash.xxh32_intdigest(str(chunk))) % (1 << bits)  # rows of documents go to any range
+            made = [pa.array(spread, pa.int32()), pa.array(np.full(n, chunk), pa.int64()), pa.nulls(n, pa.binary()), batch.column(0), pa.array(names, pa.binary()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())]
             titles = ["range", "chunk", "data", "key", "name", "place", "size"]
             yield pa.RecordBatch.from_arrays(made, titles)
             if not sets:
@@ -187,9 +188,12 @@ def _overlap(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets have the similarity. Called once, on distinct pairs."""
-    a, b = (sets.select(F.col("name").alias(x), F.col("size").alias(f"{x}_size"), F.col("shared").alias(f"{x}_set")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_reach("a_size", "b_size", _overlap("a_set", "b_set"), threshold)).select("a", "b")
+    """The ``pairs`` (a, b) whose sets have the similarity. Called once, on distinct pairs; whole sets are joined to those that pass the suffix filter."""
+    a, b = (sets.select(F.col("name").alias(x), F.col("size").alias(f"{x}_size"), F.col("parts").alias(f"{x}_parts")) for x in "ab")
+    suffix = F.aggregate(F.zip_with("a_parts", "b_parts", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
+    left = pairs.join(a, "a").join(b, "b").where(_reach("a_size", "b_size", suffix, threshold)).select("a", "b", "a_size", "b_size")
+    a, b = (sets.select(F.col("name").alias(x), F.col("shared").alias(f"{x}_set")) for x in "ab")
+    return left.join(a, "a").join(b, "b").where(_reach("a_size", "b_size", _overlap("a_set", "b_set"), threshold)).select("a", "b")
 
 
 def _differences(crowds: DataFrame, sets: DataFrame, bit: int, threshold: tuple[int, int]) -> DataFrame:
@@ -281,8 +285,8 @@ def similar_links(found: DataFrame, threshold: tuple[int, int] = THRESHOLD, pair
     """Links (a, b) between names of ``prefixes``: all similar pairs of uncrowded lists, and as many of crowded ones as connect the same sets."""
     num, den = threshold
     sets = stage(found.where("n_prefix > 0").select("name", "size", "first", "n_prefix", "weight", "shared", "parts").dropDuplicates(["name"]), "sets")
-    posts = sets.select("name", "size", "weight", "first", "parts", F.posexplode(F.slice("shared", F.lit(1), F.col("n_prefix"))).alias("at", "token"))
-    posts = posts.select("token", "name", "size", "weight", "parts", (F.col("first") + F.col("at")).alias("rank"))
+    posts = sets.select("name", "size", "weight", "first", F.posexplode(F.slice("shared", F.lit(1), F.col("n_prefix"))).alias("at", "token"))
+    posts = posts.select("token", "name", "size", "weight", (F.col("first") + F.col("at")).alias("rank"))
     met = stage(_sized(posts, ["token"]), "met")
     # Crowded lists lose the members that none of the list's sizes, at its least rank, can reach.
     crowded = met.where(F.col("n") > pairwise).drop("n")
@@ -292,10 +296,9 @@ def similar_links(found: DataFrame, threshold: tuple[int, int] = THRESHOLD, pair
     alive = kinds.join(sizes.alias("s"), (F.col("k.token") == F.col("s.token")) & reach, "left_semi")
     alive = stage(_sized(crowded.join(alive, ["token", "size", "rank"], "left_semi"), ["token"]), "alive")
     few = met.where(F.col("n") <= pairwise).unionByName(alive.where(F.col("n") <= pairwise))
-    a, b = (few.select("token", *(F.col(c).alias(x + c) for c in ("name", "size", "rank", "parts"))) for x in ("a_", "b_"))
-    suffix = F.aggregate(F.zip_with("a_parts", "b_parts", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
+    a, b = (few.select("token", *(F.col(c).alias(x + c) for c in ("name", "size", "rank"))) for x in ("a_", "b_"))
     fits = _reach("a_size", "b_size", _left(F.col("a_size"), F.col("a_rank"), F.col("b_size"), F.col("b_rank")), threshold)
-    pairs = [a.join(b, (a.token == b.token) & (F.col("a_name") < F.col("b_name")) & fits).where(_reach("a_size", "b_size", suffix, threshold)).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))]
+    pairs = [a.join(b, (a.token == b.token) & (F.col("a_name") < F.col("b_name")) & fits).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))]
     links, many = [], alive.where(F.col("n") > pairwise)
     if not many.isEmpty():
         many = many.withColumn("token", F.struct(F.col("token").alias("value"), F.lit(False).alias("everybody")))
