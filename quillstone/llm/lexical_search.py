@@ -33,7 +33,7 @@ from quillstone.llm.storage import bytes_of, read, small, small_batches, stage
 
 TOP = 10
 #: Terms (with repeats) of an index block; queries and terms of a query block; documents scored at once.
-BLOCK_TERMS, QUERIES_AT_ONCE, QUERY_TERMS, DOCS_AT_ONCE = 1 << 20, 500, 10_000, 1024
+BLOCK_TERMS, QUERIES_AT_ONCE, QUERY_TERMS, DOCS_AT_ONCE = 1 << 17, 500, 10_000, 1024
 #: Blocks that a query visits first.
 SEEDS = 4
 _BYTE = np.arange(256)
