@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.evaluate import confusion, smoothed_metrics
+from quillstone.operators.topk import first_rows
+
 
 def join_splits(df: DataFrame, splits: DataFrame) -> DataFrame:
     return df.join(splits, "id", "inner")
@@ -20,8 +23,7 @@ def with_labels(scores: DataFrame, labels: DataFrame, key: str = "id") -> DataFr
 def first_source(sources: list[DataFrame]) -> DataFrame:
     """One score per id: of ids in several sources, the earliest source's."""
     tagged = reduce(DataFrame.unionByName, (s.select("id", "p_text").withColumn("_source", F.lit(i)) for i, s in enumerate(sources)))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("_source", "p_text"))
-    return tagged.withColumn("_n", rank).where("_n = 1").drop("_n", "_source")
+    return first_rows(tagged, [F.col("id")], ["_source", "p_text"]).drop("_source")
 
 
 def attach_scores(df: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +56,9 @@ def repeated_scores(runs: DataFrame) -> DataFrame:
 
 
 def prediction_summary(predictions: DataFrame, threshold: float = 0.5, score: str = "p_text") -> DataFrame:
-    """Totals; accuracy only where every row is labelled."""
+    """Totals of a batch; its metrics only where every row is labelled, else null."""
     yes = F.col(score) >= threshold
-    every = F.count("label") == F.count("*")
-    return predictions.agg(F.count("*").alias("n"), F.count_if(yes).alias("n_positive"), F.try_divide(F.count_if(yes) * 100.0, F.count("*")).alias("pct_positive"), F.when(every, F.avg((yes.cast("int") == F.col("label")).cast("int"))).alias("accuracy"))
+    totals = predictions.agg(F.count("*").alias("n"), F.count_if(yes).alias("n_positive"), F.try_divide(F.count_if(yes) * 100.0, F.count("*")).alias("pct_positive"), (F.count("label") == F.count("*")).alias("_every"))
+    metrics = smoothed_metrics(confusion(predictions, threshold, (), score))  # a row each
+    names = ("accuracy", "precision", "recall", "specificity", "f1")
+    return totals.crossJoin(metrics).select("n", "n_positive", "pct_positive", *(F.when(F.col("_every"), F.col(m)).alias(m) for m in names))

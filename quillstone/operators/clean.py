@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.lexicons import TIME_RANGE
 from quillstone.functions.text import clean_text, content_hash, dedup_form, is_removed, strip
+from quillstone.operators.ranks import counted, quantiles
+from quillstone.operators.topk import first_rows, smallest
+from quillstone.sources.scratch import materialised
 
 NUMERIC = ("upvotes", "num_comments")
 
@@ -29,8 +32,7 @@ def flagged(raw: DataFrame) -> DataFrame:
 
 def keep_first_id(df: DataFrame) -> DataFrame:
     """One row per id: the oldest, then by content, as a table has no file order."""
-    order = Window.partitionBy("id").orderBy("created_utc", F.xxhash64("title", "body"))
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first_rows(df, [F.col("id")], ["created_utc", F.xxhash64("title", "body")])
 
 
 def clean_texts(df: DataFrame, entities: bool = True) -> DataFrame:
@@ -42,8 +44,10 @@ def clean_texts(df: DataFrame, entities: bool = True) -> DataFrame:
 
 
 def numeric_caps(df: DataFrame, quantile: float = 0.995) -> DataFrame:
-    """One row: the cap of each numeric column over repaired values."""
-    return df.agg(*(F.percentile(_repaired(c), F.lit(quantile)).alias(f"{c}_cap") for c in NUMERIC))
+    """One row: the cap of each numeric column over repaired values, from ranges of values."""
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), _repaired(c).alias("x")) for c in NUMERIC))))
+    caps = quantiles(counted(long, ["column"], "x"), ["column"], "x", {"cap": quantile})
+    return caps.agg(*(F.max(F.when(F.col("column") == c, F.col("cap"))).alias(f"{c}_cap") for c in NUMERIC))
 
 
 def _repaired(c: str) -> Column:
@@ -51,9 +55,9 @@ def _repaired(c: str) -> Column:
 
 
 def repair_numbers(df: DataFrame, quantile: float = 0.995) -> DataFrame:
-    """Null and negative to 0, capped at the quantile, truncated to bigint. The caps are scalar subqueries."""
-    caps = numeric_caps(df, quantile).select(F.struct(*(f"{c}_cap" for c in NUMERIC))).scalar()
-    return df.withColumns({c: F.least(_repaired(c), caps[f"{c}_cap"]).cast("bigint") for c in NUMERIC})
+    """Null and negative to 0, capped at the quantile, truncated to bigint. ``df`` is read twice: give it materialised."""
+    rows = df.crossJoin(F.broadcast(numeric_caps(df, quantile)))  # one row of caps
+    return rows.withColumns({c: F.least(_repaired(c), F.col(f"{c}_cap")).cast("bigint") for c in NUMERIC}).drop(*(f"{c}_cap" for c in NUMERIC))
 
 
 def normal_category(c: Column) -> Column:
@@ -70,15 +74,13 @@ def dedup_content(df: DataFrame, least: int = 40) -> DataFrame:
 
     A short body is hashed with its id, so that one shuffle does for both kinds.
     """
-    key = content_key(least)
-    order = Window.partitionBy("_key").orderBy("created_utc", "id")
-    return df.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_key", "_n")
+    return first_rows(df, [content_key(least)], ["created_utc", "id"])
 
 
 def clean_posts(raw: DataFrame, entities: bool = True) -> DataFrame:
-    """Raw posts to the clean table."""
+    """Raw posts to the clean table. The cleaned texts are written once; caps and the rest are read from them."""
     df = flagged(raw).where("not no_key and not bad_time").drop("no_key", "bad_time", "title_removed", "body_removed")
-    df = repair_numbers(clean_texts(keep_first_id(df), entities))
+    df = repair_numbers(materialised(clean_texts(keep_first_id(df), entities), "cleaned"))
     df = dedup_content(df.withColumn("subreddit", normal_category(F.col("subreddit"))))
     return df.select("id", "subreddit", "title", "body", "has_title", "has_body", "upvotes", "num_comments", F.col("created_utc").cast("bigint"), F.col("label").cast("tinyint"))
 
@@ -98,26 +100,23 @@ def audit(raw: DataFrame) -> DataFrame:
 
 
 def audit_steps(raw: DataFrame, quantile: float = 0.995) -> DataFrame:
-    """Rows that each step of clean_posts drops or caps, and the per cent that all drop together, in one aggregate.
+    """Rows that each step of clean_posts drops or caps, and the per cent that all drop together.
 
-    Every row carries its flags; a step's windows see only the rows that the steps before it keep.
+    Each step is a count: ids, cleaned texts and content keys are written once as a narrow table.
     """
-    ok = flagged(raw).withColumn("ok", ~F.col("no_key") & ~F.col("bad_time"))
-    own = F.when(F.col("ok"), F.col("id")).otherwise(F.xxhash64("title", "body", "created_utc").cast("string"))
-    first = Window.partitionBy("ok", own).orderBy("created_utc", F.xxhash64("title", "body"))
-    unique = ok.withColumn("unique", F.col("ok") & (F.row_number().over(first) == 1))
-    body = F.when(is_removed(F.col("body")), "").otherwise(clean_text(F.col("body")))
-    texts = unique.select("id", "ok", "unique", "created_utc", *NUMERIC, F.inline(F.array(F.struct(clean_text(F.col("title")).alias("title"), body.alias("body")))))
-    full = texts.withColumn("full", F.col("unique") & ((F.length("title") > 0) | (F.length("body") > 0)))
-    key = F.when(F.col("full"), content_key()).otherwise(F.concat(F.lit("row:"), F.xxhash64("id", "title", "body").cast("string")))
-    once = F.row_number().over(Window.partitionBy("full", key).orderBy("created_utc", "id")) == 1
-    rows = full.select("ok", "unique", "full", (F.col("full") & once).alias("kept"), *(_repaired(c).alias(c) for c in NUMERIC))
-    limits = rows.where("full").agg(*(F.percentile(F.col(c), F.lit(quantile)).alias(f"{c}_cap") for c in NUMERIC)).select(F.struct(*(f"{c}_cap" for c in NUMERIC))).scalar()
-    n = F.count("*")
-    return rows.agg(
-        n.alias("n_rows"), F.count_if(~F.col("ok")).alias("no_key_or_time"), F.count_if(F.col("ok") & ~F.col("unique")).alias("repeated_ids"), F.count_if(F.col("unique") & ~F.col("full")).alias("both_empty"),
-        F.count_if(F.col("full") & ~F.col("kept")).alias("repeated_content"), F.count_if("kept").alias("kept"), F.try_divide(F.count_if(~F.col("kept")) * 100.0, n).alias("pct_dropped"),
-        *(F.count_if(F.col("full") & (F.col(c) > limits[f"{c}_cap"])).alias(f"{c}_capped") for c in NUMERIC),
+    ok = flagged(raw).where("not no_key and not bad_time")
+    unique = keep_first_id(ok.drop("no_key", "bad_time", "title_removed", "body_removed"))
+    texts = clean_texts(unique.select("id", "title", "body", "created_utc", *NUMERIC))
+    narrow = materialised(texts.select(content_key().alias("key"), *(_repaired(c).alias(c) for c in NUMERIC)), "audited")
+    caps = narrow.crossJoin(F.broadcast(numeric_caps(narrow, quantile)))
+    full = caps.agg(F.count("*").alias("n_full"), *(F.count_if(F.col(c) > F.col(f"{c}_cap")).alias(f"{c}_capped") for c in NUMERIC))
+    kept = narrow.groupBy("key").agg(F.count("*").alias("n")).agg(F.count("*").alias("kept"))
+    ids = ok.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_unique"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_ok"))
+    one = raw.agg(F.count("*").alias("n_rows")).crossJoin(ids).crossJoin(full).crossJoin(kept)  # a row each
+    n = F.col("n_rows")
+    return one.select(
+        "n_rows", (n - F.col("n_ok")).alias("no_key_or_time"), (F.col("n_ok") - F.col("n_unique")).alias("repeated_ids"), (F.col("n_unique") - F.col("n_full")).alias("both_empty"),
+        (F.col("n_full") - F.col("kept")).alias("repeated_content"), "kept", F.try_divide((n - F.col("kept")) * 100.0, n).alias("pct_dropped"), *(f"{c}_capped" for c in NUMERIC),
     )
 
 
@@ -132,14 +131,19 @@ def binary_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def duplicates_by_label(df: DataFrame, order: tuple[str, ...], text: str = "text") -> DataFrame:
-    """Per label its rows, and those beyond the first of their text."""
-    rank = F.row_number().over(Window.partitionBy(F.md5(F.col(text).cast("binary"))).orderBy(*order))
-    return df.where(F.col(text).isNotNull()).withColumn("_n", rank).groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("_n") > 1).alias("duplicates"))
+    """Per label its rows, and those beyond the first of their text: all but as many as the label has first rows."""
+    rows = df.where(F.col(text).isNotNull())
+    first = rows.groupBy(F.md5(F.col(text).cast("binary")).alias("key")).agg(F.min_by(F.struct("label"), F.struct(*order)).alias("f"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n_rows"), F.lit(0).cast("long").alias("n_first"))
+    both = counts.unionByName(first.groupBy("f.label").agg(F.lit(0).cast("long").alias("n_rows"), F.count("*").alias("n_first")))
+    return both.groupBy("label").agg(F.sum("n_rows").alias("n_rows"), (F.sum("n_rows") - F.sum("n_first")).alias("duplicates"))
 
 
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
-    """Rows beyond the first of their id; nulls count as equal."""
-    return df.agg((F.count("*") - F.count_distinct(key) - F.max(F.col(key).isNull().cast("int"))).alias("duplicates"), F.count("*").alias("n_rows"))
+    """Rows beyond the first of their id, with their per cent; nulls count as equal."""
+    n = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_ids"))
+    extra = F.col("n_rows") - F.col("n_ids")
+    return n.select(extra.alias("duplicates"), "n_rows", F.try_divide(extra * 100.0, "n_rows").alias("pct"))
 
 
 def duplicate_groups(df: DataFrame, least: int = 40) -> DataFrame:
@@ -148,18 +152,21 @@ def duplicate_groups(df: DataFrame, least: int = 40) -> DataFrame:
     return bodies.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def duplicate_report(df: DataFrame, least: int = 40) -> DataFrame:
-    return duplicate_groups(df, least).agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"), F.max("n").alias("biggest"))
+def duplicate_report(df: DataFrame, least: int = 40, top: int = 10) -> DataFrame:
+    """Groups of equal bodies: their number, rows beyond the first with their per cent of all rows, and the largest sizes."""
+    groups = duplicate_groups(df, least)
+    sizes = groups.orderBy(F.desc("n")).limit(top).agg(F.sort_array(F.collect_list("n"), asc=False).alias("biggest_sizes"))
+    found = groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"), F.max("n").alias("biggest"))
+    rows = df.agg(F.count("*").alias("n_rows"))
+    return found.crossJoin(sizes).crossJoin(rows).select("n_groups", "extra_rows", "biggest", F.try_divide(F.col("extra_rows") * 100.0, "n_rows").alias("extra_pct"), "biggest_sizes")  # a row each
 
 
 def duplicate_samples(df: DataFrame, groups: int = 20, rows: int = 3, least: int = 40) -> DataFrame:
     """The largest groups, a few rows of each, with a preview."""
     top = duplicate_groups(df, least).orderBy(F.desc("n"), "hash").limit(groups)
     hashed = df.where(F.length("body") >= least).select("id", F.substring("body", 1, 200).alias("preview"), content_hash(dedup_form(F.col("body"))).alias("hash"))
-    rank = F.row_number().over(Window.partitionBy("hash").orderBy("id"))
-    return hashed.join(F.broadcast(top), "hash").withColumn("place", rank).where(F.col("place") <= rows).select("hash", "n", "place", "id", "preview")
+    return smallest(hashed.join(F.broadcast(top), "hash"), ["hash"], ["id"], rows).select("hash", "n", "place", "id", "preview")  # the limit bounds the broadcast
 
 
 def dedup_exact(df: DataFrame, text: str = "text", order: tuple[str, ...] = ("id",)) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(F.md5(F.col(text).cast("binary"))).orderBy(*order))
-    return df.withColumn("_n", rank).where("_n = 1").drop("_n")
+    return first_rows(df, [F.md5(F.col(text).cast("binary"))], list(order))

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.ranks import joined, running_sums
+from quillstone.operators.relations import quantile_bins
+
+
+#: Fixed value: what the smoothed metrics add to their denominators.
+SMOOTHING = 1e-8
+
 
 def confusion(df: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = (), score: str = "p") -> DataFrame:
     yes, y = F.col(score) >= threshold, F.col("label") == 1
     return df.groupBy(*by).agg(F.count_if(~yes & ~y).alias("tn"), F.count_if(yes & ~y).alias("fp"), F.count_if(~yes & y).alias("fn"), F.count_if(yes & y).alias("tp"))
 
 
-def with_metrics(counts: DataFrame, epsilon: float = 0.0) -> DataFrame:
+def with_metrics(counts: DataFrame) -> DataFrame:
     """Metrics of tn, fp, fn, tp; an empty denominator gives 0."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
 
     def ratio(a: Column, b: Column) -> Column:
-        return a / (b + epsilon) if epsilon else F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+        return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
     out = {
         "accuracy": ratio(tn + tp, tn + fp + fn + tp), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp),
@@ -26,18 +33,38 @@ def with_metrics(counts: DataFrame, epsilon: float = 0.0) -> DataFrame:
     return counts.withColumns(out)
 
 
+def smoothed_metrics(counts: DataFrame) -> DataFrame:
+    """The older form: SMOOTHING in each denominator but accuracy's, which is null without rows; F1 from the smoothed precision and recall."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    out = counts.withColumns({"accuracy": F.try_divide((tn + tp).cast("double"), tn + fp + fn + tp), "precision": tp / (tp + fp + SMOOTHING), "recall": tp / (tp + fn + SMOOTHING), "specificity": tn / (tn + fp + SMOOTHING)})
+    return out.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + SMOOTHING))
+
+
 def curve(df: DataFrame, by: tuple[str, ...] = (), score: str = "p") -> DataFrame:
-    """Per distinct score, from the highest: cumulative tp and fp, totals, tpr, fpr, precision.
+    """Per distinct score: tp and fp of the threshold there, totals, tpr, fpr, precision.
 
-    The running sums are over distinct scores of a group, not over rows.
+    The running sums go over ranges of scores, so that no task sorts all of a group's.
     """
     steps = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    out = steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole)})
+    out = running_sums(steps.where("threshold is not null"), list(by), "threshold", ["pos", "neg"])
+    out = out.withColumns({"tp": F.col("pos_total") - F.col("pos_below"), "fp": F.col("neg_total") - F.col("neg_below")}).withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
+    out = out.select(*by, "threshold", "pos", "neg", "tp", "fp", "n_pos", "n_neg")
     return out.withColumns({"tpr": F.try_divide("tp", "n_pos"), "fpr": F.try_divide("fp", "n_neg"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
 
 
+def curve_points(df: DataFrame, by: tuple[str, ...] = (), score: str = "p") -> DataFrame:
+    """The corners of the ROC curve: a distinct score whose step goes on in its neighbour's direction is left out.
+
+    A point lies on the straight line between its neighbours just where its own step and the next lower score's step
+    have the same ratio of positives to negatives. Neighbours are looked up by rank among the distinct scores.
+    """
+    c = running_sums(curve(df, by, score).withColumn("one", F.lit(1)), list(by), "threshold", ["one"]).withColumnRenamed("one_below", "rank")
+    lower = c.select(*by, (F.col("rank") + 1).alias("rank"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
+    met = joined(c, lower, [*by, "rank"], "left")
+    corner = F.col("next_pos").isNull() | (F.col("pos") * F.col("next_neg") != F.col("neg") * F.col("next_pos"))
+    return met.where(corner).select(*by, "threshold", "tp", "fp", "tpr", "fpr", "precision")
+
+
 def areas(df: DataFrame, by: tuple[str, ...] = (), score: str = "p") -> DataFrame:
     """ROC-AUC (ties count half) and average precision (step sum); null where one class is missing."""
     c = curve(df, by, score)
@@ -108,8 +135,7 @@ def calibration_error(df: DataFrame, bins: int = 10, by: tuple[str, ...] = (), s
 
 
 def reliability(df: DataFrame, bins: int = 10, score: str = "p") -> DataFrame:
-    from quillstone.operators.relations import quantile_bins
-
+    """Per quantile bin of the score: rows, mean score, rate of positives."""
     return quantile_bins(df, score, bins).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_p"), F.avg("label").alias("rate"))
 
 
@@ -134,4 +160,29 @@ def precision_at_recall(df: DataFrame, recall: float = 0.9, score: str = "p") ->
 
 
 def normalised_importance(importance: DataFrame) -> DataFrame:
-    return importance.withColumn("share", F.col("gain") / F.sum("gain").over(Window.partitionBy()))
+    total = importance.agg(F.sum("gain").alias("_all"))
+    return importance.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide(F.col("gain").cast("double"), "_all")).drop("_all")
+
+
+def slices(df: DataFrame, category: str = "subreddit", largest: int = 5, small: int = 10_000, short: int = 20) -> DataFrame:
+    """``df`` (category, label, hit, body, p) with ``slice``, a row for each slice that it lies in.
+
+    Slices: all; the rows of each of the largest categories; of all categories under ``small`` rows; negatives with a
+    keyword (hit), the likely false positives; positives with an empty or short body, the likely false negatives.
+    """
+    sizes = df.groupBy(category).agg(F.count("*").alias("_n"))
+    top = sizes.orderBy(F.desc("_n"), category).limit(largest).select(F.col(category).alias("_top"))  # the limit bounds the broadcast
+    sized = joined(df, sizes, [category]).join(F.broadcast(top), F.col(category) == F.col("_top"), "left")
+    short_body = F.length(F.coalesce("body", F.lit(""))) < short
+    names = F.array(
+        F.lit("all"), F.when(F.col("_top").isNotNull(), F.concat(F.lit("category:"), "_top")), F.when(F.col("_n") < small, "small categories"),
+        F.when((F.col("label") == 0) & F.col("hit"), "negatives with keyword"), F.when((F.col("label") == 1) & short_body, "positives with short body"),
+    )
+    return sized.withColumn("slice", F.explode(F.array_compact(names))).drop("_n", "_top")
+
+
+def slice_metrics(df: DataFrame, by: str = "slice", threshold: float = 0.5, precision: float = 0.9, score: str = "p") -> DataFrame:
+    """Per slice or category: n, confusion counts, metrics, and the recall at a precision (null where it is not reached)."""
+    counts = with_metrics(confusion(df, threshold, (by,), score)).withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    reached = curve(df, (by,), score).where(F.col("precision") >= precision).groupBy(by).agg(F.max("tpr").alias("recall_at_precision"))
+    return joined(counts, reached, [by], "left")

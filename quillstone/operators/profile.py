@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from quillstone.functions.lexicons import GROUP_SIZE_EDGES
 from quillstone.functions.text import is_removed, strip, word_count
 from quillstone.operators.clean import valid_time
+from quillstone.operators.ranks import counted, joined, quantiles, quantiles_of
 from quillstone.operators.splits import sample_n
 
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}
 
 
 def numeric_summary(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per column (and group): moments, linear quantiles, counts of signs; all columns in one aggregate."""
+    """One row per column (and group): moments, linear quantiles, counts of signs.
+
+    All from one count per distinct value of each column and group; ranks are found in ranges of values.
+    """
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("c")).select(*by, "c.*")
+    keys = [*by, "column"]
     x, n = F.col("x"), F.count("x")
-    q = F.percentile(x, F.array(*(F.lit(v) for v in QUANTILES.values())))
     fit = F.skewness(x) * F.sqrt(n * (n - 1.0)) / (n - 2)
-    out = long.groupBy(*by, "column").agg(
-        n.alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("_q"),
+    out = long.groupBy(*keys).agg(
+        n.alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.when(n > 2, fit).alias("skewness"), F.count_if(x < 0).alias("n_negative"), F.count_if(x == 0).alias("n_zero"),
     )
-    return out.select("*", *(F.col("_q")[i].alias(k) for i, k in enumerate(QUANTILES))).drop("_q")
+    return joined(out, quantiles(counted(long, keys, "x"), keys, "x", QUANTILES), keys, "left")
 
 
 def lengths(df: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
@@ -64,14 +68,24 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
+    """Per label n and per cent, with the number of labels and whether they are 0 and 1 alone."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    facts = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("n_unique"), F.bool_and(F.col(label).cast("string").isin("0", "1")).alias("is_binary"))
+    return counts.crossJoin(F.broadcast(facts)).select(label, "n", (F.col("n") * 100.0 / F.col("_all")).alias("pct"), "n_unique", "is_binary")  # one row of facts
 
 
 def category_summary(df: DataFrame, column: str, rare: int = 50) -> DataFrame:
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     low = F.col("n") < rare
-    return counts.agg(F.count("*").alias("n_unique"), F.count_if(low).alias("n_rare"), F.coalesce(F.sum(F.when(low, F.col("n"))), F.lit(0)).alias("rare_rows"), F.sum("n").alias("n_rows"))
+    rows = F.coalesce(F.sum(F.when(low, F.col("n"))), F.lit(0))
+    return counts.agg(F.count("*").alias("n_unique"), F.count_if(low).alias("n_rare"), rows.alias("rare_rows"), F.sum("n").alias("n_rows"), F.try_divide(rows * 100.0, F.sum("n")).alias("rare_pct"))
+
+
+def top_categories(df: DataFrame, column: str, top: int = 20) -> DataFrame:
+    """The most frequent values (null is one) with their per cent of all rows."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    total = df.agg(F.count("*").alias("_all"))
+    return counts.orderBy(F.desc("n"), F.col(column).asc_nulls_first()).limit(top).crossJoin(F.broadcast(total)).select(column, "n", (F.col("n") * 100.0 / F.col("_all")).alias("pct"))
 
 
 def right_closed_bin(x: Column, edges: tuple[float, ...]) -> Column:
@@ -94,9 +108,8 @@ def histogram(df: DataFrame, column: str, bins: int = 60, clip: float = 0.99, by
     x = F.col(column).cast("double")
     x = F.log10(F.greatest(x, F.lit(1.0))) if log else x
     rows = df.where(x.isNotNull()).select(*by, x.alias("x"))
-    limits = rows.agg(F.min("x").alias("lo"), F.percentile("x", F.lit(clip)).alias("hi"))
-    lo, hi = limits.select("lo").scalar(), limits.select("hi").scalar()
-    binned = rows.withColumns({"lo": lo, "hi": hi}).where("x <= hi")
+    limits = quantiles_of(rows, "x", {"lo": 0.0, "hi": clip})  # one row
+    binned = rows.crossJoin(F.broadcast(limits)).where("x <= hi")
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     counts = binned.groupBy(*by, at.alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))
@@ -109,14 +122,11 @@ def histogram(df: DataFrame, column: str, bins: int = 60, clip: float = 0.99, by
 def box_by_group(df: DataFrame, column: str, by: str, clip: float = 0.99) -> DataFrame:
     """Quartiles, and the furthest values within 1.5 interquartile ranges."""
     x = F.col(column).cast("double")
-    hi = df.agg(F.percentile(x, F.lit(clip)).alias("hi")).scalar()
-    rows = df.where(x <= hi).select(by, x.alias("x"))
-    q = rows.groupBy(by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    spread = (F.col("q")[2] - F.col("q")[0]) * 1.5
-    # One row per group: the side that is broadcast is as small as the group count.
-    inside = rows.join(q, by).where(F.col("x").between(F.col("q")[0] - spread, F.col("q")[2] + spread))
-    ends = inside.groupBy(by).agg(F.first("q").alias("q"), F.min("x").alias("low_whisker"), F.max("x").alias("high_whisker"))
-    return ends.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low_whisker", "high_whisker")
+    rows = df.select(by, x.alias("x")).crossJoin(F.broadcast(quantiles_of(df, x, {"hi": clip}))).where("x <= hi").drop("hi")
+    q = quantiles_of(rows, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
+    spread = (F.col("q3") - F.col("q1")) * 1.5
+    inside = joined(rows, q, [by]).where(F.col("x").between(F.col("q1") - spread, F.col("q3") + spread))
+    return inside.groupBy(by, "q1", "median", "q3").agg(F.min("x").alias("low_whisker"), F.max("x").alias("high_whisker"))
 
 
 def time_validity(df: DataFrame, ts: str = "created_utc") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.ranks import counted, quantiles, quantiles_of, running_sums
+
 
 def label_rate_by(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
     out = df.groupBy(by).agg(F.count("label").alias("n"), F.sum("label").alias("n_positive"), F.avg("label").alias("rate")).where("n > 0")
@@ -32,7 +34,14 @@ def label_rate_on_grid(df: DataFrame, value: Column, size: int, name: str) -> Da
 
 
 def means_by_label(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.where("label is not null").groupBy("label").agg(*(f for c in columns for f in (F.avg(c).alias(f"{c}_mean"), F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"{c}_median"))))
+    """Mean and median of each column per label; the medians of all columns by ranges of their values."""
+    known = df.where("label is not null")
+    means = known.groupBy("label").agg(*(F.avg(c).alias(f"{c}_mean") for c in columns))
+    long = known.select("label", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))))
+    keys = ["label", "column"]
+    medians = quantiles(counted(long, keys, "x"), keys, "x", {"median": 0.5})
+    wide = medians.groupBy("label").agg(*(F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"{c}_median") for c in columns))
+    return means.join(wide, "label", "left")
 
 
 def _long(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
@@ -49,12 +58,12 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation with average ranks: ranks of distinct values from counts, then a weighted Pearson."""
     cells = _long(df, columns).groupBy("feature", "x", "y").agg(F.count("*").alias("c"))
-    values = cells.groupBy("feature", "x").agg(F.sum("c").alias("cx"))
-    below = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.withColumn("rx", F.coalesce(F.sum("cx").over(below), F.lit(0)) + (F.col("cx") + 1) / 2)
-    labels = cells.groupBy("feature", "y").agg(F.sum("c").alias("cy"))
-    lower = Window.partitionBy("feature").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    label_ranks = labels.withColumn("ry", F.coalesce(F.sum("cy").over(lower), F.lit(0)) + (F.col("cy") + 1) / 2)
+
+    def ranked(value: str, name: str) -> DataFrame:
+        sums = cells.groupBy("feature", value).agg(F.sum("c").alias("n"))
+        return running_sums(sums, ["feature"], value, ["n"]).select("feature", value, (F.col("n_below") + (F.col("n") + 1) / 2).alias(name))
+
+    ranks, label_ranks = ranked("x", "rx"), ranked("y", "ry")
     r = cells.join(ranks, ["feature", "x"]).join(label_ranks, ["feature", "y"])
     n = F.sum("c")
     mx, my = F.sum(F.col("c") * F.col("rx")) / n, F.sum(F.col("c") * F.col("ry")) / n
@@ -86,11 +95,12 @@ def rate_by_bucket(df: DataFrame, bucket: Column, size: int) -> DataFrame:
 
 def quantile_bins(df: DataFrame, column: str, q: int = 10, out: str = "bin") -> DataFrame:
     """Adds the quantile bin: right-closed, the least value included, equal edges merged."""
-    points = F.array(*(F.lit(i / q) for i in range(q + 1)))
-    edges = df.agg(F.array_distinct(F.percentile(F.col(column).cast("double"), points)).alias("e")).scalar()
+    names = {f"e{i}": i / q for i in range(q + 1)}
+    found = quantiles_of(df, column, names)  # one row
+    edges = found.select(F.array_distinct(F.array(*names)).alias("_edges"))
     x = F.col(column).cast("double")
     place = F.size(F.filter("_edges", lambda e: e < x)) - 1
-    return df.withColumn("_edges", edges).withColumn(out, F.when(x.isNotNull(), F.greatest(place, F.lit(0)))).drop("_edges")
+    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(x.isNotNull(), F.greatest(place, F.lit(0)))).drop("_edges")
 
 
 def mutual_information(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import lexicons as L
 from quillstone.functions.text import count_in, has_stem, is_english, simple_words, strip
+from quillstone.operators.topk import smallest
 
 SIGNALS = ("has_keyword", "exclamations", "questions", "ellipses", "caps_words", "first_person_rate", "negation_rate", "negative_affect_rate")
 
@@ -82,8 +83,7 @@ def label_mismatches(posts: DataFrame, k: int = 25) -> DataFrame:
     """Positives without a keyword and negatives with one, k of each by hash order."""
     text = F.concat_ws(" ", "title", "body")
     found = posts.where("label is not null").withColumn("hit", has_stem(text, L.SAMPLE_KEYWORD_STEMS)).where((F.col("label") == 1) != F.col("hit"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.md5("id"), "id"))
-    return found.withColumn("place", rank).where(F.col("place") <= k).select("label", "place", "id")
+    return smallest(found.select("label", "id"), ["label"], [F.md5("id"), F.col("id")], k).select("label", "place", "id")
 
 
 #: (severity, metric, low, high, text): a rule fires where low <= value < high.

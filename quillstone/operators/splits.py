@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.ranks import joined as joined_on, running_sums
+
 
 def time_split(ts: Column, train_until: int = 2020, val: int = 2021, test: int = 2022) -> Column:
     year = F.year(F.timestamp_seconds(ts))
@@ -26,16 +28,12 @@ def hash_rank(df: DataFrame, seed: int, by: tuple[str, ...] = ("label",), key: s
     counts = drawn.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
     stratum = Window.partitionBy(*by)
     starts = counts.select(
-        *(F.col(c).alias(f"_s_{c}") for c in by), F.col("_bucket").alias("_sb"),
-        F.coalesce(F.sum("_c").over(stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.sum("_c").over(stratum).alias("n"),
-    )
+        *by, "_bucket", F.coalesce(F.sum("_c").over(stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_c").over(stratum).alias("n")
+    )
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_draw", key))
-    match = F.col("_bucket") == F.col("_sb")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    joined = drawn.withColumn("_in", inside).join(F.broadcast(starts), match)
-    return joined.withColumn(out, F.col("_start") + F.col("_in") - 1).drop("_draw", "_bucket", "_in", "_start", "_sb", *(f"_s_{c}" for c in by))
+    # AQE broadcasts the starts while they are small.
+    placed = joined_on(drawn.withColumn("_in", inside), starts, [*by, "_bucket"])
+    return placed.withColumn(out, F.col("_start") + F.col("_in") - 1).drop("_draw", "_bucket", "_in", "_start")
 
 
 def stratified_split(df: DataFrame, parts: dict[str, float], seed: int = 42, rest: str = "train", out: str = "random_split") -> DataFrame:
@@ -56,6 +54,20 @@ def stratified_folds(df: DataFrame, k: int = 3, seed: int = 2024, train: Column
     return ranked.withColumn("fold", F.when(F.col("_train"), F.col("rank") % k).otherwise(-1).cast("tinyint")).drop("rank", "n", "_train")
 
 
+def category_folds(df: DataFrame, category: str, k: int = 3, strata: int = 4) -> DataFrame:
+    """Whole categories in k folds: (category, n, n_positive, fold), so that a model meets none of its test categories in training.
+
+    Categories of a similar label rate (``strata`` equal ranges of it; without labels the lowest) are dealt out from the largest to the smallest, forth
+    and back over the folds (0, 1, 2, 2, 1, 0, ...), ties by name. In each stratum the rows of two folds then differ by no
+    more than its largest category. Only the table of categories is ranked, in ranges.
+    """
+    counts = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_positive"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate"))
+    stratum = F.least(F.floor(F.col("rate") * strata), F.lit(strata - 1)).cast("int")
+    placed = counts.select(category, "n", "n_positive", stratum.alias("stratum"), F.struct((-F.col("n")).alias("n"), F.col(category).alias("name")).alias("order"), F.lit(1).alias("one"))
+    turn = running_sums(placed, ["stratum"], "order", ["one"]).withColumn("turn", F.col("one_below") % (2 * k))
+    return turn.select(category, "n", "n_positive", F.when(F.col("turn") < k, F.col("turn")).otherwise(2 * k - 1 - F.col("turn")).cast("int").alias("fold"))
+
+
 def split_slice(df: DataFrame, name: str, split: str = "time_split") -> DataFrame:
     """The rows of one split; a null split belongs to none."""
     return df.where(F.col(split) == name)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.features import category_table, length_bucket, meta_features, with_rates, word_feature
-from quillstone.functions.text import clean_text, simple_words, word_count
+from quillstone.functions import lexicons
+from quillstone.functions.text import clean_text, has_stem, simple_words, word_count
 from quillstone.operators import assemble, clean, evaluate, extract, profile, relations, signals, splits, tokens
 from quillstone.sources.posts import POSTS_SQL, SCORES_SQL, posts, scores, table
 from quillstone.streaming.score import linear_score, score
@@ -102,17 +103,18 @@ def row_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.audit(posts(spark, sf_dir))
 
 
-@register("duplicate_ids", "SELECT count(*) - count(DISTINCT l_orderkey) AS duplicates, count(*) AS n_rows FROM lineitem")
+@register("duplicate_ids", "SELECT count(*) - count(DISTINCT l_orderkey) AS duplicates, count(*) AS n_rows, round((count(*) - count(DISTINCT l_orderkey)) * 100.0 / count(*), 9) AS pct FROM lineitem")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.duplicate_ids(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    return rounded(clean.duplicate_ids(table(spark, sf_dir, "lineitem"), "l_orderkey"))
 
 
 DUP_SQL = f"WITH {POSTS_SQL}, g AS (SELECT md5({sql_form('body')}) AS hash, count(*) AS n FROM posts WHERE length(body) >= 40 GROUP BY 1 HAVING count(*) > 1)"
 
 
-@register("duplicate_report", f"{DUP_SQL} SELECT count(*) AS n_groups, coalesce(sum(n - 1), 0)::bigint AS extra_rows, max(n) AS biggest FROM g")
+@register("duplicate_report", f"""{DUP_SQL} SELECT count(*) AS n_groups, coalesce(sum(n - 1), 0)::bigint AS extra_rows, max(n) AS biggest, round(coalesce(sum(n - 1), 0) * 100.0 / (SELECT count(*) FROM posts), 9) AS extra_pct,
+ coalesce((SELECT string_agg(n::varchar, ',' ORDER BY n DESC) FROM (SELECT n FROM g ORDER BY n DESC LIMIT 10)), '') AS biggest_sizes FROM g""")
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.duplicate_report(posts(spark, sf_dir))
+    return rounded(clean.duplicate_report(posts(spark, sf_dir)).withColumn("biggest_sizes", F.array_join(F.col("biggest_sizes").cast("array<string>"), ",")))
 
 
 @register("duplicate_samples", f"""{DUP_SQL}, top AS (SELECT * FROM g ORDER BY n DESC, hash LIMIT 20)
@@ -329,14 +331,26 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.value_counts(table(spark, sf_dir, "events"), "event_type")
 
 
-@register("label_distribution", "SELECT quality, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS pct FROM labels GROUP BY 1")
+@register("label_distribution", "SELECT quality, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS pct, count(*) OVER () AS n_unique, bool_and(quality IN (0, 1)) OVER () AS is_binary FROM labels WHERE quality IS NOT NULL GROUP BY 1")
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.label_distribution(table(spark, sf_dir, "labels"), "quality"))
 
 
-@register("category_summary", "SELECT count(*) AS n_unique, count_if(n < 50) AS n_rare, coalesce(sum(n) FILTER (n < 50), 0)::bigint AS rare_rows, sum(n)::bigint AS n_rows FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+@register("category_summary", "SELECT count(*) AS n_unique, count_if(n < 50) AS n_rare, coalesce(sum(n) FILTER (n < 50), 0)::bigint AS rare_rows, sum(n)::bigint AS n_rows, round(coalesce(sum(n) FILTER (n < 50), 0) * 100.0 / sum(n), 9) AS rare_pct FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.category_summary(table(spark, sf_dir, "events"), "user_id")
+    return rounded(profile.category_summary(table(spark, sf_dir, "events"), "user_id"))
+
+
+@register("top_categories", f"WITH {POSTS_SQL} SELECT subreddit, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM posts), 9) AS pct FROM posts GROUP BY 1 ORDER BY n DESC, subreddit NULLS FIRST LIMIT 20")
+def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.top_categories(posts(spark, sf_dir), "subreddit"))
+
+
+@register("density_by_label", """WITH r AS (SELECT l_returnflag, ln(greatest(l_extendedprice::double, 1)) / ln(10) AS x FROM lineitem), l AS (SELECT min(x) AS lo, quantile_cont(x, 0.99) AS hi FROM r)
+SELECT l_returnflag, least(floor((x - lo) / ((hi - lo) / 60)), 59)::int AS bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY l_returnflag) * (any_value(hi) - any_value(lo)) / 60), 6) AS density FROM r, l WHERE x <= hi GROUP BY 1, 2""")
+def density_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities per group on a logarithmic axis, all with the same bins."""
+    return rounded(profile.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", by=("l_returnflag",), log=True).drop("lo", "hi"), 6)
 
 
 @register("group_sizes", """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), e(bin, lo, hi) AS (VALUES (0, 0, 10), (1, 10, 50), (2, 50, 100), (3, 100, 500), (4, 500, 1000), (5, 1000, 5000), (6, 5000, 10000), (7, 10000, 100000), (8, 100000, 10000000))
@@ -541,6 +555,91 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.areas(_p(spark, sf_dir)))
 
 
+CURVE_SQL = f"""{SCORES_SQL}, g AS (SELECT p_text AS threshold, sum(label)::bigint AS pos, sum(1 - label)::bigint AS neg FROM scores GROUP BY 1),
+c AS (SELECT threshold, pos, neg, (sum(pos) OVER w)::bigint AS tp, (sum(neg) OVER w)::bigint AS fp, sum(pos) OVER () AS n_pos, sum(neg) OVER () AS n_neg, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg FROM g WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@register("curve_points", f"""WITH {CURVE_SQL} SELECT round(threshold, 9) AS threshold, tp, fp, round(tp / n_pos, 9) AS tpr, round(fp / n_neg, 9) AS fpr, round(tp / (tp + fp), 9) AS precision FROM c WHERE next_pos IS NULL OR pos * next_neg <> neg * next_pos""")
+def curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of the ROC curve, with the precision there."""
+    return rounded(evaluate.curve_points(_p(spark, sf_dir)))
+
+
+@register("operating_points", f"WITH {CURVE_SQL} SELECT (SELECT round(max(tp / n_pos), 9) FROM c WHERE tp / (tp + fp) >= 0.9) AS recall_at_precision, (SELECT round(max(tp / (tp + fp)), 9) FROM c WHERE tp / n_pos >= 0.9) AS precision_at_recall")
+def operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _p(spark, sf_dir)
+    recall, precision = (f(df).toDF(name) for f, name in ((evaluate.recall_at_precision, "recall_at_precision"), (evaluate.precision_at_recall, "precision_at_recall")))
+    return rounded(recall.crossJoin(precision))  # a row each
+
+
+@register("prediction_summary", f"""WITH {SCORES_SQL}, c AS (SELECT count(*) AS n, count_if(p_text >= .5) AS n_positive, count_if(p_text < .5 AND label = 0) AS tn, count_if(p_text >= .5 AND label = 0) AS fp, count_if(p_text < .5 AND label = 1) AS fn, count_if(p_text >= .5 AND label = 1) AS tp FROM scores),
+m AS (SELECT *, (tn + tp) / n AS accuracy, tp / (tp + fp + 1e-8) AS precision, tp / (tp + fn + 1e-8) AS recall, tn / (tn + fp + 1e-8) AS specificity FROM c)
+SELECT n, n_positive, round(n_positive * 100.0 / n, 9) AS pct_positive, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(specificity, 9) AS specificity, round(2 * precision * recall / (precision + recall + 1e-8), 9) AS f1 FROM m""")
+def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(assemble.prediction_summary(scores(spark, sf_dir)))
+
+
+@register("reliability", f"""WITH {SCORES_SQL}, e AS (SELECT list_distinct(quantile_cont(p_text, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1.0])) AS e FROM scores)
+SELECT greatest(len(list_filter(e, lambda x: x < p_text)) - 1, 0)::int AS bin, count(*) AS n, round(avg(p_text), 9) AS mean_p, round(avg(label), 9) AS rate FROM scores, e GROUP BY 1""")
+def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.reliability(_p(spark, sf_dir)))
+
+
+@register("category_folds", f"""WITH {POSTS_SQL}, c AS (SELECT subreddit, count(*) AS n, coalesce(sum(label), 0)::bigint AS n_positive, least(floor(coalesce(avg(label), 0) * 4), 3) AS stratum FROM posts WHERE subreddit IS NOT NULL GROUP BY 1),
+r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY n DESC, subreddit) - 1) % 6 AS turn FROM c) SELECT subreddit, n, n_positive, CASE WHEN turn < 3 THEN turn ELSE 5 - turn END::int AS fold FROM r""")
+def category_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.category_folds(posts(spark, sf_dir), "subreddit")
+
+
+def _scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with their score and fold by category: (id, subreddit, body, label, hit, p, fold)."""
+    given = posts(spark, sf_dir).where("label is not null")
+    folds_ = splits.category_folds(given, "subreddit").select("subreddit", "fold")
+    p = scores(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("p_text").alias("p"))
+    hit = has_stem(F.concat_ws(" ", "title", "body"), lexicons.SAMPLE_KEYWORD_STEMS)
+    return assemble.join_splits(given.join(folds_, "subreddit"), p).select("id", "subreddit", "body", "label", hit.alias("hit"), "p", "fold")
+
+
+SCORED_SQL = f"""{POSTS_SQL}, {SCORES_SQL}, c AS (SELECT subreddit, count(*) AS n, least(floor(avg(label) * 4), 3) AS stratum FROM posts WHERE label IS NOT NULL AND subreddit IS NOT NULL GROUP BY 1),
+turns AS (SELECT subreddit, n AS size, (row_number() OVER (PARTITION BY stratum ORDER BY n DESC, subreddit) - 1) % 6 AS turn FROM c), top AS (SELECT subreddit AS top FROM c ORDER BY n DESC, subreddit LIMIT 5),
+scored AS (SELECT p.id, subreddit, top, size, body, p.label, regexp_matches(lower(concat_ws(' ', title, body)), '{'|'.join(lexicons.SAMPLE_KEYWORD_STEMS)}') AS hit, p_text AS p, CASE WHEN turn < 3 THEN turn ELSE 5 - turn END::int AS fold FROM posts p JOIN turns USING (subreddit) JOIN scores s ON s.id::varchar = p.id LEFT JOIN top ON top = subreddit WHERE p.label IS NOT NULL)"""
+
+
+def _sliced_sql(rows: str, by: str) -> str:
+    return f"""rows AS ({rows}), k AS (SELECT {by}, count_if(p < .5 AND label = 0) AS tn, count_if(p >= .5 AND label = 0) AS fp, count_if(p < .5 AND label = 1) AS fn, count_if(p >= .5 AND label = 1) AS tp, count(*) AS n FROM rows GROUP BY 1), m AS ({METRIC_SQL} FROM k),
+g AS (SELECT {by}, p, sum(label) AS pos, sum(1 - label) AS neg FROM rows GROUP BY 1, 2), d AS (SELECT {by}, sum(pos) OVER w AS up, sum(neg) OVER w AS down, sum(pos) OVER (PARTITION BY {by}) AS n_pos FROM g WINDOW w AS (PARTITION BY {by} ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT {by}, max(up / nullif(n_pos, 0)) AS recall_at_precision FROM d WHERE up / (up + down) >= 0.9 GROUP BY 1)
+SELECT {by}, n, tn, fp, fn, tp, {', '.join(f'round({m}, 9) AS {m}' for m in METRICS)}, round(recall_at_precision, 9) AS recall_at_precision FROM m LEFT JOIN r USING ({by})"""
+
+
+SLICES_SQL = """SELECT *, unnest(list_filter(['all', 'category:' || top, CASE WHEN size < 12 THEN 'small categories' END, CASE WHEN label = 0 AND hit THEN 'negatives with keyword' END, CASE WHEN label = 1 AND length(coalesce(body, '')) < 20 THEN 'positives with short body' END], lambda x: x IS NOT NULL)) AS slice FROM scored"""
+
+
+@register("test_subsets", f"WITH {SCORED_SQL}, {_sliced_sql(SLICES_SQL, 'slice')}")
+def test_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of overlapping slices of the scored posts, from one count."""
+    return rounded(evaluate.slice_metrics(evaluate.slices(_scored_posts(spark, sf_dir), small=12)))
+
+
+@register("metrics_by_category", f"WITH {SCORED_SQL}, {_sliced_sql('SELECT * FROM scored', 'subreddit')}")
+def metrics_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.slice_metrics(_scored_posts(spark, sf_dir), "subreddit"))
+
+
+@register("cross_category", f"WITH {SCORED_SQL}, {_sliced_sql('SELECT * FROM scored', 'fold')}")
+def cross_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics on each fold of categories that the other folds don't have."""
+    return rounded(evaluate.slice_metrics(_scored_posts(spark, sf_dir), "fold"))
+
+
+@register("fold_metrics", f"""WITH {SCORED_SQL}, k AS (SELECT fold, count_if(p < .5 AND label = 0) AS tn, count_if(p >= .5 AND label = 0) AS fp, count_if(p < .5 AND label = 1) AS fn, count_if(p >= .5 AND label = 1) AS tp FROM scored GROUP BY 1), m AS ({METRIC_SQL} FROM k)
+SELECT 'text' AS model, {', '.join(f'round(avg({m}), 9) AS {m}_mean, round(stddev_pop({m}), 9) AS {m}_std' for m in ('f1_macro', 'f1_pos', 'accuracy'))} FROM m""")
+def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the metrics over the folds of categories."""
+    folds_ = evaluate.with_metrics(evaluate.confusion(_scored_posts(spark, sf_dir), 0.5, ("fold",))).withColumn("model", F.lit("text"))
+    return rounded(evaluate.fold_summary(folds_, ("model",), ["f1_macro", "f1_pos", "accuracy"]))
+
+
 @register("threshold_sweep", f"""WITH {SCORES_SQL}, t AS (SELECT 0.05::double + i * ((0.95::double - 0.05::double) / 90) AS threshold FROM range(91) r(i)),
 c AS (SELECT threshold, count_if(p_text < threshold AND label = 0) AS tn, count_if(p_text >= threshold AND label = 0) AS fp, count_if(p_text < threshold AND label = 1) AS fn, count_if(p_text >= threshold AND label = 1) AS tp FROM t, scores GROUP BY 1),
 m AS ({METRIC_SQL} FROM c) SELECT round(threshold, 9) AS threshold, tn, fp, fn, tp, {', '.join(f'round({m}, 9) AS {m}' for m in METRICS)} FROM m""")
