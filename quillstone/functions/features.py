@@ -91,9 +91,14 @@ def category_table(df: DataFrame, *more: str) -> DataFrame:
     return df.select("id", "subreddit", *more)
 
 
-def neutralise(features: DataFrame, url: Column, hosts: tuple[str, ...] = L.AUTHOR_TITLE_HOSTS) -> DataFrame:
-    """Fixed medians for features that mean something else out of the home domain, or lack a title."""
-    away = F.lower(url).rlike("|".join(h.replace(".", r"\.") for h in hosts))
+def neutralise(features: DataFrame, url: Column, hosts: tuple[str, ...] = L.AUTHOR_TITLE_HOSTS, by_host: bool = False) -> DataFrame:
+    """Fixed medians for features that mean something else out of the home domain, or lack a title.
+
+    Host names are sought anywhere in the url, as the published scores were made: x.com also fits netflix.com and any
+    path with it. ``by_host`` looks at the url's host and its domains alone.
+    """
+    names = "|".join(h.replace(".", r"\.") for h in hosts)
+    away = F.lower(url).rlike(rf"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?(?:{names})(?:[:/?#]|$)" if by_host else names)
     untitled = F.col("title_len_chars") == 0
     out = {c: F.when(untitled, F.lit(L.NEUTRAL[c])).otherwise(F.col(c)) for c in ("title_len_chars", "body_to_title_ratio")}
     out |= {c: F.when(F.coalesce(away, F.lit(False)), F.lit(L.NEUTRAL[c])).otherwise(F.col(c)) for c in ("upvotes_log", "num_comments_log", "comments_per_upvote")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.ranks import joined, running_sums
 from quillstone.operators.relations import quantile_bins
+from quillstone.operators.topk import first_rows
 
 
 #: Fixed value: what the smoothed metrics add to their denominators.
@@ -103,8 +104,7 @@ def fold_summary(metrics: DataFrame, by: tuple[str, ...], columns: list[str]) ->
 def metrics_matrix(df: DataFrame, by: tuple[str, ...], score: str = "p") -> DataFrame:
     """Per group and mode (at 0.50, at the best threshold): n, rate of positives, threshold, metrics and areas."""
     best = threshold_sweep(df, by=by, score=score)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("f1_macro", 12)), "threshold"))
-    best = best.withColumn("_n", rank).where("_n = 1").drop("_n").withColumn("mode", F.lit("best"))
+    best = first_rows(best, [F.col(c) for c in by], [-F.round("f1_macro", 12), "threshold"]).withColumn("mode", F.lit("best"))
     half = with_metrics(confusion(df, 0.5, by, score)).withColumns({"threshold": F.lit(0.5), "mode": F.lit("half")})
     facts = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg("label").alias("pos_rate")).join(areas(df, by, score), list(by))
     return half.unionByName(best).join(facts, list(by))

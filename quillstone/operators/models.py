@@ -9,13 +9,14 @@ from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import simple_words
 from quillstone.operators.assemble import out_of_fold
 from quillstone.operators.evaluate import confusion, with_metrics
 from quillstone.operators.splits import fold_slices
+from quillstone.sources.scratch import materialised
 
 
 def balanced(df: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def _score(model, df: DataFrame, out: str = "p_text") -> DataFrame:
 
 def fold_scores(posts: DataFrame, k: int = 3, **params) -> DataFrame:
     """Out-of-fold text scores: for each fold, fit on the others and score it. ``posts`` has fold and label."""
-    rows = with_words(posts.where("label is not null")).persist()
+    rows = materialised(with_words(posts.where("label is not null")).select("id", "label", "fold", "words"), "words")
     scored = []
     for i in range(k):
         train, held_out = fold_slices(rows, i)
@@ -54,6 +55,39 @@ def full_scores(train: DataFrame, others: DataFrame, **params) -> DataFrame:
     return _score(text_pipeline(**params).fit(balanced(with_words(train.where("label is not null")))), with_words(others))
 
 
+def term_weights(rows: DataFrame, k: int = 3, alpha: float = 1.0) -> DataFrame:
+    """The text model as a table (fold, term, weight): smoothed log-odds of each term among positives and negatives of all
+    other folds; with a null term the fold's log-odds of the classes. ``rows`` has words, label and fold.
+
+    Counts per (fold, term) are made once; those of the other folds are the totals less the fold's own.
+    """
+    each = rows.where("label is not null and fold >= 0").select("fold", "label", F.explode("words").alias("term"))
+    own = each.groupBy("term", "fold").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    folds = rows.sparkSession.range(k).select(F.col("id").cast("tinyint").alias("fold"))
+    totals = own.groupBy("term").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    left = totals.crossJoin(F.broadcast(folds)).join(own, ["term", "fold"], "left")  # k rows a term
+    left = left.select("fold", "term", *((F.col(f"all_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in ("pos", "neg"))).where("pos + neg > 0")
+    sizes = left.groupBy("fold").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("*").alias("v"))
+    odds = lambda c: F.log((F.col(c) + alpha) / (F.col(f"n_{c}") + alpha * F.col("v")))
+    weights = left.join(F.broadcast(sizes), "fold").select("fold", "term", (odds("pos") - odds("neg")).alias("weight"))  # k rows
+    labels = rows.where("label is not null and fold >= 0").crossJoin(F.broadcast(folds.withColumnRenamed("fold", "_f"))).where("fold <> _f")
+    bias = labels.groupBy(F.col("_f").alias("fold")).agg(F.log(F.sum("label") / F.sum(1 - F.col("label"))).alias("weight"))
+    return weights.unionByName(bias.select("fold", F.lit(None).cast("string").alias("term"), "weight"))
+
+
+def weighted_scores(rows: DataFrame, weights: DataFrame, key: str = "id", out: str = "p_text") -> DataFrame:
+    """(key, label, fold, p_text): the mean weight of a row's words by its fold's model, with the classes' log-odds, as a probability.
+
+    A sparse dot product: words are counted in their row, joined to the fold's weights and summed up. A mean, as a
+    sum over a long text would end at 0 or 1.
+    """
+    each = rows.select(key, "fold", F.explode("words").alias("term")).groupBy(key, "fold", "term").agg(F.count("*").alias("tf"))
+    summed = each.join(weights.where("term is not null"), ["fold", "term"]).groupBy(key).agg((F.sum(F.col("tf") * F.col("weight")) / F.sum("tf")).alias("_sum"))
+    bias = weights.where("term is null").select("fold", F.col("weight").alias("_bias"))
+    scored = rows.select(key, "label", "fold").join(F.broadcast(bias), "fold").join(summed, key, "left")  # a row for each fold
+    return scored.select(key, "label", "fold", (1 / (1 + F.exp(-(F.col("_bias") + F.coalesce("_sum", F.lit(0.0)))))).alias(out))
+
+
 def fit_meta(features: DataFrame, columns: list[str], trees: int = 50, depth: int = 5, seed: int = 42):
     """Boosted trees with early stopping on the rows where is_holdout."""
     vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error")
@@ -96,9 +130,10 @@ def meta_scores(model, features: DataFrame, columns: list[str]) -> DataFrame:
     return _score(model, features.withColumns({c: F.col(c).cast("double") for c in columns}), "p_final")
 
 
-def importance(model, columns: list[str]) -> list[tuple[str, float]]:
-    """(feature, share of gain); one entry per feature."""
-    return sorted(zip(columns, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+def importance(spark: SparkSession, model, columns: list[str]) -> DataFrame:
+    """(feature, gain) of a fitted meta-model; one row a feature."""
+    gains = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(columns, gains, strict=True)), "feature string, gain double")
 
 
 def isotonic(scores: DataFrame, others: DataFrame, score: str = "p_final") -> DataFrame:

@@ -146,5 +146,5 @@ def calendar_counts(df: DataFrame, ts: str = "created_utc") -> DataFrame:
 def label_rate_by_year(df: DataFrame, least: int = 100, ts: str = "created_utc") -> DataFrame:
     """Years with enough labelled rows, and the range of their rates."""
     years = df.where(valid_time(F.col(ts)) & F.col("label").isNotNull()).groupBy(F.year(F.timestamp_seconds(ts)).alias("year")).agg(F.count("*").alias("n"), F.avg("label").alias("rate")).where(F.col("n") >= least)
-    every = Window.partitionBy()
-    return years.withColumn("drift", F.max("rate").over(every) - F.min("rate").over(every))
+    rates = years.agg((F.max("rate") - F.min("rate")).alias("drift"))
+    return years.crossJoin(F.broadcast(rates))  # one row

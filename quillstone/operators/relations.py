@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.features import length_bucket
+from quillstone.functions.text import is_removed
+from quillstone.operators.clean import valid_time
 from quillstone.operators.ranks import counted, quantiles, quantiles_of, running_sums
 
 
@@ -14,15 +17,16 @@ def label_rate_by(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
 
 
 def leaky_categories(df: DataFrame, by: str, least: int = 1000, high: float = 0.98, low: float = 0.02, top: int = 50) -> DataFrame:
+    """Categories whose label rate gives the label away, the largest of them, and how many there are."""
     rates = label_rate_by(df, by).where((F.col("n") >= least) & ((F.col("rate") >= high) | (F.col("rate") <= low)))
-    return rates.withColumn("n_leaky", F.count("*").over(Window.partitionBy())).orderBy(F.desc("n"), by).limit(top)
+    return rates.orderBy(F.desc("n"), by).limit(top).crossJoin(F.broadcast(rates.agg(F.count("*").alias("n_leaky"))))  # one row
 
 
 def concentration(df: DataFrame, by: str, least: int = 50, shares: tuple[float, ...] = (0.5, 0.8, 0.95)) -> DataFrame:
-    """The fewest groups that hold each share of the positives. The window runs over groups, not rows."""
+    """The fewest groups that hold each share of the positives, from running sums over ranges of groups."""
     groups = label_rate_by(df, by).where(F.col("n") >= least)
-    order = Window.orderBy(F.desc("n_positive"), by).rowsBetween(Window.unboundedPreceding, 0)
-    run = groups.withColumn("share", F.sum("n_positive").over(order) / F.sum("n_positive").over(Window.partitionBy()))
+    ordered = groups.select(F.struct((-F.col("n_positive")).alias("n"), F.col(by).alias("name")).alias("order"), "n_positive")
+    run = running_sums(ordered, [], "order", ["n_positive"]).withColumn("share", (F.col("n_positive_below") + F.col("n_positive")) / F.col("n_positive_total"))
     return run.agg(*((F.count_if(F.col("share") < s) + 1).alias(f"groups_{round(s * 100)}") for s in shares))
 
 
@@ -76,8 +80,7 @@ def weekday_hour_grid(df: DataFrame, ts: str = "created_utc", least: int = 50) -
     """(weekday, hour, n, rate) of cells with enough rows, and the range over them."""
     at = F.timestamp_seconds(ts)
     cells = df.where("label is not null").groupBy(F.weekday(at).alias("weekday"), F.hour(at).alias("hour")).agg(F.count("*").alias("n"), F.avg("label").alias("rate")).where(F.col("n") >= least)
-    every = Window.partitionBy()
-    return cells.withColumn("range", F.max("rate").over(every) - F.min("rate").over(every))
+    return cells.crossJoin(F.broadcast(cells.agg((F.max("rate") - F.min("rate")).alias("range"))))  # 168 cells at the most, and one row
 
 
 def category_by_year(df: DataFrame, by: str, top: int = 15, least: int = 30, ts: str = "created_utc") -> DataFrame:
@@ -104,10 +107,32 @@ def quantile_bins(df: DataFrame, column: str, q: int = 10, out: str = "bin") ->
 
 
 def mutual_information(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Bits that each categorical column shares with the label, from one contingency count of all columns."""
+    """Bits that each categorical column shares with the label, from one contingency count of all columns.
+
+    n I = sum c log c - sum cx log cx - sum cy log cy + n log n, over cells, values and labels: sums, no windows.
+    """
     cells = _long(df, columns, "string").groupBy("feature", "x", "y").agg(F.count("*").alias("c"))
-    own = Window.partitionBy("feature")
-    p = F.col("c") / F.sum("c").over(own)
-    px = F.sum("c").over(Window.partitionBy("feature", "x")) / F.sum("c").over(own)
-    py = F.sum("c").over(Window.partitionBy("feature", "y")) / F.sum("c").over(own)
-    return cells.select("feature", (p * F.log2(p / (px * py))).alias("bits")).groupBy("feature").agg(F.sum("bits").alias("mutual_information"))
+
+    def sums(*keys: str) -> DataFrame:
+        counts = cells.groupBy("feature", *keys).agg(F.sum("c").alias("c"))
+        return counts.groupBy("feature").agg(F.sum(F.col("c") * F.log2("c")).alias("h_" + "".join(keys)))
+
+    n = cells.groupBy("feature").agg(F.sum("c").alias("n"))
+    for more in (sums("x", "y"), sums("x"), sums("y")):
+        n = n.join(more, "feature")
+    return n.select("feature", F.greatest((F.col("h_xy") - F.col("h_x") - F.col("h_y")) / F.col("n") + F.log2("n"), F.lit(0.0)).alias("mutual_information"))
+
+
+def information_ranking(posts: DataFrame, bins: int = 10) -> DataFrame:
+    """Eight columns of a post by the bits that each shares with the label, the most telling first."""
+    at = F.when(valid_time(F.col("created_utc")), F.timestamp_seconds("created_utc"))
+    body = F.coalesce("body", F.lit(""))
+    rows = posts.select(
+        "label", F.coalesce("subreddit", F.lit("nan")).alias("category"), F.hour(at).alias("hour"), F.weekday(at).alias("weekday"), F.year(at).alias("year"),
+        (~is_removed(body)).alias("has_body"), length_bucket(F.length(body)).alias("body_length_bucket"), "upvotes", "num_comments",
+    )
+    for c in ("upvotes", "num_comments"):
+        rows = quantile_bins(rows, c, bins, f"{c}_bucket")
+    names = ["category", "hour", "weekday", "year", "has_body", "body_length_bucket", "upvotes_bucket", "num_comments_bucket"]
+    # Eight rows: ranked in one task.
+    return mutual_information(rows, names).withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("mutual_information", 9)), "feature")))

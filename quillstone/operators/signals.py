@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import lexicons as L
-from quillstone.functions.text import count_in, has_stem, is_english, simple_words, strip
+from quillstone.functions.text import count_in, has_stem, is_english, simple_words, strip, word_count
+from quillstone.operators.clean import duplicate_report
+from quillstone.operators.profile import label_rate_by_year
+from quillstone.operators.relations import information_ranking, leaky_categories, weekday_hour_grid
 from quillstone.operators.topk import smallest
 
 SIGNALS = ("has_keyword", "exclamations", "questions", "ellipses", "caps_words", "first_person_rate", "negation_rate", "negative_affect_rate")
@@ -86,26 +89,77 @@ def label_mismatches(posts: DataFrame, k: int = 25) -> DataFrame:
     return smallest(found.select("label", "id"), ["label"], [F.md5("id"), F.col("id")], k).select("label", "place", "id")
 
 
-#: (severity, metric, low, high, text): a rule fires where low <= value < high.
+# Fixed values: (chain, severity, metric, from, more than, to, less than, text). A rule fires where its metric is known, at
+# least ``from``, over ``more than``, at most ``to`` and under ``less than``; of a chain's rules the first that fires.
 INSIGHT_RULES = (
-    ("CRITICAL", "english_pct", None, 90.0, "few texts are English: filter before training"), ("WARNING", "english_pct", 90.0, 98.0, "some texts are not English"), ("GOOD", "english_pct", 98.0, None, "almost all texts are English"),
-    ("GOOD", "duplicate_pct", None, 1.0000001, "few duplicates"), ("WARNING", "duplicate_pct", 1.0000001, 5.0, "duplicates: drop them before splitting"), ("CRITICAL", "duplicate_pct", 5.0, None, "many duplicates: drop them before splitting"),
-    ("WARNING", "n_leaky", 1.0, None, "categories that give the label away"),
-    ("CRITICAL", "minority_pct", None, 10.0, "severe class imbalance"), ("WARNING", "minority_pct", 10.0, 30.0, "moderate class imbalance"), ("GOOD", "minority_pct", 30.0, None, "classes are balanced"),
-    ("GOOD", "coverage_256", 95.0, None, "256 tokens cover almost all texts"),
-    ("GOOD", "keyword_lift", 2.0, None, "strong text signal"), ("INFO", "keyword_lift", 1.3, 2.0, "moderate text signal"), ("WARNING", "keyword_lift", None, 1.3, "weak text signal"),
-    ("INFO", "first_person_lift", 1.2, None, "first person is more frequent among positives"), ("WARNING", "label_drift", 0.1000001, None, "the label rate drifts: split by time"),
-    ("INFO", "grid_range", 0.0500001, None, "calendar features carry signal"), ("INFO", "url_only", 5001.0, None, "many posts are only a link"),
-)
+    ("language", "CRITICAL", "english_pct", None, None, None, 90.0, "few texts are English: filter before training"),
+    ("language", "WARNING", "english_pct", None, None, None, 98.0, "some texts are not English"),
+    ("language", "GOOD", "english_pct", 98.0, None, None, None, "almost all texts are English"),
+    ("duplicates", "GOOD", "duplicate_pct", None, None, 1.0, None, "few duplicates"),
+    ("duplicates", "WARNING", "duplicate_pct", None, 1.0, None, 5.0, "duplicates: drop them before splitting"),
+    ("duplicates", "CRITICAL", "duplicate_pct", 5.0, None, None, None, "many duplicates: drop them before splitting"),
+    ("leakage", "WARNING", "n_leaky", None, 0.0, None, None, "categories that give the label away"),
+    ("balance", "CRITICAL", "minority_pct", None, None, None, 10.0, "severe class imbalance"),
+    ("balance", "WARNING", "minority_pct", None, None, None, 30.0, "moderate class imbalance"),
+    ("balance", "GOOD", "minority_pct", 30.0, None, None, None, "classes are balanced"),
+    ("coverage", "GOOD", "coverage_256", 95.0, None, None, None, "256 tokens cover almost all texts"),
+    ("coverage", "INFO", "coverage_384", 95.0, None, None, None, "384 tokens cover almost all texts, 256 do not"),
+    ("coverage", "WARNING", "coverage_512", 95.0, None, None, None, "512 tokens, or head and tail, are needed"),
+    ("coverage", "WARNING", "coverage_256", None, None, None, None, "512 tokens miss many texts: split long ones"),
+    ("keyword", "GOOD", "keyword_lift", 2.0, None, None, None, "strong text signal"),
+    ("keyword", "INFO", "keyword_lift", 1.3, None, None, None, "moderate text signal"),
+    ("keyword", "WARNING", "keyword_lift", None, None, None, 1.3, "weak text signal"),
+    ("first person", "INFO", "first_person_lift", 1.2, None, None, None, "first person is more frequent among positives"),
+    ("drift", "WARNING", "label_drift", None, 0.10, None, None, "the label rate drifts: split by time"),
+    ("information", "INFO", "best_feature_bits", None, None, None, None, "the column that tells most about the label"),
+    ("calendar", "INFO", "grid_range", None, 0.05, None, None, "calendar features carry signal"),
+    ("links", "INFO", "url_only", None, 5000.0, None, None, "many posts are only a link"),
+)
 SEVERITIES = ("CRITICAL", "WARNING", "INFO", "GOOD")
 
 
 def insights(metrics: DataFrame) -> DataFrame:
-    """(severity, metric, value, text) of the rules that fire over (metric, value) rows, the gravest first.
+    """(severity, chain, metric, key, value, text) of the rules that fire over rows (metric, key, value), the gravest first.
 
-    The rules are a fixed list of under twenty rows, the side that is broadcast.
+    The rules are a fixed list of some twenty rows, the side that is broadcast.
     """
-    spark = metrics.sparkSession
-    rules = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(SEVERITIES.index(s)).alias("rank"), F.lit(s).alias("severity"), F.lit(m).alias("metric"), F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.lit(t).alias("text")) for s, m, lo, hi, t in INSIGHT_RULES))).alias("r")).select("r.*")
-    fires = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))
-    return metrics.join(F.broadcast(rules), "metric").where(fires).orderBy("rank", "metric").select("severity", "metric", "value", "text")
+    metrics = metrics if "key" in metrics.columns else metrics.withColumn("key", F.lit(""))
+    names = ("from_", "over", "upto", "under")
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(SEVERITIES.index(s)).alias("rank"), F.lit(c).alias("chain"), F.lit(s).alias("severity"), F.lit(m).alias("metric"), *(F.lit(v).cast("double").alias(k) for k, v in zip(names, limits, strict=True)), F.lit(t).alias("text")) for i, (c, s, m, *limits, t) in enumerate(INSIGHT_RULES)]
+    rules = metrics.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    v = F.col("value")
+    fires = v.isNotNull() & F.coalesce(v >= F.col("from_"), F.lit(True)) & F.coalesce(v > F.col("over"), F.lit(True)) & F.coalesce(v <= F.col("upto"), F.lit(True)) & F.coalesce(v < F.col("under"), F.lit(True))
+    fired = metrics.join(F.broadcast(rules), "metric").where(fires)
+    first = fired.groupBy("chain").agg(F.min_by(F.struct("rank", "place", "severity", "metric", "key", "value", "text"), "place").alias("f"))
+    return first.select("chain", "f.*").orderBy("rank", "place").select("severity", "chain", "metric", "key", "value", "text")
+
+
+def profile_metrics(posts: DataFrame, leaky: int = 1000, yearly: int = 100, cell: int = 50) -> DataFrame:
+    """(section, metric, key, value): what the insight rules ask of a table of posts.
+
+    Counts over all rows are one aggregate, means by label another; the rest are profiles of their own.
+    """
+    body = F.coalesce("body", F.lit(""))
+    words = word_count(F.coalesce("title", F.lit(""))) + word_count(body)
+    url_only = (F.length(body) > 0) & (F.regexp_count(body, F.lit("[a-zA-Z]{2,}")) <= 2) & (F.regexp_count(body, F.lit(r"(?U)https?://\S+|www\.\S+")) >= 1)
+    n = F.count("*")
+    wide = posts.agg(
+        F.try_divide(F.count_if(is_english(F.col("body"))) * 100.0, F.count("body")).alias("quality.english_pct"), F.count_if(url_only).cast("double").alias("quality.url_only"),
+        F.try_divide(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)) * 100.0, F.count("label")).alias("basic.minority_pct"),
+        *(F.try_divide(F.count_if(words <= size) * 100.0, n).alias(f"text.coverage_{size}") for size in (256, 384, 512)),
+    )
+
+    def long(df: DataFrame, **columns: str) -> DataFrame:
+        """Columns of a table of one row as metrics; names as metric=section.column."""
+        return df.select(F.inline(F.array(*(F.struct(F.lit(c.split(".")[0]).alias("section"), F.lit(m).alias("metric"), F.lit("").alias("key"), F.col(f"`{m if m in df.columns else c}`").cast("double").alias("value")) for m, c in columns.items()))))
+
+    out = long(wide, **{c.split(".")[1]: c for c in wide.columns})
+    lifts = signal_lift(signals(posts)).agg(*(F.max(F.when(F.col("signal") == s, F.col("lift"))).alias(k) for s, k in (("has_keyword", "keyword_lift"), ("first_person_rate", "first_person_lift"))))
+    out = out.unionByName(long(lifts, keyword_lift="text_signals.keyword_lift", first_person_lift="text_signals.first_person_lift"))
+    out = out.unionByName(long(duplicate_report(posts).select(F.col("extra_pct").alias("duplicate_pct")), duplicate_pct="quality.duplicate_pct"))
+    leaks = leaky_categories(posts, "subreddit", leaky).agg(F.coalesce(F.max("n_leaky"), F.lit(0)).alias("n_leaky"))
+    out = out.unionByName(long(leaks, n_leaky="relations.n_leaky"))
+    out = out.unionByName(long(label_rate_by_year(posts, yearly).agg(F.max("drift").alias("label_drift")), label_drift="temporal.label_drift"))
+    out = out.unionByName(long(weekday_hour_grid(posts, least=cell).agg(F.max("range").alias("grid_range")), grid_range="interactions.grid_range"))
+    best = information_ranking(posts).where("place = 1").select(F.lit("interactions").alias("section"), F.lit("best_feature_bits").alias("metric"), F.col("feature").alias("key"), F.col("mutual_information").alias("value"))
+    return out.unionByName(best)

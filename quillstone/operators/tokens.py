@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from quillstone.sources.scratch import materialised
 
 
 def _slice(a: Column, start: Column | int, n: Column) -> Column:
@@ -54,12 +62,58 @@ def vocabulary(df: DataFrame, words: str, top: int = 32000, min_frequency: int =
     return numbered.unionByName(names.select("term", F.lit(0).cast("long").alias("n"), "term_id"))
 
 
-def to_ids(df: DataFrame, key: str, words: str, vocab: DataFrame, unknown: int = 1) -> DataFrame:
-    """key and ids in order. The vocabulary is broadcast: its size is bounded where it is made."""
-    rows = df.select(key, F.posexplode_outer(words).alias("pos", "term"))
-    known = rows.join(F.broadcast(vocab.select("term", "term_id")), "term", "left")
-    one = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("term_id", F.lit(unknown)).alias("id")))
-    return known.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("x")).select(key, F.col("x.id").alias("ids"))
+#: Bytes of a vocabulary that is handed to every worker.
+MOST_BROADCAST = 64 << 20
+
+
+def to_ids(df: DataFrame, key: str, words: str, vocab: DataFrame, unknown: int = 1, most: int = MOST_BROADCAST) -> DataFrame:
+    """key and ids of each row."""
+    return with_ids(df.select(key, words), words, vocab, unknown, "ids", most).select(key, "ids")
+
+
+def with_ids(df: DataFrame, words: str, vocab: DataFrame, unknown: int = 1, out: str = "ids", most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` with the ids of its array ``words``, in order; unknown and null words get ``unknown``, a null array stays null.
+
+    Each row is looked up by itself, so that repeated and null keys stay apart. A vocabulary of up to ``most`` bytes goes to the
+    workers, which look up a batch's words at once; a larger one is joined to the rows' distinct words.
+    """
+    terms = vocab.select("term", F.col("term_id").cast("int").alias("term_id"))
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
+    return _looked_up(df, words, terms, unknown, out) if size <= most else _joined_ids(df, words, terms, unknown, out)
+
+
+def _looked_up(df: DataFrame, words: str, terms: DataFrame, unknown: int, out: str) -> DataFrame:
+    known = terms.toArrow()
+    of = df.sparkSession.sparkContext.broadcast((known.column("term").combine_chunks(), known.column("term_id").combine_chunks()))
+    schema = StructType([*(f for f in df.schema.fields if f.name != out), StructField(out, ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = of.value
+        for batch in batches:
+            lists = batch.column(words)
+            flat = lists.flatten()
+            found = pc.fill_null(pc.take(ids, pc.index_in(flat, value_set=names.cast(flat.type), skip_nulls=True)), unknown)
+            stops = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            made = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), found, mask=pc.is_null(lists))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), made], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _joined_ids(df: DataFrame, words: str, terms: DataFrame, unknown: int, out: str) -> DataFrame:
+    """Rows are numbered in a written table, and the ids of a row's distinct words come back to it as a map."""
+    rows = materialised(df.drop(out).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    each = rows.select("_row", F.explode(F.array_distinct(words)).alias("term")).join(terms, "term")
+    known = each.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "term_id"))).alias("_of"))
+    ids = F.transform(words, lambda w: F.coalesce(F.when(w.isNotNull(), F.element_at(F.coalesce("_of", F.create_map().cast("map<string,int>")), w)), F.lit(unknown)))
+    return rows.join(known, "_row", "left").withColumn(out, ids).drop("_row", "_of")
+
+
+def encoded_pairs(df: DataFrame, vocab: DataFrame, title: str, body: str, length: int = 512, pad: int = 0, separator: int = 3) -> DataFrame:
+    """``df`` with input_ids, attention_mask and segment_ids of title words, a separator (both segment 0) and body words (segment 1)."""
+    found = with_ids(with_ids(df, title, vocab, out="_title"), body, vocab, out="_body")
+    ids = F.concat(F.coalesce("_title", F.array().cast("array<int>")), F.array(F.lit(separator)), F.coalesce("_body", F.array().cast("array<int>")))
+    return found.withColumns(fixed_length(ids, F.coalesce(F.size(F.coalesce("_title", F.array().cast("array<int>"))), F.lit(0)) + 1, length, pad)).drop("_title", "_body")
 
 
 def coverage(df: DataFrame, length: str, limits: tuple[int, ...] = (128, 256, 384, 512)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from quillstone.functions.features import category_table, length_bucket, meta_features, with_rates, word_feature
 from quillstone.functions import lexicons
 from quillstone.functions.text import clean_text, has_stem, simple_words, word_count
-from quillstone.operators import assemble, clean, evaluate, extract, profile, relations, signals, splits, tokens
+from quillstone.operators import assemble, calibrate, clean, evaluate, extract, profile, relations, signals, splits, tokens
+from quillstone.sources.files import read_table, write_metrics
 from quillstone.sources.posts import POSTS_SQL, SCORES_SQL, posts, scores, table
-from quillstone.streaming.score import linear_score, score
+from quillstone.sources.scratch import materialised, scratch_dir
+from quillstone.streaming.score import distinct_stream, linear_score, score
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -710,10 +713,24 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", extract.tag_text(F.col("html"), "title").alias("title"), F.md5(extract.tag_text(F.col("html"), "article")).alias("article"), extract.host(F.col("url")).alias("host"))
 
 
-@register("score_posts")
+@register("scraped_pages", r"""SELECT page_id, md5(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '')) AS title,
+ regexp_matches(html, '(?i)property=["'']og:description["''][^>]+content=["''][^"'']+') AS has_content FROM pages""")
+def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.scraped_posts(table(spark, sf_dir, "pages"), entities=False)
+    return found.select("page_id", F.md5("title").alias("title"), "has_content")
+
+
+WEIGHTS, BIAS = {"first_person_rate": 4.0, "negative_word_rate": 6.0, "has_mh_keyword": 1.0, "body_length_bucket": 0.1}, -1.0
+
+
+@register("score_posts", f"""WITH {POSTS_SQL}, clean AS (SELECT id, {sql_clean('title')} AS title, {sql_clean('body')} AS body FROM posts),
+t AS (SELECT id, body, {sql_strip("title || ' ' || body")} AS t FROM clean WHERE title <> '' OR body <> ''), w AS (SELECT *, {WORDS_SQL.format('t')} AS w FROM t),
+z AS (SELECT id, {BIAS} + ({_lex_sql('FIRST_PERSON')} / greatest(len(w), 1))::float::double * 4.0 + ({_lex_sql('NEGATIVE_AFFECT')} / greatest(len(w), 1))::float::double * 6.0 + {_stem_sql('t')}::int * 1.0 + {BUCKET_SQL.format('length(body)')} * 0.1 AS z FROM w)
+SELECT id, round(1 / (1 + exp(-z)), 9) AS p_final, (1 / (1 + exp(-z)) >= 0.5)::int AS predicted FROM z""")
 def score_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = {"first_person_rate": 4.0, "negative_word_rate": 6.0, "has_mh_keyword": 1.0, "body_length_bucket": 0.1}
-    return score(posts(spark, sf_dir).withColumn("url", F.lit(None).cast("string")).withColumn("upvotes", F.greatest("upvotes", F.lit(0))).withColumn("num_comments", F.greatest("num_comments", F.lit(0))), linear_score(weights, -1.0))
+    """All posts as requests: validated, cleaned, featured and scored by a linear model."""
+    requests = posts(spark, sf_dir).withColumn("url", F.lit(None).cast("string"))
+    return rounded(score(requests.withColumns({c: F.greatest(c, F.lit(0)) for c in ("upvotes", "num_comments")}), linear_score(WEIGHTS, BIAS)))
 
 
 @register("text_scores")
@@ -722,3 +739,129 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.operators.models import fold_scores
 
     return fold_scores(splits.stratified_folds(posts(spark, sf_dir).where("label is not null")), 3)
+
+
+@register("term_scores", f"""WITH {POSTS_SQL}, folded AS (SELECT id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('2024:' || id), id) - 1) % 3 AS fold, {WORDS_SQL.format("concat_ws(' ', title, body)")} AS w FROM posts WHERE label IS NOT NULL),
+each AS (SELECT id, label, fold, unnest(w) AS term FROM folded), own AS (SELECT term, fold, count_if(label = 1) AS pos, count_if(label = 0) AS neg FROM each GROUP BY 1, 2),
+c AS (SELECT f.fold, term, sum(pos) AS pos, sum(neg) AS neg FROM range(3) f(fold) JOIN own ON own.fold <> f.fold GROUP BY 1, 2), s AS (SELECT fold, sum(pos) AS n_pos, sum(neg) AS n_neg, count(*) AS v FROM c GROUP BY 1),
+weights AS (SELECT fold, term, ln((pos + 1) / (n_pos + v)) - ln((neg + 1) / (n_neg + v)) AS weight FROM c JOIN s USING (fold)),
+bias AS (SELECT f.fold, ln(sum(label) / sum(1 - label)) AS bias FROM range(3) f(fold) JOIN folded ON folded.fold <> f.fold GROUP BY 1),
+tf AS (SELECT id, fold, term, count(*) AS tf FROM each GROUP BY 1, 2, 3), d AS (SELECT id, sum(tf * weight) / sum(tf) AS z FROM tf JOIN weights USING (fold, term) GROUP BY 1)
+SELECT id, label, fold::tinyint AS fold, round(1 / (1 + exp(-(bias + coalesce(z, 0)))), 9) AS p_text FROM folded JOIN bias USING (fold) LEFT JOIN d USING (id)""")
+def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of the text model that is a table of term weights."""
+    from quillstone.operators.models import term_weights, weighted_scores, with_words
+
+    rows = with_words(splits.stratified_folds(posts(spark, sf_dir).where("label is not null"))).select("id", "label", "fold", "words")
+    rows = materialised(rows, "words")
+    return rounded(weighted_scores(rows, term_weights(rows)))
+
+
+def _pav_sql(rows: str) -> str:
+    """(p, n, y) of distinct scores: the largest over all starts of the smallest mean that reaches over the score."""
+    return f"""g AS (SELECT p, count(*) AS n, sum(label) AS pos FROM ({rows}) GROUP BY 1), k AS (SELECT p, n, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM g WINDOW w AS (ORDER BY p ROWS UNBOUNDED PRECEDING)),
+starts AS (SELECT i AS a, cn - n AS bn, cp - (SELECT pos FROM g WHERE g.p = k.p) AS bp FROM k), spans AS (SELECT a, k.i AS b, (cp - bp) / (cn - bn) AS mean FROM starts JOIN k ON k.i >= a),
+floors AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS least FROM spans), curve AS (SELECT p, n, (SELECT max(least) FROM floors WHERE b = i AND a <= i) AS y FROM k)"""
+
+
+@register("isotonic_calibration", f"WITH {SCORES_SQL}, {_pav_sql('SELECT p_text AS p, label FROM scores')} SELECT round(p, 9) AS p, n, round(y, 9) AS calibrated FROM curve")
+def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated value of every distinct score, fitted on all of them."""
+    df = _p(spark, sf_dir)
+    blocks = calibrate.isotonic_blocks(df)
+    return rounded(df.groupBy("p").agg(F.count("*").alias("n")).withColumn("calibrated", calibrate.calibrated(blocks, F.col("p"))))
+
+
+@register("calibration_gain", f"""WITH {SCORES_SQL}, held AS (SELECT label, p_text AS p, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id), id) - 1 < floor(count(*) OVER (PARTITION BY label) * 0.4 + 0.5) AS is_holdout FROM scores), {_pav_sql('SELECT * FROM held WHERE is_holdout')},
+rest AS (SELECT label, h.p, lo.p AS lo, lo.y AS lo_y, hi.p AS hi, hi.y AS hi_y FROM (SELECT * FROM held WHERE NOT is_holdout) h ASOF LEFT JOIN curve lo ON h.p >= lo.p ASOF LEFT JOIN curve hi ON h.p <= hi.p),
+turned AS (SELECT 'before' AS score, label, p FROM rest UNION ALL SELECT 'after', label, CASE WHEN lo IS NULL THEN hi_y WHEN hi IS NULL OR hi = lo THEN lo_y ELSE lo_y + (hi_y - lo_y) * (p - lo) / (hi - lo) END FROM rest),
+b AS (SELECT score, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS p, avg(label) AS y FROM turned GROUP BY 1, 2), e AS (SELECT score, sum(n * abs(p - y)) / sum(n) AS ece FROM b GROUP BY 1)
+SELECT score, round(avg(CASE WHEN label = 1 THEN -ln(q) ELSE -ln(1 - q) END), 6) AS log_loss, round(avg((p - label) * (p - label)), 6) AS brier, round(avg(p), 6) AS mean_p, round(any_value(ece), 6) AS ece FROM (SELECT *, least(greatest(p, 1e-15), 1 - 1e-15) AS q FROM turned) JOIN e USING (score) GROUP BY 1""")
+def calibration_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration error and log loss before and after a fit on a disjoint holdout."""
+    return rounded(calibrate.calibration_gain(splits.holdout(_p(spark, sf_dir), 0.4)), 6)
+
+
+MI_SQL = f"""info AS (SELECT label AS y, coalesce(subreddit, 'nan') AS category, hour(ts)::varchar AS hour, (isodow(ts) - 1)::varchar AS weekday, year(ts)::varchar AS year, (NOT removed)::varchar AS has_body, {BUCKET_SQL.format("length(coalesce(body, ''))")}::varchar AS body_length_bucket,
+  CASE WHEN upvotes IS NOT NULL THEN greatest(len(list_filter(up, lambda x: x < upvotes)) - 1, 0)::varchar END AS upvotes_bucket, CASE WHEN num_comments IS NOT NULL THEN greatest(len(list_filter(com, lambda x: x < num_comments)) - 1, 0)::varchar END AS num_comments_bucket
+  FROM (SELECT *, to_timestamp(created_utc) AT TIME ZONE 'UTC' AS ts, {sql_removed('body')} AS removed FROM posts), (SELECT list_distinct(quantile_cont(upvotes::double, [{', '.join(f'{i / 10}' for i in range(11))}])) AS up, list_distinct(quantile_cont(num_comments::double, [{', '.join(f'{i / 10}' for i in range(11))}])) AS com FROM posts)),
+mi_long AS (UNPIVOT (SELECT * FROM info WHERE y IS NOT NULL) ON category, hour, weekday, year, has_body, body_length_bucket, upvotes_bucket, num_comments_bucket INTO NAME feature VALUE x), mi_c AS (SELECT feature, x, y, count(*) AS c FROM mi_long GROUP BY 1, 2, 3),
+mi_p AS (SELECT feature, c / sum(c) OVER (PARTITION BY feature) AS p, sum(c) OVER (PARTITION BY feature, x) / sum(c) OVER (PARTITION BY feature) AS px, sum(c) OVER (PARTITION BY feature, y) / sum(c) OVER (PARTITION BY feature) AS py FROM mi_c),
+mi AS (SELECT feature, round(sum(p * log2(p / (px * py))), 9) AS mutual_information FROM mi_p GROUP BY 1)"""
+
+
+@register("information_ranking", f"WITH {POSTS_SQL}, {MI_SQL} SELECT feature, mutual_information, row_number() OVER (ORDER BY mutual_information DESC, feature)::int AS place FROM mi")
+def information_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(relations.information_ranking(posts(spark, sf_dir)))
+
+
+def _metrics_sql() -> str:
+    """The profile as (metric, key, value), and the rules as values."""
+    pair = f"{_words_sql(chr(39) * 2 + ' || coalesce(title, ' + chr(39) * 2 + ')')} + {_words_sql(chr(39) * 2 + ' || coalesce(body, ' + chr(39) * 2 + ')')}"
+    common = ", ".join(repr(x) for x in lexicons.COMMON_ENGLISH)
+    english = f"""CASE WHEN length(body) < 10 THEN true WHEN length(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g')) / length(body) < 0.85 THEN false WHEN len(b50) = 0 THEN true ELSE len(list_filter(b50, lambda x: x IN ({common}))) / len(b50) >= 0.05 END"""
+    lift = lambda s: f"(SELECT (avg({s}) FILTER (label = 1)) / nullif(avg({s}) FILTER (label = 0), 0) FROM sig)"
+    rules = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in (i, signals.SEVERITIES.index(r[1]), *r)) + ")" for i, r in enumerate(signals.INSIGHT_RULES))
+    return f"""{SIGNAL_SQL}, {MI_SQL}, g AS (SELECT md5({sql_form('body')}) AS hash, count(*) AS n FROM posts WHERE length(body) >= 40 GROUP BY 1 HAVING count(*) > 1),
+lang AS (SELECT *, {WORDS_SQL.format('body')}[1:50] AS b50 FROM posts), yr AS (SELECT avg(label) AS r FROM posts WHERE label IS NOT NULL GROUP BY year(to_timestamp(created_utc) AT TIME ZONE 'UTC') HAVING count(*) >= 10),
+cell AS (SELECT avg(label) AS r FROM posts WHERE label IS NOT NULL GROUP BY isodow(to_timestamp(created_utc) AT TIME ZONE 'UTC'), hour(to_timestamp(created_utc) AT TIME ZONE 'UTC') HAVING count(*) >= 2),
+leaks AS (SELECT avg(label) AS r FROM posts WHERE label IS NOT NULL GROUP BY subreddit HAVING count(*) >= 5 AND (r >= 0.98 OR r <= 0.02)),
+m(metric, key, value) AS (
+ SELECT 'english_pct', '', count_if({english}) * 100.0::double / count(body) FROM lang UNION ALL
+ SELECT 'url_only', '', count_if(coalesce(body, '') <> '' AND len(regexp_extract_all(body, '[a-zA-Z]{{2,}}')) <= 2 AND regexp_matches(body, 'https?://\\S+|www\\.\\S+')) FROM posts UNION ALL
+ SELECT 'minority_pct', '', least(count_if(label = 1), count_if(label = 0)) * 100.0::double / count(label) FROM posts UNION ALL
+ {' UNION ALL '.join(f"SELECT 'coverage_{n}', '', count_if({pair} <= {n}) * 100.0::double / count(*) FROM posts" for n in (256, 384, 512))} UNION ALL
+ SELECT 'keyword_lift', '', {lift('has_keyword')} UNION ALL SELECT 'first_person_lift', '', {lift('first_person_rate')} UNION ALL
+ SELECT 'duplicate_pct', '', (SELECT coalesce(sum(n - 1), 0) FROM g) * 100.0::double / count(*) FROM posts UNION ALL SELECT 'n_leaky', '', count(*) FROM leaks UNION ALL
+ SELECT 'label_drift', '', max(r) - min(r) FROM yr UNION ALL SELECT 'grid_range', '', max(r) - min(r) FROM cell UNION ALL
+ (SELECT 'best_feature_bits', feature, mutual_information FROM mi ORDER BY mutual_information DESC, feature LIMIT 1)),
+rules(place, rank, chain, severity, metric, from_, over_, upto, under, text) AS (VALUES {rules})"""
+
+
+@register("profile_metrics", f"WITH {_metrics_sql()} SELECT metric, key, round(value, 6) AS value FROM m")
+def profile_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(signals.profile_metrics(posts(spark, sf_dir), 5, 10, 2), 6).select("metric", "key", "value")
+
+
+@register("insights", f"""WITH {_metrics_sql()} SELECT severity, chain, m.metric, key, round(value, 6) AS value, text FROM m JOIN rules USING (metric) WHERE value IS NOT NULL AND coalesce(value >= from_, true) AND coalesce(value > over_, true) AND coalesce(value <= upto, true) AND coalesce(value < under, true)
+QUALIFY row_number() OVER (PARTITION BY chain ORDER BY place) = 1 ORDER BY rank, place""")
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the profile of the posts says, from a metrics store that the rules read."""
+    store = f"{scratch_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    write_metrics(signals.profile_metrics(posts(spark, sf_dir), 5, 10, 2), store)
+    return rounded(signals.insights(read_table(spark, store)), 6)
+
+
+@register("encoded_pairs", f"""WITH {POSTS_SQL}, t AS (SELECT unnest({WORDS_SQL.format('text')}) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 2), v AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) + 3 AS term_id FROM c ORDER BY n DESC, term LIMIT 4996),
+names AS (SELECT map(list(term), list(term_id)) AS ids FROM v), w AS (SELECT id, list_transform({WORDS_SQL.format("coalesce(title, '')")}, lambda x: coalesce(ids[x], 1)) AS a, list_transform({WORDS_SQL.format("coalesce(body, '')")}, lambda x: coalesce(ids[x], 1)) AS b FROM posts, names),
+s AS (SELECT id, list_concat(list_concat(a, [3]), b)[1:128] AS x, least(len(a) + 1, 128) AS n_a FROM w)
+SELECT id, md5(array_to_string(list_concat(x, list_transform(range(128 - len(x)), lambda i: 0)), ' ')) AS input_ids, len(x)::int AS n_ids, n_a::int AS n_title, len(list_filter(x, lambda i: i = 1))::int AS n_unknown FROM s""")
+def encoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and body words as ids of one length; digests and counts of ids, mask and segments."""
+    vocab = tokens.vocabulary(table(spark, sf_dir, "documents").select(simple_words(F.col("text")).alias("w")), "w", 5000)
+    rows = posts(spark, sf_dir).select("id", *(simple_words(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "body")))
+    found = tokens.encoded_pairs(rows, vocab, "title", "body", 128)
+    total = lambda c, keep: F.size(F.filter(c, keep))
+    n = total("attention_mask", lambda m: m == 1)
+    n_title = n - total("segment_ids", lambda x: x == 1)
+    return found.select("id", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), " ")).alias("input_ids"), n.alias("n_ids"), n_title.alias("n_title"), total("input_ids", lambda i: i == 1).alias("n_unknown"))
+
+
+@register("event_stream", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream, repeats of an id dropped within a watermark, written by a checkpointed sink and read back.
+
+    The stream's path is a pattern, as a table may be one file, which a stream does not take as its folder.
+    """
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = f"{scratch_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    distinct_stream(events, ["event_id"], "ts", "10000 days", f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")), 4)
+
+
+@register("importance_share", "SELECT event_type AS feature, sum(value) AS gain, round(sum(value) / sum(sum(value)) OVER (), 9) AS share FROM events GROUP BY 1".replace("sum(value) AS gain", "round(sum(value), 4) AS gain"))
+def importance_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event type's share of all value."""
+    gains = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("feature")).agg(F.sum("value").alias("gain"))
+    return evaluate.normalised_importance(gains).select("feature", F.round("gain", 4).alias("gain"), F.round("share", 9).alias("share"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -91,10 +94,34 @@ def union_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
-def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path`` (named after its parameters); made and written first if it is missing."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.parquet(path)
-        return spark.read.parquet(path)
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A hash of the names, sizes and times of all files at ``paths``."""
+    found = []
+    for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+        found.append(files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", F.unix_micros("modificationTime")))).first())
+    return hashlib.sha256(repr([tuple(x) for x in found]).encode()).hexdigest()
+
+
+def content_hash_of(spark: SparkSession, path: str) -> str:
+    """A hash of the bytes of the file at ``path`` (a tokenizer's), read where it lies."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).orderBy("path").agg(F.sha2(F.concat_ws(",", F.collect_list("h")), 256)).first()[0]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached(spark: SparkSession, folder: str, make: Callable[[], DataFrame], **of: object) -> DataFrame:
+    """The table that ``make`` makes, kept in ``folder`` under a key made of all that it depends on (``of``: hashes of inputs and
+    of the tokenizer's file, parameters).
+
+    A table counts as kept when its writer has committed it: the marker that the write leaves at its end. Without
+    the marker (a crash between write and commit) it is made again; any other error is the caller's.
+    """
+    key = hashlib.sha256(json.dumps(of, sort_keys=True, default=str).encode()).hexdigest()[:32]
+    path = f"{folder.rstrip('/')}/{key}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", True).parquet(path)
+    return spark.read.parquet(path)

@@ -59,3 +59,11 @@ def dedup_stream(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     keyed = requests.withColumn("content", content_hash(F.concat(dedup_form(F.col("title")), F.lit(" || "), dedup_form(F.col("body"))), 16))
     return keyed.withColumn("at", F.timestamp_seconds("created_utc")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["content"])
+
+
+def distinct_stream(events: DataFrame, keys: list[str], at: str, delay: str, out: str, checkpoint: str):
+    """Start writing the first event of each key (repeats within ``delay`` of event time) to Parquet; ends when what is there now is
+    written. The checkpoint remembers the input that was read and the keys seen: started again, it writes only what is new.
+    """
+    once = events.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    return once.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)

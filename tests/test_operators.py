@@ -161,12 +161,17 @@ def test_signals(spark):
 
 
 def test_extraction(spark):
-    page = """<meta property="og:title" content="A &amp; B"><meta content='Body text' property='og:description'>"reaction_count":{"count":12} <span data-comments-count="7" data-timestamp="1600000000000">"""
+    page = """<meta property="og:title" content="A &amp; B"><meta content='Body text' property='og:description'>"reaction_count":{"count":12} "comment_rendering_instance":{"comments":{"total_count":5}} "creation_time":1500000000
+<div class="score unvoted" id=s title="31"> <span data-comments-count="7" data-timestamp="1600000000000">"""
+    filled = """<meta property="og:description" content="x">"""
     bare = "<title> Plain\n title </title><article><p>One</p> two</article>"
-    df = spark.createDataFrame([("https://old.forum.org/x", page), ("https://m.facebook.com/y", page), ("https://z.org", bare), (None, None)], "url string, html string")
-    a, b, c, d = extract.scraped_posts(df).collect()
-    assert (a.title, a.body, a.upvotes, a.num_comments, a.created_utc) == ("A & B", "Body text", 12, 7, 1600000000)
-    assert b.title is None and (c.title, c.body) == ("Plain title", "One two") and d.title is None
+    rows = [("https://old.forum.org/x", page), ("https://m.facebook.com/y", page), ("https://z.org", page), ("https://notforum.org/", page), ("https://z.org", bare), (None, None), (None, filled)]
+    a, b, other, c, d, e, f = extract.scraped_posts(spark.createDataFrame(rows, "url string, html string"), forums=("forum.org",)).collect()
+    assert (a.title, a.body, a.upvotes, a.num_comments, a.created_utc) == ("A & B", "Body text", 31, 7, 1600000000)
+    assert (b.title, b.upvotes, b.num_comments, b.created_utc) == (None, 12, 5, 1500000000)
+    assert [(x.upvotes, x.num_comments, x.created_utc) for x in (other, c)] == [(None, None, None)] * 2
+    assert (d.title, d.body) == ("Plain title", "One two") and e.title is None
+    assert [x.has_content for x in (a, d, e, f)] == [False, False, False, True]
     url = extract.normal_forum_url(F.lit("https://www.forum.com/r/x"), "forum.com", "old.forum.com")
     assert spark.range(1).select(url.alias("u")).first().u == "https://old.forum.com/r/x"
 
@@ -180,10 +185,13 @@ def test_models(spark):
     data = splits.holdout(p.withColumns({"a": F.length("body"), "b": F.col("upvotes") % 7}).na.fill(0), 0.2)
     model = models.fit_meta(data, ["a", "b"], trees=3, depth=2)
     out = models.meta_scores(model, data, ["a", "b"])
-    assert abs(sum(x for _, x in models.importance(model, ["a", "b"])) - 1) < 1e-6
+    gains = evaluate.normalised_importance(models.importance(spark, model, ["a", "b"])).collect()
+    assert {r.feature for r in gains} == {"a", "b"} and abs(sum(r.share for r in gains) - 1) < 1e-6
+    assert models.full_scores(p.where("fold > 0"), p.where("fold = 0"), features=1 << 10, iterations=3).where("p_text between 0 and 1").count() == p.where("fold = 0").count()
     tuned = models.tune_meta(data, ["a", "b"], {"maxDepth": [1, 2], "maxIter": [2]})
     assert len(tuned.avgMetrics) == 2 and all(0 <= m <= 1 for m in tuned.avgMetrics)
-    assert models.isotonic(out, out).where("calibrated between 0 and 1").count() == p.count()
+    fitted, rest = (out.join(data.where(F.col("is_holdout") == x).select("id"), "id") for x in (True, False))
+    assert models.isotonic(fitted, rest).where("calibrated between 0 and 1").count() == rest.count() > 0
 
 
 def test_posts_hold_the_whole_text(spark):
