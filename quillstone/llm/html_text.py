@@ -6,7 +6,7 @@ comments are boilerplate, and so is all that lies outside the article of a page
 density, length and stop-word density: blocks mostly of links are boilerplate, blocks rich in stop words are
 text, short blocks and long ones of unknown vocabulary stay open. The second pass gives these the label of
 the nearest decided blocks of the same container; text wins a tie. Where nothing is text yet, long open blocks are;
-where nothing is decided, an article's blocks are text and others are not.
+where nothing is decided, all are.
 
 Edges: null or empty html gives an empty text; unclosed tags end with their container, an unclosed comment
 with the page; comments, scripts and styles never give text; a ``<`` that begins no tag is text; repeated rows
@@ -42,8 +42,10 @@ NAMES = re.compile(
     r"popup|modal|toolbar|pagination|pager|widget)(?:$|[\s_-])",
     re.I,
 )
-#: Attributes with quoted values, within bounds that keep an unclosed quote from being sought through the page; else up to the next ``>``.
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,400}+)>|([^>]*)>)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What may come next in a tag: its end, or a value in quotes. A quote elsewhere is a character like others.
+STEP = re.compile(r"""=\s*(["'])|>""")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_INSIDE = 70, 200, 0.1, 0.3, 0.2, 0.8
 STOPS = frozenset(STOP_WORDS)
@@ -58,8 +60,8 @@ class Block(NamedTuple):
 def _is_boilerplate(name: str, attributes: str) -> bool:
     if name in BOILERPLATE:
         return True
-    if name in MAIN or name in ("body", "html") or not attributes:
-        return False
+    if name in MAIN or name in HEADINGS or name in ("body", "html") or not attributes:
+        return False  # a heading's class names the part that it heads, or how it looks
     for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if key.lower() == "hidden" or (value in ROLES if key.lower() == "role" else NAMES.search(value)):
@@ -145,6 +147,20 @@ def blocks_of(page: str) -> list[Block]:
             return -1
         return found.end()
 
+    def tag_end(start: int) -> tuple[int, int]:
+        """Where a tag's attributes end and where the tag does; (-1, -1) without an end. A value in quotes may be of any length and hold
+        any character. Where quotes leave no end up to the page's, this tag and all later ones end at the next ``>``."""
+        place = start
+        while "quoted" not in never:
+            step = STEP.search(page, place)
+            if step and not step[1]:
+                return step.start(), step.end()
+            place = after(step[1], step.end()) if step else -1
+            if place < 0:
+                never.add("quoted")
+        stop = after(">", start)
+        return stop - 1 if stop >= 0 else -1, stop
+
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
@@ -178,13 +194,12 @@ def blocks_of(page: str) -> list[Block]:
             at = stop
             continue
         m = None if ">" in never else TAG.match(page, at)
-        if not m:
-            after(">", at)
+        until, stop = tag_end(m.end()) if m else (-1, -1)
+        if stop < 0:
             say("<")
             at += 1
             continue
-        at = m.end()
-        name, attributes = m[2].lower(), m[3] or m[4] or ""
+        name, attributes, at = m[2].lower(), page[m.end() : until], stop
         if name in RAW:
             if not m[1] and not attributes.endswith("/"):
                 stop = after_raw(name, at)
@@ -253,7 +268,7 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     for i, label in enumerate(labels):
         if label is None:
             near = sorted((abs(j - i), not good) for x in (before[i], after[i]) if x for j, good in [x])
-            label = not near[0][1] if near else blocks[i].context == "main"
+            label = not near[0][1] if near else blocks[i].context != "boiler"  # nothing speaks against it
         out.append(label)
     return out
 
