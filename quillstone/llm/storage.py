@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +39,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths of tables staged inside ``noted``, else nobody's.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """The paths of tables that are staged meanwhile are added to ``paths``."""
+    token = _NOTED.set(paths)
+    try:
+        yield
+    finally:
+        _NOTED.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder as Parquet and read it back, so that later scans prune its columns."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    if (paths := _NOTED.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

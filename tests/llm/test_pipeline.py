@@ -38,3 +38,20 @@ def test_stages_return_the_columns_of_documents(spark):
         assert stage(spark, docs, SMALL).schema.names == docs.columns
     assert "ids" in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).columns
     assert quality.quality_stage and bpe.bpe_stage
+
+
+def test_stages_leave_nothing_behind(spark):
+    """Each stage removes what those before it staged, but not what its own input reads."""
+    from pathlib import Path
+
+    from quillstone.llm.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    lazy = corpus_pipeline.STAGES[0][1](spark, docs, SMALL)
+    near = corpus_pipeline.STAGES[1][1](spark, lazy, SMALL)  # not written in between: the votes are still read
+    assert 0 < near.count() <= lazy.count()
+    rows = corpus_pipeline.run(spark, SMALL)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before if not p.name.count("-") == 4}
+    assert rows.count() > 0 and not left & {"votes", "prefixes", "sets", "met", "candidates"}
