@@ -142,12 +142,12 @@ def simple_words(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit("[a-zA-Z']+"), 0)
 
 
-def count_in(words: Column, lexicon: list[str]) -> Column:
+def count_in(words: Column, lexicon: tuple[str, ...]) -> Column:
     listed = F.array(*(F.lit(w) for w in lexicon))
     return F.size(F.filter(words, lambda w: F.array_contains(listed, w)))
 
 
-def has_stem(text: Column, stems: list[str]) -> Column:
+def has_stem(text: Column, stems: tuple[str, ...]) -> Column:
     """Whether any stem is a part of the lower-cased text: one alternation."""
     return F.lower(text).rlike("|".join(stems))
 

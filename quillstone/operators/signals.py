@@ -36,7 +36,7 @@ def signal_lift(signals_: DataFrame) -> DataFrame:
     return out.withColumn("lift", F.col("mean_1") / F.nullif("mean_0", F.lit(0.0)))
 
 
-def term_counts(df: DataFrame, group: str, text: str, bigrams: bool = False, stop_words: list[str] = L.ENGLISH_STOP_WORDS) -> DataFrame:
+def term_counts(df: DataFrame, group: str, text: str, bigrams: bool = False, stop_words: tuple[str, ...] = L.ENGLISH_STOP_WORDS) -> DataFrame:
     """(group, term, n) of words over two characters outside the stop list, or of pairs of neighbours among them."""
     stops = F.array(*(F.lit(w) for w in stop_words))
     words = F.filter(simple_words(F.col(text)), lambda w: ~F.array_contains(stops, w) & (F.length(w) > 2))

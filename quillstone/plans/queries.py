@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.features import category_table, length_bucket, meta_features, with_rates, word_feature
+from quillstone.functions.features import category_table, length_bucket, meta_features, neutralise, with_rates, word_feature
 from quillstone.functions import lexicons
-from quillstone.functions.text import clean_text, has_stem, simple_words, word_count
+from quillstone.functions.text import clean_text, clean_text_simple, has_stem, preview, simple_words, word_count
 from quillstone.operators import assemble, calibrate, clean, evaluate, extract, profile, relations, signals, splits, tokens
 from quillstone.sources.files import read_table, write_metrics
 from quillstone.sources.posts import POSTS_SQL, SCORES_SQL, posts, scores, table
@@ -720,6 +720,104 @@ def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.md5("title").alias("title"), "has_content")
 
 
+@register("page_hosts", r"""SELECT page_id, lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_replace(url, 'https?://(www\.|np\.|new\.)?example\.com', 'https://old.example.com', 'g') AS normal_url,
+ coalesce(regexp_matches(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1)), '(^|\.)(example\.com|example\.net)$'), false) AS author_titled FROM pages""")
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host rules with hosts that the pages have: an address in its normal form, and whether titles are authors there."""
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", extract.host(url).alias("host"), extract.normal_forum_url(url, "example.com", "old.example.com").alias("normal_url"), extract.author_titled(url, ("example.com", "example.net")).alias("author_titled"))
+
+
+@register("older_clean", rf"""SELECT doc_id, md5({sql_strip(r"regexp_replace(regexp_replace(regexp_replace(" + sql_strip("coalesce(text, '')") + r", '\[([^\]]+)\]\([^\)]+\)', '\1', 'g'), 'https?://\S+|www\.\S+', '', 'g'), '[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g')")}) AS text FROM documents""")
+def older_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean_text_simple(F.col("text"))).alias("text"))
+
+
+@register("previews", f"WITH {POSTS_SQL} SELECT id, CASE WHEN length(title) > 45 THEN left(title, 20) || '...' || right(title, 20) ELSE title END AS preview FROM posts")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts(spark, sf_dir).select("id", preview(F.col("title")).alias("preview"))
+
+
+RATE_COLUMNS = ("first_person_rate", "negative_word_rate", "exclamation_rate", "question_rate", "caps_word_rate", "ellipsis_rate", "absolutist_rate", "second_person_rate")
+RATE_COUNTS = ("num_first_person", "num_negative_words", "num_exclamations", "num_questions", "num_caps_words", "num_ellipsis", "num_absolutist", "num_second_person")
+
+
+@register("feature_rates", f"WITH {FEATURES_SQL} SELECT id, {', '.join(f'round(({c} / greatest(num_words, 1))::float::double, 4) + 0 AS {r}' for c, r in zip(RATE_COUNTS, RATE_COLUMNS, strict=True))}, round((num_words / greatest(num_sentences, 1))::float::double, 4) + 0 AS avg_sentence_len FROM feats")
+def feature_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight rates and the mean sentence length of each clean post."""
+    rates = with_rates(meta_features(cleaned(spark, sf_dir)))
+    return rates.select("id", *((F.round(F.col(c).cast("double"), 4) + 0).alias(c) for c in (*RATE_COLUMNS, "avg_sentence_len")))
+
+
+@register("neutral_features", f"""WITH {FEATURES_SQL}, u AS (SELECT *, subreddit_url AS url FROM feats JOIN (SELECT id, 'https://' || subreddit || '/' || CASE WHEN upvotes > 1000 THEN 'x.com' ELSE 'post' END AS subreddit_url FROM clean) USING (id))
+SELECT id, round(CASE WHEN title_len_chars = 0 THEN 38.0 ELSE title_len_chars END::double, 4) AS title_len_chars, round(CASE WHEN title_len_chars = 0 THEN 2.96 ELSE body_to_title_ratio::float END::double, 4) + 0 AS body_to_title_ratio,
+ {', '.join(f"round(CASE WHEN regexp_matches(url, 'facebook.com|instagram.com|twitter.com|x[.]com|threads.net|threads.com|tiktok.com') THEN {v} ELSE {c}::float END::double, 4) + 0 AS {c}" for c, v in (('upvotes_log', 2.08), ('num_comments_log', 1.95), ('comments_per_upvote', 0.64)))} FROM u""")
+def neutral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engagement and title features with medians where the url names another domain, or the title is missing."""
+    clean_ = materialised(cleaned(spark, sf_dir), "clean")
+    url = F.concat(F.lit("https://"), F.col("subreddit"), F.lit("/"), F.when(F.col("upvotes") > 1000, "x.com").otherwise("post"))
+    rows = meta_features(clean_).join(clean_.select("id", url.alias("url")), "id")
+    names = ("title_len_chars", "body_to_title_ratio", "upvotes_log", "num_comments_log", "comments_per_upvote")
+    return neutralise(rows, F.col("url")).select("id", *((F.round(F.col(c).cast("double"), 4) + 0).alias(c) for c in names))
+
+
+@register("cut_by_ratio", f"""WITH w AS (SELECT doc_id, {WORDS_SQL.format("text")} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(array_to_string(CASE WHEN len(w) <= 100 THEN w ELSE list_concat(w[1:67], w[len(w) - 32:]) END, ' ')) AS words FROM w""")
+def cut_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", simple_words(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.md5(F.array_join(tokens.cut_by_ratio(F.col("w"), 100, 0.67), " ")).alias("words"))
+
+
+@register("scatter_sample", f"WITH {POSTS_SQL} SELECT id, label, greatest(coalesce(upvotes, 0), 1) AS upvotes, greatest(coalesce(num_comments, 0), 1) AS num_comments FROM posts ORDER BY md5('42:' || id), id LIMIT 300")
+def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.scatter_sample(posts(spark, sf_dir), 300)
+
+
+@register("label_mismatches", f"""WITH {POSTS_SQL}, f AS (SELECT id, label, regexp_matches(lower(concat_ws(' ', title, body)), '{'|'.join(lexicons.SAMPLE_KEYWORD_STEMS)}') AS hit FROM posts WHERE label IS NOT NULL)
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(id), id) AS place, id FROM f WHERE (label = 1) <> hit QUALIFY place <= 25""")
+def label_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives without a keyword and negatives with one."""
+    return signals.label_mismatches(posts(spark, sf_dir))
+
+
+@register("eval_subsets", f"""{ranked_sql(42, 'label')}, q AS (SELECT *, (SELECT count(*) FROM posts) AS t FROM r) SELECT id, label, CASE WHEN rank < floor(n * 100 / t + 0.5) THEN 1 ELSE 2 END AS subset FROM q WHERE rank < floor(n * 100 / t + 0.5) + floor(n * 60 / t + 0.5)""")
+def eval_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two disjoint subsets of about 100 and 60 rows with the labels' shares."""
+    return splits.eval_subsets(posts(spark, sf_dir).select("id", "label"), 100, 60)
+
+
+@register("holdout", f"{ranked_sql(42)} SELECT id, label, rank < floor(n * 0.05 + 0.5) AS is_holdout FROM r")
+def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.holdout(posts(spark, sf_dir).select("id", "label"), 0.05)
+
+
+@register("fold_slices", f"""{ranked_sql(2024, f"label, ({TIME_SPLIT} = 'train')", f", ({TIME_SPLIT} = 'train') AS t")}, f AS (SELECT label, CASE WHEN t THEN rank % 3 ELSE -1 END AS fold FROM r)
+SELECT part, count(*) AS n, round(avg(label), 9) AS label_rate FROM (SELECT 'train' AS part, label FROM f WHERE fold IN (1, 2) UNION ALL SELECT 'held out', label FROM f WHERE fold = 0) GROUP BY 1""")
+def fold_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is trained on, and what is held out, of the train split's first fold."""
+    rows = posts(spark, sf_dir).select("id", "label", splits.time_split(F.col("created_utc")).alias("time_split"))
+    parts = splits.fold_slices(splits.stratified_folds(rows, 3, 2024, F.col("time_split") == "train"), 0)
+    train, held_out = (df.withColumn("part", F.lit(name)) for df, name in zip(parts, ("train", "held out"), strict=True))
+    return rounded(splits.split_report(train.unionByName(held_out), "part"))
+
+
+@register("out_of_fold", f"WITH {FOLDS_SQL}, o AS (SELECT id, p, 0 AS fold FROM f0 UNION ALL SELECT id, p, 1 FROM f1) SELECT id, round(p, 9) AS p_text, fold, count(*) OVER (PARTITION BY id) AS n_seen FROM o")
+def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(assemble.out_of_fold([_fold(spark, sf_dir, 7919, 0), _fold(spark, sf_dir, 104729, 1)]))
+
+
+@register("repeated_scores", f"WITH {FOLDS_SQL}, o AS (SELECT id, p FROM f0 UNION ALL SELECT id, p FROM f1) SELECT id, round(avg(p), 9) AS mean, round(stddev_pop(p), 9) AS std, round(greatest(0, 1 - 2 * stddev_pop(p)), 9) AS confidence FROM o GROUP BY 1")
+def repeated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = assemble.out_of_fold([_fold(spark, sf_dir, 7919, 0), _fold(spark, sf_dir, 104729, 1)])
+    return rounded(assemble.repeated_scores(runs.select("id", F.col("fold").alias("run"), F.col("p_text").alias("score"))))
+
+
+@register("missing_scores", f"WITH {POSTS_SQL}, {FOLDS_SQL} SELECT {TIME_SPLIT} AS time_split, count(*) AS n_missing FROM posts p LEFT JOIN f0 ON f0.id::varchar = p.id WHERE f0.id IS NULL GROUP BY 1")
+def missing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts by split that a fold's scores leave out."""
+    rows = posts(spark, sf_dir).select("id", splits.time_split(F.col("created_utc")).alias("time_split"))
+    return assemble.attach_scores(rows, _fold(spark, sf_dir, 7919, 0).withColumn("id", F.col("id").cast("string")))[1]
+
+
 WEIGHTS, BIAS = {"first_person_rate": 4.0, "negative_word_rate": 6.0, "has_mh_keyword": 1.0, "body_length_bucket": 0.1}, -1.0
 
 
