@@ -108,11 +108,12 @@ WITH words AS (
   SELECT doc_id, list_filter(string_split(translate(lower(text), chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 items AS (
   SELECT item_id, list_filter(string_split(translate(lower(text), chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM words),
-b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM items),
+sized AS (SELECT item_id, w, least(len(w), 5) AS width FROM items WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i+width-1], ' '))) AS s FROM words, (SELECT DISTINCT width FROM sized)),
+b AS (SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i+width-1], ' '))) AS s FROM sized),
 q AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found
-FROM d JOIN b USING (s) JOIN q USING (item_id) GROUP BY 1, 2, 3 HAVING count(*) >= ceil(n_shingles * 0.8 - 1e-9)
+FROM d JOIN b USING (width, s) JOIN q USING (item_id) GROUP BY 1, 2, 3 HAVING count(*) >= ceil(n_shingles * 0.8 - 1e-9)
 """
 
 

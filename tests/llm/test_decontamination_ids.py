@@ -22,3 +22,18 @@ def test_stage_drops_a_document_without_id(spark, tmp_path):
     docs = [(None, f"so {LONG} again"), (None, "nothing here"), (None, None), (4, f"{LONG}"), (5, "clean")]
     kept = decontamination.decontaminate_stage(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path))
     assert Counter(map(tuple, kept.collect())) == Counter([docs[1], docs[2], docs[4]])
+
+
+def test_sql_has_short_items(spark):
+    """The SQL, held against the operator with items of one to four words as well."""
+    import duckdb
+
+    docs = [(1, "alpha beta gamma delta epsilon zeta eta"), (2, "gamma delta"), (3, "Alpha"), (4, "one alpha two"), (5, None), (6, "beta gamma delta epsilon")]
+    items = [(1, "alpha"), (2, "gamma delta"), (3, "beta gamma delta epsilon"), (4, "alpha beta gamma delta epsilon zeta"), (5, None), (6, " "), (7, "nowhere at all")]
+    with duckdb.connect() as con:
+        for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+            con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+            con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+        want = sorted(con.execute(decontamination.SQL).fetchall())
+    found = decontamination.find_contained(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in found.collect()) == want and len(want) >= 7
