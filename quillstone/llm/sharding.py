@@ -74,18 +74,19 @@ def assign_shards(df: DataFrame, key: str, tree: Sequence[Leaf], buckets: int |
     """Adds ``shard`` and ``slot``: the row's place in its shard, gapless from 0, by hash bucket and key.
 
     A shard may hold more rows than one task should sort, so that slots are counted in two steps:
-    rows by (shard, bucket) from a scan of the key column alone, then ranks inside a bucket.
+    rows by (shard, bucket) from a scan of the key and number columns, then ranks inside a bucket. Buckets are
+    of all these columns, so that the rows of one key (a null id) are sorted in many tasks, but for those equal in all of them.
     """
     buckets = buckets or max(1, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(tree))
     df = df.drop("shard", "slot", "_bucket", "_rank", "_start")
     shard = shard_of(F.col(key), tree)
-    bucket = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int")
+    order = [F.col(key)] + [F.col(c) for c in df.columns if c != key and df.schema[c].dataType.simpleString() in ("bigint", "int")]
+    bucket = F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(buckets)).cast("int")
     placed = df.withColumn("shard", shard).withColumn("_bucket", bucket)
     # At most shards * buckets rows, the bound under which it is broadcast.
-    counts = df.select(key).select(shard.alias("shard"), bucket.alias("_bucket")).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+    counts = df.select(shard.alias("shard"), bucket.alias("_bucket")).groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = [F.col(key)] + [F.col(c) for c in df.columns if c != key and df.schema[c].dataType.simpleString() in ("bigint", "int")]
     rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*order))
     return (
         placed.withColumn("_rank", rank)
