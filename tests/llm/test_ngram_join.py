@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillstone.llm import ngram_join, queries, shingles, simhash, tokens
+from quillstone.llm import ngram_join, queries, shingles, simhash
 from tests.conftest import SMALL
 
 
