@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillstone.llm import tokens
-from quillstone.llm.storage import read, small_batches
+from quillstone.llm.storage import giving_back, read, small_batches
 
 
 class Bpe:
@@ -255,7 +255,7 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) ->
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), ids, texts], [*kept, "ids", "decoded"])
 
     out = StructType([*schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    return df.select(*kept).mapInArrow(run, out)
+    return df.select(*kept).mapInArrow(giving_back(run), out)
 
 
 def _light_parts(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -38,11 +38,11 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, Lo
 
 from quillstone.llm.components import component_keys
 from quillstone.llm.shingles import shingle_sets
-from quillstone.llm.storage import read, small_batches, stage
+from quillstone.llm.storage import give_back, giving_back, read, small_batches, stage
 
 WORDS, THRESHOLD, PAIRWISE, ROUNDS = 5, (8, 10), 32, 20
 #: Text bytes whose shingles one range of the hash gets, on average; ranges of the suffix filter; rows and bytes of a chunk.
-RANGE_BYTES, SUFFIX, CHUNK = 4 << 20, 32, (2000, 8 << 20)
+RANGE_BYTES, SUFFIX, CHUNK = 4 << 20, 32, (1000, 4 << 20)
 #: Copies of a pivot, so that one with very many members is not joined in one task.
 SALTS = 16
 
@@ -110,6 +110,8 @@ def _counted(table: pa.Table) -> pa.Table:
         at += len(h)
         shared = t > 1
         data.append(_packed(h[shared], place[shared], t[shared]) if shared.any() else None)
+    del pieces, which, times
+    give_back()
     back = pa.table({"chunk": table.column("chunk").filter(sent), "data": pa.array(data, pa.binary())}).filter(pa.compute.is_valid(pa.array(data, pa.binary())))
     none = {f.name: pa.nulls(len(back), f.type) for f in rows.schema if f.name not in ("chunk", "data")}
     return pa.concat_tables([rows, pa.table({**{n: back.column(n) for n in ("chunk", "data")}, **none}).select(rows.column_names).cast(rows.schema)])
@@ -160,7 +162,7 @@ def prefixes(docs: DataFrame, key: str, text: str = "text", words: int = WORDS,
         kind = StructType([StructField(f.name, f.dataType) for f in kind.fields])
     source = docs.select(F.col(key).cast(kind).alias("key"), F.col(text).alias("text"))
     run, schema = _chunks(source.schema["key"], words, bits)
-    sent = source.mapInArrow(run, schema).repartition(tasks, "range")
+    sent = source.mapInArrow(giving_back(run), schema).repartition(tasks, "range")
     counted = sent.groupBy("range").applyInArrow(_counted, StructType(schema.fields[1:]))
     made = [*schema.fields[3:5], schema.fields[6], StructField("first", IntegerType()), StructField("n_prefix", IntegerType()), StructField("weight", DoubleType()), StructField("shared", ArrayType(LongType())), StructField("parts", ArrayType(IntegerType()))]
     return stage(counted.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(_prefixed(threshold), StructType(made)), "prefixes")

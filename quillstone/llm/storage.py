@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
-from functools import reduce
+from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,23 @@ def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) ->
     """Bound the rows and the bytes of an Arrow batch, so that a batch of very long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system: workers live on, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, with ``give_back`` at its end."""
+
+    @wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.induced_sort import repeated_places
-from quillstone.llm.storage import cut, read, small_batches, stage
+from quillstone.llm.storage import cut, giving_back, read, small_batches, stage
 
 LENGTH, KMER, PIECE = 200, 32, 1 << 19
 SHARD_BYTES, LEAST_HOT = 32 << 20, 500
@@ -104,7 +104,7 @@ def anchor_table(docs: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
             sizes, *arrays = columns
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *map(_lists, arrays)], ["k1", "k2", "n_bytes", "hashes", "snippets", "starts", "sizes"])
 
-    return docs.select(*text_keys(F.col(text)), text).mapInArrow(run, ANCHORS)
+    return docs.select(*text_keys(F.col(text)), text).mapInArrow(giving_back(run), ANCHORS)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -145,7 +145,7 @@ def sort_shards(snippets: DataFrame, shards: int, length: int = LENGTH) -> DataF
 
     # Copies of a text may each have given a place: one is kept. Rows of a hash are in one partition already.
     single = snippets.repartition(shards, "hash").dropDuplicates(["hash", "k1", "k2", "start"])
-    return single.select("k1", "k2", "start", "bytes").mapInArrow(run, "k1 bigint, k2 bigint, start bigint, stop bigint")
+    return single.select("k1", "k2", "start", "bytes").mapInArrow(giving_back(run), "k1 bigint, k2 bigint, start bigint, stop bigint")
 
 
 def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -166,7 +166,7 @@ def counted_windows(snippets: DataFrame, length: int = LENGTH, salts: int = 16)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), _lists(hashes)], ["k1", "k2", "start", "windows"])
 
     single = snippets.select("k1", "k2", "start", "bytes").dropDuplicates(["k1", "k2", "start"])
-    made = single.mapInArrow(run, "k1 bigint, k2 bigint, start bigint, windows array<bigint>")
+    made = single.mapInArrow(giving_back(run), "k1 bigint, k2 bigint, start bigint, windows array<bigint>")
     rows = made.select("k1", "k2", "start", F.posexplode("windows").alias("i", "w")).select("k1", "k2", (F.col("start") + F.col("i")).alias("start"), "w")
     rows = stage(rows, "windows")
     twice = rows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wh
             yield pa.RecordBatch.from_arrays([*(doc.field(i) for i in range(len(fields))), pa.array(all_spans, pa.list_(span)), pa.array(kept, pa.binary())], [*fields, "spans", "kept"])
 
     out = docs.select(*fields, F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
-    return found.mapInArrow(run, out)
+    return found.mapInArrow(giving_back(run), out)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
