@@ -210,8 +210,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     again = stage(rows.select("hash").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "again")
     most = hot_bound(again, parts)
     hot = hot_keys(again, ["hash"], most)
-    met = salted(rows, hot, ["hash"], ["k1", "k2", "start"]).join(repeated_for(again.select("hash"), hot, ["hash"]), ["hash", "salt"])
-    met = stage(met, "met")
+    met = salted(rows, hot, ["hash"], ["k1", "k2", "start"]).join(repeated_for(again, hot, ["hash"]), ["hash", "salt"])
+    met = stage(met, "met")  # n: the rows of the hash
     # Per snippet of an anchor hash its number and one place; per anchor hash the number of its snippets.
     each = met.groupBy("hash", "snippet").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("one"))
     kinds = met.groupBy("hash").agg((F.min("snippet") < F.max("snippet")).alias("mixed")).where("mixed").select("hash")
@@ -220,8 +220,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     covered = met.join(repeated_for(often, hot, ["hash"]), ["hash", "snippet", "salt"], "left_semi")
     covered = covered.select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop"))
 
-    # Only hot hashes can have very many snippets.
-    crowds = met.join(F.broadcast(hot), "hash", "left_semi").select("hash", "snippet").distinct().groupBy("hash").agg(F.count("*").alias("n"))
+    # Only hot hashes can have very many snippets. They are known by their rows' number, without a join.
+    crowds = met.where(F.col("n") > most).select("hash", "snippet").distinct().groupBy("hash").agg(F.count("*").alias("n"))
     crowded = cut(hot_keys(crowds, ["hash"], most))
     mixed = salted(each.select("hash", "snippet", "one.*"), crowded, ["hash"], ["snippet"]).join(repeated_for(kinds, crowded, ["hash"]), ["hash", "salt"])
     mixed = mixed.join(F.broadcast(crowded), "hash", "left").select("hash", "k1", "k2", "start", "size", F.col("salts").isNotNull().alias("crowded"))

@@ -543,3 +543,15 @@ def test_html_query_keeps_articles(spark):
     for r in queries.QUERIES["op9_html_text"](spark, SMALL).collect():
         want = article_text(pages[r.page_id])
         assert r.text.replace("\n", " ") == want and r.n_chars == len(r.text)
+
+
+def test_suffix_crowds_without_join(spark, monkeypatch):
+    """Snippets of hot hashes are counted from their rows' number: no join passes the rows of a large group again."""
+    plans = []
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.checkpoint())
+    line = "the same long line of text that stands in every one of these documents "
+    texts = [f"{i} " * 90 + line + f"{i * 7} " * 90 for i in range(40)] + ["one text of many copies " * 12] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check_removal(suffix_dedup.remove_repeats(df).collect())
+    assert plans and not any("LeftSemi" in p for p in plans)
