@@ -26,7 +26,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,13 +189,18 @@ def _overlap(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+def similar(a: str, b: str, threshold: tuple[int, int]) -> Column:
+    """The sets <a>_set and <b>_set, of <a>_size and <b>_size, have the similarity."""
+    return _reach(f"{a}_size", f"{b}_size", _overlap(f"{a}_set", f"{b}_set"), threshold)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The ``pairs`` (a, b) whose sets have the similarity. Called once, on distinct pairs; whole sets are joined to those that pass the suffix filter."""
     a, b = (sets.select(F.col("name").alias(x), F.col("size").alias(f"{x}_size"), F.col("parts").alias(f"{x}_parts")) for x in "ab")
     suffix = F.aggregate(F.zip_with("a_parts", "b_parts", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
     left = pairs.join(a, "a").join(b, "b").where(_reach("a_size", "b_size", suffix, threshold)).select("a", "b", "a_size", "b_size")
     a, b = (sets.select(F.col("name").alias(x), F.col("shared").alias(f"{x}_set")) for x in "ab")
-    return left.join(a, "a").join(b, "b").where(_reach("a_size", "b_size", _overlap("a_set", "b_set"), threshold)).select("a", "b")
+    return left.join(a, "a").join(b, "b").where(similar("a", "b", threshold)).select("a", "b")
 
 
 def _differences(crowds: DataFrame, sets: DataFrame, bit: int, threshold: tuple[int, int]) -> DataFrame:
@@ -283,8 +288,11 @@ def crowd_pairs(crowds: DataFrame, sets: DataFrame, threshold: tuple[int, int],
     return links, pairs
 
 
-def similar_links(found: DataFrame, threshold: tuple[int, int] = THRESHOLD, pairwise: int = PAIRWISE) -> DataFrame:
-    """Links (a, b) between names of ``prefixes``: all similar pairs of uncrowded lists, and as many of crowded ones as connect the same sets."""
+def similar_links(found: DataFrame, threshold: tuple[int, int] = THRESHOLD, pairwise: int = PAIRWISE, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (a, b) between names of ``prefixes``: all similar pairs of uncrowded lists, and as many of crowded ones as connect the same sets.
+
+    ``first`` makes links (a < b), verified ones, from the distinct sets; they are not verified again here.
+    """
     num, den = threshold
     sets = stage(found.where("n_prefix > 0").select("name", "size", "first", "n_prefix", "weight", "shared", "parts").dropDuplicates(["name"]), "sets")
     posts = sets.select("name", "size", "weight", "first", F.posexplode(F.slice("shared", F.lit(1), F.col("n_prefix"))).alias("at", "token"))
@@ -309,7 +317,12 @@ def similar_links(found: DataFrame, threshold: tuple[int, int] = THRESHOLD, pair
     candidates = pairs[0]
     for more in pairs[1:]:
         candidates = candidates.unionByName(more)
-    out = verified(stage(candidates.distinct(), "candidates"), sets, threshold)
+    candidates = candidates.distinct()
+    if first is not None:
+        known = first(sets)
+        candidates = candidates.join(known, ["a", "b"], "left_anti")
+        links = [*links, known]
+    out = verified(stage(candidates, "candidates"), sets, threshold)
     for more in links:
         out = out.unionByName(more)
     return out

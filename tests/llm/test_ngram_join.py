@@ -118,3 +118,24 @@ def test_stage_with_repeated_rows(spark):
     texts = [(5, " ".join(near)), (5, " ".join(near)), (7, " ".join(near)), (8, " ".join([*near[:-1], "end"])), (9, "alone it stands here with nobody"), (9, "alone it stands here with nobody"), (None, "no id at all for this one here"), (None, "no id at all for this one here"), (2, None), (3, "")]
     kept = simhash.near_dedup_stage(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), SMALL).collect()
     assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([texts[0], texts[4], texts[6], texts[8]], "doc_id bigint, text string").collect()))
+
+
+def test_near_dedup_by_fingerprints(spark, monkeypatch):
+    """The stage's fingerprints meet in the grid join, are verified on whole sets, and the exact join adds what lies further apart."""
+    seen = []
+    own = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda named, sets: seen.append((named, own(named, sets))) or seen[-1][1])
+    monkeypatch.setattr(simhash, "hot_bound", lambda counts, parts: 3)
+    words = [f"w{i * i % 977}x{i}" for i in range(600)]
+    texts = [" ".join(words)] * 2 + [" ".join([*words[:-k], "end"]) for k in range(1, 12)]  # near copies
+    texts += [" ".join(words[:300] + ["a"] * 3 + words[300:550])] + [" ".join(f"{k}{w}" for w in words) for k in range(5)]  # and others
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in simhash.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL).collect()}
+    comps = brute_components(dict(rows))
+    assert kept == {i for i in comps if comps[i] == i}
+    named, links = seen[0]
+    fps = {bytes(r.name): r.fp for r in named.collect()}
+    found = links.collect()
+    assert {fps[bytes(r.a)] for r in found} and all(r.a < r.b for r in found)
+    brute = {simhash.fingerprint(t, 5) for t in texts}
+    assert set(fps.values()) <= brute and len(found) >= 3
