@@ -110,10 +110,14 @@ def _joined_ids(df: DataFrame, words: str, terms: DataFrame, unknown: int, out:
 
 
 def encoded_pairs(df: DataFrame, vocab: DataFrame, title: str, body: str, length: int = 512, pad: int = 0, separator: int = 3) -> DataFrame:
-    """``df`` with input_ids, attention_mask and segment_ids of title words, a separator (both segment 0) and body words (segment 1)."""
-    found = with_ids(with_ids(df, title, vocab, out="_title"), body, vocab, out="_body")
+    """``df`` with, in place of title and body, input_ids, attention_mask and segment_ids of title words, a separator (both segment 0) and body words (segment 1)."""
+    # The vocabulary is counted once and looked up for title and body; no word beyond ``length`` has a place in the result.
+    vocab = materialised(vocab.select("term", "term_id"), "vocabulary")
+    kept = [c for c in df.columns if c not in (title, body)]
+    words = df.select(*kept, F.slice(title, 1, length).alias(title), F.slice(body, 1, length).alias(body))
+    found = with_ids(with_ids(words, title, vocab, out="_title"), body, vocab, out="_body")
     ids = F.concat(F.coalesce("_title", F.array().cast("array<int>")), F.array(F.lit(separator)), F.coalesce("_body", F.array().cast("array<int>")))
-    return found.withColumns(fixed_length(ids, F.coalesce(F.size(F.coalesce("_title", F.array().cast("array<int>"))), F.lit(0)) + 1, length, pad)).drop("_title", "_body")
+    return found.withColumns(fixed_length(ids, F.coalesce(F.size(F.coalesce("_title", F.array().cast("array<int>"))), F.lit(0)) + 1, length, pad)).drop("_title", "_body", title, body)
 
 
 def coverage(df: DataFrame, length: str, limits: tuple[int, ...] = (128, 256, 384, 512)) -> DataFrame:

@@ -186,3 +186,56 @@ def test_stream_started_again_adds_nothing(spark, tmp_path):
     events = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     distinct_stream(events, ["event_id"], "ts", "1 day", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def _scans(spark, run, name):
+    """How many of the plans that ``run`` executes, or writes, read the table ``name``; by its files' access through materialised and actions."""
+    from quillstone.operators import relations, signals, tokens
+
+    plans = []
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (relations, signals, tokens):
+            own = module.materialised
+            patch.setattr(module, "materialised", lambda df, title, own=own: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, title))
+        out = run()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    return sum(p.count(f"{name}.parquet") for p in plans)
+
+
+@pytest.mark.parametrize(("query", "most"), [("profile_metrics", 1), ("insights", 1), ("information_ranking", 1), ("encoded_pairs", 2)])
+def test_texts_are_read_once(spark, query, most):
+    """The profile reads documents once; encoded pairs once for the vocabulary and once for the ids."""
+    assert _scans(spark, lambda: QUERIES[query](spark, SMALL), "documents") <= most
+
+
+def test_vocabulary_is_counted_once(spark, monkeypatch):
+    """Both look-ups of encoded pairs read a written vocabulary, of arrays no longer than the result's."""
+    seen = []
+    own = tokens._looked_up
+    monkeypatch.setattr(tokens, "_looked_up", lambda df, words, terms, unknown, out: seen.append((df, words, plan(terms))) or own(df, words, terms, unknown, out))
+    QUERIES["encoded_pairs"](spark, SMALL)
+    assert len(seen) == 2 and all("vocabulary-" in p and "documents.parquet" not in p for _, _, p in seen)
+    assert seen[0][0].agg(F.max(F.size("body"))).first()[0] == 128
+
+
+def test_text_counts_as_before(spark):
+    rows = [("",), (None,), (" a b\tc ",), (" ",), ("Depressed",), ("x  y\nz",), ("I am the one; you're not",)]
+    from quillstone.functions.text import has_stem, strip, word_count
+
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", word_count(F.col("t")).alias("n"), strip(F.col("t")).alias("s"), has_stem(F.col("t"), ("depress", r"y.?z", "a b")).alias("h")).collect()
+    for r in got:
+        assert r.n == len((r.t or "").split()) and r.s == (None if r.t is None else r.t.strip())
+        assert r.h == (None if r.t is None else "depress" in r.t.lower() or "a b" in r.t.lower())
+
+
+def test_folds_read_term_frequencies(spark, monkeypatch):
+    """No fold's fit reads words: their frequencies are written once."""
+    from quillstone.operators import models
+
+    seen = []
+    own = models.materialised
+    monkeypatch.setattr(models, "materialised", lambda df, title: seen.append(df.columns) or own(df, title))
+    rows = spark.createDataFrame([(str(i), i % 2, i % 3, f"t{i % 5}", f"word{i % 2} other{i % 7}") for i in range(60)], "id string, label int, fold int, title string, body string")
+    scored = models.fold_scores(rows, 3, features=1 << 8, iterations=3)
+    assert scored.count() == 60 and seen == [["id", "label", "fold", "tf"]]
