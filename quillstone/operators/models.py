@@ -26,11 +26,18 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("label") == 1, F.try_divide(n, 2 * n1)).otherwise(F.try_divide(n, 2 * (n - n1))))
 
 
-def text_pipeline(features: int = 1 << 16, regularisation: float = 0.01, iterations: int = 20) -> Pipeline:
-    return Pipeline(stages=[
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2),
-        LogisticRegression(featuresCol="tfidf", labelCol="label", weightCol="weight", regParam=regularisation, maxIter=iterations),
-    ])
+def term_frequencies(features: int = 1 << 16) -> HashingTF:
+    return HashingTF(inputCol="words", outputCol="tf", numFeatures=features)
+
+
+def fitted_stages(regularisation: float = 0.01, iterations: int = 20) -> list:
+    """The stages over term frequencies that are fitted."""
+    regression = LogisticRegression(featuresCol="tfidf", labelCol="label", weightCol="weight", regParam=regularisation, maxIter=iterations)
+    return [IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), regression]
+
+
+def text_pipeline(features: int = 1 << 16, **params) -> Pipeline:
+    return Pipeline(stages=[term_frequencies(features), *fitted_stages(**params)])
 
 
 def with_words(posts: DataFrame) -> DataFrame:
@@ -41,13 +48,17 @@ def _score(model, df: DataFrame, out: str = "p_text") -> DataFrame:
     return model.transform(df).select("id", vector_to_array("probability")[1].cast("float").alias(out), "label")
 
 
-def fold_scores(posts: DataFrame, k: int = 3, **params) -> DataFrame:
-    """Out-of-fold text scores: for each fold, fit on the others and score it. ``posts`` has fold and label."""
-    rows = materialised(with_words(posts.where("label is not null")).select("id", "label", "fold", "words"), "words")
+def fold_scores(posts: DataFrame, k: int = 3, features: int = 1 << 16, **params) -> DataFrame:
+    """Out-of-fold text scores: for each fold, fit on the others and score it. ``posts`` has fold and label.
+
+    Term frequencies are the same in every fold: they are written once, and no pass reads words.
+    """
+    words = with_words(posts.where("label is not null")).select("id", "label", "fold", "words")
+    rows = materialised(term_frequencies(features).transform(words).drop("words"), "frequencies")
     scored = []
     for i in range(k):
         train, held_out = fold_slices(rows, i)
-        scored.append(_score(text_pipeline(**params).fit(balanced(train)), held_out))
+        scored.append(_score(Pipeline(stages=fitted_stages(**params)).fit(balanced(train)), held_out))
     return out_of_fold(scored)
 
 
