@@ -99,8 +99,9 @@ def unescape_entities(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    """Trim Unicode white space at both ends. Texts without any there are not searched."""
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return let(text, lambda t: F.when(ends(t).rlike(r"(?U)\s"), F.regexp_replace(t, r"(?U)\A\s+|\s+\z", "")).otherwise(t))
 
 
 def clean_text(text: Column, entities: bool = True) -> Column:
@@ -143,18 +144,24 @@ def simple_words(text: Column, lower: bool = True) -> Column:
 
 
 def count_in(words: Column, lexicon: tuple[str, ...]) -> Column:
-    listed = F.array(*(F.lit(w) for w in lexicon))
-    return F.size(F.filter(words, lambda w: F.array_contains(listed, w)))
+    # A set for the engine: looked up by hash, however long the list is.
+    return F.size(F.filter(words, lambda w: w.isin(*lexicon)))
 
 
 def has_stem(text: Column, stems: tuple[str, ...]) -> Column:
-    """Whether any stem is a part of the lower-cased text: one alternation."""
-    return F.lower(text).rlike("|".join(stems))
+    """Whether any stem is a part of the lower-cased text. Plain stems are searched as bytes, others as one alternation."""
+    patterns = [s for s in stems if re.escape(s).replace("\\ ", " ").replace("\\-", "-") != s]
+    plain = [s for s in stems if s not in patterns]
+
+    def found(t: Column) -> Column:
+        tests = [t.contains(s) for s in plain] + ([t.rlike("|".join(patterns))] if patterns else [])
+        return reduce(Column.__or__, tests)
+
+    return let(F.lower(text), found)
 
 
 def word_count(text: Column) -> Column:
-    trimmed = strip(F.coalesce(text, F.lit("")))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"(?U)\s+")))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
 
 
 def preview(text: Column) -> Column:
@@ -166,6 +173,5 @@ def is_english(text: Column) -> Column:
     from quillstone.functions.lexicons import COMMON_ENGLISH
 
     ascii_share = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) / F.greatest(F.length(text), F.lit(1))
-    words = F.slice(simple_words(text), 1, 50)
-    common = count_in(words, COMMON_ENGLISH) / F.size(words) >= 0.05
-    return F.when(text.isNull() | (F.length(text) < 10), True).when(ascii_share < 0.85, False).when(F.size(words) == 0, True).otherwise(common)
+    common = let(F.slice(simple_words(text), 1, 50), lambda w: F.when(F.size(w) == 0, True).otherwise(count_in(w, COMMON_ENGLISH) / F.size(w) >= 0.05))
+    return F.when(text.isNull() | (F.length(text) < 10), True).when(ascii_share < 0.85, False).otherwise(common)

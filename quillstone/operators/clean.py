@@ -146,10 +146,25 @@ def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
     return n.select(extra.alias("duplicates"), "n_rows", F.try_divide(extra * 100.0, "n_rows").alias("pct"))
 
 
+def dedup_hash(body: Column, least: int = 40) -> Column:
+    """The hash of a body in normal form; null for short ones."""
+    return F.when(F.length(body) >= least, content_hash(dedup_form(body)))
+
+
+def hash_groups(hashed: DataFrame) -> DataFrame:
+    """hash and size of groups of rows with equal ``hash``."""
+    return hashed.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def duplicate_groups(df: DataFrame, least: int = 40) -> DataFrame:
     """hash and size of groups of equal bodies in normal form."""
-    bodies = df.where(F.length("body") >= least).select(content_hash(dedup_form(F.col("body"))).alias("hash"))
-    return bodies.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    return hash_groups(df.select(dedup_hash(F.col("body"), least).alias("hash")))
+
+
+def duplicate_pct(hashed: DataFrame) -> DataFrame:
+    """One row: the per cent of all rows that repeat another's ``hash``."""
+    extra = hash_groups(hashed).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
+    return extra.crossJoin(hashed.agg(F.count("*").alias("n_rows"))).select(F.try_divide(F.col("extra") * 100.0, "n_rows").alias("duplicate_pct"))  # a row each
 
 
 def duplicate_report(df: DataFrame, least: int = 40, top: int = 10) -> DataFrame:

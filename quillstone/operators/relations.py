@@ -9,6 +9,7 @@ from quillstone.functions.features import length_bucket
 from quillstone.functions.text import is_removed
 from quillstone.operators.clean import valid_time
 from quillstone.operators.ranks import counted, quantiles, quantiles_of, running_sums
+from quillstone.sources.scratch import materialised
 
 
 def label_rate_by(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
@@ -96,11 +97,15 @@ def rate_by_bucket(df: DataFrame, bucket: Column, size: int) -> DataFrame:
     return df.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(rates, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), "rate")
 
 
-def quantile_bins(df: DataFrame, column: str, q: int = 10, out: str = "bin") -> DataFrame:
-    """Adds the quantile bin: right-closed, the least value included, equal edges merged."""
+def quantile_edges(df: DataFrame, column: str, q: int = 10) -> DataFrame:
+    """One row: the distinct quantiles of the column, least and greatest value included."""
     names = {f"e{i}": i / q for i in range(q + 1)}
-    found = quantiles_of(df, column, names)  # one row
-    edges = found.select(F.array_distinct(F.array(*names)).alias("_edges"))
+    return quantiles_of(df, column, names).select(F.array_distinct(F.array(*names)).alias("_edges"))
+
+
+def quantile_bins(df: DataFrame, column: str, q: int = 10, out: str = "bin", edges: DataFrame | None = None) -> DataFrame:
+    """Adds the quantile bin: right-closed, the least value included, equal edges merged. ``edges`` are found in ``df`` unless given."""
+    edges = quantile_edges(df, column, q) if edges is None else edges
     x = F.col(column).cast("double")
     place = F.size(F.filter("_edges", lambda e: e < x)) - 1
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(x.isNotNull(), F.greatest(place, F.lit(0)))).drop("_edges")
@@ -111,7 +116,7 @@ def mutual_information(df: DataFrame, columns: list[str]) -> DataFrame:
 
     n I = sum c log c - sum cx log cx - sum cy log cy + n log n, over cells, values and labels: sums, no windows.
     """
-    cells = _long(df, columns, "string").groupBy("feature", "x", "y").agg(F.count("*").alias("c"))
+    cells = materialised(_long(df, columns, "string").groupBy("feature", "x", "y").agg(F.count("*").alias("c")), "cells")
 
     def sums(*keys: str) -> DataFrame:
         counts = cells.groupBy("feature", *keys).agg(F.sum("c").alias("c"))
@@ -123,16 +128,26 @@ def mutual_information(df: DataFrame, columns: list[str]) -> DataFrame:
     return n.select("feature", F.greatest((F.col("h_xy") - F.col("h_x") - F.col("h_y")) / F.col("n") + F.log2("n"), F.lit(0.0)).alias("mutual_information"))
 
 
-def information_ranking(posts: DataFrame, bins: int = 10) -> DataFrame:
-    """Eight columns of a post by the bits that each shares with the label, the most telling first."""
+def information_columns() -> list[Column]:
+    """The eight columns of a post that information_ranking compares, two of them to be binned."""
     at = F.when(valid_time(F.col("created_utc")), F.timestamp_seconds("created_utc"))
     body = F.coalesce("body", F.lit(""))
-    rows = posts.select(
-        "label", F.coalesce("subreddit", F.lit("nan")).alias("category"), F.hour(at).alias("hour"), F.weekday(at).alias("weekday"), F.year(at).alias("year"),
-        (~is_removed(body)).alias("has_body"), length_bucket(F.length(body)).alias("body_length_bucket"), "upvotes", "num_comments",
-    )
-    for c in ("upvotes", "num_comments"):
-        rows = quantile_bins(rows, c, bins, f"{c}_bucket")
+    return [
+        F.coalesce("subreddit", F.lit("nan")).alias("category"), F.hour(at).alias("hour"), F.weekday(at).alias("weekday"), F.year(at).alias("year"),
+        (~is_removed(body)).alias("has_body"), length_bucket(F.length(body)).alias("body_length_bucket"), F.col("upvotes"), F.col("num_comments"),
+    ]
+
+
+def ranked_information(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """``rows``, a written table, has label and information_columns. Edges are found in it, not in what is joined to it."""
+    edges = {c: materialised(quantile_edges(rows, c, bins), "edges") for c in ("upvotes", "num_comments")}  # a row each
+    for c, own in edges.items():
+        rows = quantile_bins(rows, c, bins, f"{c}_bucket", own)
     names = ["category", "hour", "weekday", "year", "has_body", "body_length_bucket", "upvotes_bucket", "num_comments_bucket"]
     # Eight rows: ranked in one task.
     return mutual_information(rows, names).withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("mutual_information", 9)), "feature")))
+
+
+def information_ranking(posts: DataFrame, bins: int = 10) -> DataFrame:
+    """Eight columns of a post by the bits that each shares with the label, the most telling first. Texts are read once."""
+    return ranked_information(materialised(posts.select("label", *information_columns()), "information"), bins)

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import lexicons as L
 from quillstone.functions.text import count_in, has_stem, is_english, simple_words, strip, word_count
-from quillstone.operators.clean import duplicate_report
+from quillstone.operators.clean import dedup_hash, duplicate_pct
 from quillstone.operators.profile import label_rate_by_year
-from quillstone.operators.relations import information_ranking, leaky_categories, weekday_hour_grid
+from quillstone.operators.relations import information_columns, leaky_categories, ranked_information, weekday_hour_grid
 from quillstone.operators.topk import smallest
+from quillstone.sources.scratch import materialised
 
 SIGNALS = ("has_keyword", "exclamations", "questions", "ellipses", "caps_words", "first_person_rate", "negation_rate", "negative_affect_rate")
 
 
-def signals(posts: DataFrame) -> DataFrame:
-    """id, label and the signals of title and body joined by a stop."""
+def signals(posts: DataFrame, *more: Column) -> DataFrame:
+    """id, label, ``more`` columns and the signals of title and body joined by a stop."""
     text = strip(F.concat(F.coalesce("title", F.lit("")), F.lit(" . "), F.coalesce("body", F.lit(""))))
-    base = posts.select("id", "label", text.alias("t")).withColumn("w", simple_words(F.col("t")))
+    base = posts.select("id", "label", *more, text.alias("t"))
+    kept = base.columns[:-1]
+    base = base.withColumn("w", simple_words(F.col("t")))
     n = F.greatest(F.size("w"), F.lit(1))
     count = lambda p: F.regexp_count("t", F.lit(p))
     return base.select(
-        "id", "label", has_stem(F.col("t"), L.KEYWORD_STEMS).cast("int").alias("has_keyword"), count("!").alias("exclamations"), count(r"\?").alias("questions"),
+        *kept, has_stem(F.col("t"), L.KEYWORD_STEMS).cast("int").alias("has_keyword"), count("!").alias("exclamations"), count(r"\?").alias("questions"),
         count(r"\.\.\.").alias("ellipses"), count(r"(?U)\b[A-Z]{2,}\b").alias("caps_words"),
         *((count_in(F.col("w"), lex) / n).alias(k) for k, lex in (("first_person_rate", L.FIRST_PERSON), ("negation_rate", L.NEGATION), ("negative_affect_rate", L.NEGATIVE_AFFECT))),
     )
@@ -137,16 +140,21 @@ def insights(metrics: DataFrame) -> DataFrame:
 def profile_metrics(posts: DataFrame, leaky: int = 1000, yearly: int = 100, cell: int = 50) -> DataFrame:
     """(section, metric, key, value): what the insight rules ask of a table of posts.
 
-    Counts over all rows are one aggregate, means by label another; the rest are profiles of their own.
+    Texts are read once: what any metric asks of them goes to a written table of short columns.
     """
     body = F.coalesce("body", F.lit(""))
     words = word_count(F.coalesce("title", F.lit(""))) + word_count(body)
     url_only = (F.length(body) > 0) & (F.regexp_count(body, F.lit("[a-zA-Z]{2,}")) <= 2) & (F.regexp_count(body, F.lit(r"(?U)https?://\S+|www\.\S+")) >= 1)
+    facts = signals(
+        posts, F.col("subreddit"), F.col("created_utc"), is_english(F.col("body")).alias("english"), F.col("body").isNotNull().alias("known"),
+        url_only.alias("url_only"), words.alias("n_words"), dedup_hash(F.col("body")).alias("hash"), *information_columns(),
+    )
+    rows = materialised(facts, "profile")
     n = F.count("*")
-    wide = posts.agg(
-        F.try_divide(F.count_if(is_english(F.col("body"))) * 100.0, F.count("body")).alias("quality.english_pct"), F.count_if(url_only).cast("double").alias("quality.url_only"),
+    wide = rows.agg(
+        F.try_divide(F.count_if("english") * 100.0, F.count_if("known")).alias("quality.english_pct"), F.count_if("url_only").cast("double").alias("quality.url_only"),
         F.try_divide(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)) * 100.0, F.count("label")).alias("basic.minority_pct"),
-        *(F.try_divide(F.count_if(words <= size) * 100.0, n).alias(f"text.coverage_{size}") for size in (256, 384, 512)),
+        *(F.try_divide(F.count_if(F.col("n_words") <= size) * 100.0, n).alias(f"text.coverage_{size}") for size in (256, 384, 512)),
     )
 
     def long(df: DataFrame, **columns: str) -> DataFrame:
@@ -154,12 +162,12 @@ def profile_metrics(posts: DataFrame, leaky: int = 1000, yearly: int = 100, cell
         return df.select(F.inline(F.array(*(F.struct(F.lit(c.split(".")[0]).alias("section"), F.lit(m).alias("metric"), F.lit("").alias("key"), F.col(f"`{m if m in df.columns else c}`").cast("double").alias("value")) for m, c in columns.items()))))
 
     out = long(wide, **{c.split(".")[1]: c for c in wide.columns})
-    lifts = signal_lift(signals(posts)).agg(*(F.max(F.when(F.col("signal") == s, F.col("lift"))).alias(k) for s, k in (("has_keyword", "keyword_lift"), ("first_person_rate", "first_person_lift"))))
+    lifts = signal_lift(rows).agg(*(F.max(F.when(F.col("signal") == s, F.col("lift"))).alias(k) for s, k in (("has_keyword", "keyword_lift"), ("first_person_rate", "first_person_lift"))))
     out = out.unionByName(long(lifts, keyword_lift="text_signals.keyword_lift", first_person_lift="text_signals.first_person_lift"))
-    out = out.unionByName(long(duplicate_report(posts).select(F.col("extra_pct").alias("duplicate_pct")), duplicate_pct="quality.duplicate_pct"))
-    leaks = leaky_categories(posts, "subreddit", leaky).agg(F.coalesce(F.max("n_leaky"), F.lit(0)).alias("n_leaky"))
+    out = out.unionByName(long(duplicate_pct(rows), duplicate_pct="quality.duplicate_pct"))
+    leaks = leaky_categories(rows, "subreddit", leaky).agg(F.coalesce(F.max("n_leaky"), F.lit(0)).alias("n_leaky"))
     out = out.unionByName(long(leaks, n_leaky="relations.n_leaky"))
-    out = out.unionByName(long(label_rate_by_year(posts, yearly).agg(F.max("drift").alias("label_drift")), label_drift="temporal.label_drift"))
-    out = out.unionByName(long(weekday_hour_grid(posts, least=cell).agg(F.max("range").alias("grid_range")), grid_range="interactions.grid_range"))
-    best = information_ranking(posts).where("place = 1").select(F.lit("interactions").alias("section"), F.lit("best_feature_bits").alias("metric"), F.col("feature").alias("key"), F.col("mutual_information").alias("value"))
+    out = out.unionByName(long(label_rate_by_year(rows, yearly).agg(F.max("drift").alias("label_drift")), label_drift="temporal.label_drift"))
+    out = out.unionByName(long(weekday_hour_grid(rows, least=cell).agg(F.max("range").alias("grid_range")), grid_range="interactions.grid_range"))
+    best = ranked_information(rows).where("place = 1").select(F.lit("interactions").alias("section"), F.lit("best_feature_bits").alias("metric"), F.col("feature").alias("key"), F.col("mutual_information").alias("value"))
     return out.unionByName(best)
